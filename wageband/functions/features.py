@@ -6,9 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wageband.functions import vocab
+from wageband.functions.once import with_columns_once
 from wageband.functions.text import (
-    contains_any, empty_to_null, experience_years, first_match, min_gpa, null_to_empty,
-    normalize_text,
+    contains_any, empty_to_null, experience_years, first_match, min_gpa, normalize_text,
 )
 from wageband.schemas import FEATURE_COLUMNS
 
@@ -20,22 +20,33 @@ def job_family(text: Column) -> Column:
     return first_match(text, vocab.JOB_FAMILIES, F.lit(vocab.OTHER_FAMILY))
 
 
-def region_group(location: Column) -> Column:
-    """Region of a posting. A null location reads as the word ``nan`` and so falls in the rest
-    group; only a blank one is unknown."""
-    text = normalize_text(F.coalesce(location, F.lit("nan")))
-    rest = F.when(text != "", F.lit(vocab.OTHER_REGION)).otherwise(vocab.UNKNOWN_REGION)
-    return first_match(text, vocab.REGIONS, rest)
+def region_of(normalized: Column, location: Column) -> Column:
+    """Region of a normalised location. A null location counts as some other place; only a blank
+    one is unknown."""
+    other = F.lit(vocab.OTHER_REGION)
+    rest = F.when(normalized != "", other).otherwise(vocab.UNKNOWN_REGION)
+    return F.when(location.isNull(), other).otherwise(
+        first_match(normalized, vocab.REGIONS, rest))
 
 
-def repaired_region(location: Column) -> Column:
+def _with_normal_location(df: DataFrame) -> DataFrame:
+    return df.withColumn("_n_location", normalize_text(F.col("location")))
+
+
+def with_region_group(df: DataFrame) -> DataFrame:
+    region = region_of(F.col("_n_location"), F.col("location"))
+    return with_columns_once(
+        _with_normal_location(df), {"region_group": region}).drop("_n_location")
+
+
+def with_repaired_region(df: DataFrame, name: str = "region_group") -> DataFrame:
     """Region by the longer repair lists; never unknown."""
-    return first_match(normalize_text(null_to_empty(location)), vocab.REPAIR_REGIONS,
-                       F.lit(vocab.OTHER_REGION))
+    region = first_match(F.col("_n_location"), vocab.REPAIR_REGIONS, F.lit(vocab.OTHER_REGION))
+    return with_columns_once(_with_normal_location(df), {name: region}).drop("_n_location")
 
 
 def with_posting_text(df: DataFrame) -> DataFrame:
-    """Add ``_feature_text`` and ``_pay_text``.
+    """Add ``_feature_text``, ``_pay_text`` and ``_n_location``.
 
     Every source column is normalised once; joining normalised parts gives the same text as
     normalising the joined parts, so the long description is not scanned twice.
@@ -57,10 +68,10 @@ def with_posting_text(df: DataFrame) -> DataFrame:
     return parts.withColumns({
         "_feature_text": joined(_TEXT_COLUMNS, "nan"),
         "_pay_text": joined(_PAY_COLUMNS, None),
-    }).drop(*[f"_n_{c}" for c in _TEXT_COLUMNS])
+    }).drop(*[f"_n_{c}" for c in _TEXT_COLUMNS if c != "location"])
 
 
-def feature_expressions(text: Column, location: Column) -> dict[str, Column]:
+def feature_expressions(text: Column) -> dict[str, Column]:
     """All features but the two parsed numbers, which ``with_features`` adds first."""
     gpa, years = F.col("_gpa"), F.col("f_experience_years_min")
     flags = {name: contains_any(text, words) for name, words in vocab.FLAG_KEYWORDS.items()}
@@ -69,14 +80,15 @@ def feature_expressions(text: Column, location: Column) -> dict[str, Column]:
     flags["f_work_experience_required"] = (
         (years > 0) | (flags["f_work_experience_required"] == 1)).cast("int")
     flags["job_family"] = job_family(text)
-    flags["region_group"] = region_group(location)
+    flags["region_group"] = region_of(F.col("_n_location"), F.col("location"))
     return flags
 
 
-def with_features(df: DataFrame, text: str = "_feature_text") -> DataFrame:
-    column = F.col(text)
+def with_features(df: DataFrame) -> DataFrame:
+    """Add all features to rows that carry the columns of ``with_posting_text``."""
+    column = F.col("_feature_text")
     parsed = df.withColumns({
         "_gpa": min_gpa(column), "f_experience_years_min": experience_years(column)})
-    added = feature_expressions(column, F.col("location"))
+    added = feature_expressions(column)
     ordered = {name: added[name] for name in FEATURE_COLUMNS if name in added}
     return parsed.withColumns(ordered).drop("_gpa")

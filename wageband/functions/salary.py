@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wageband.functions import vocab
+from wageband.functions.once import with_columns_once
 from wageband.functions.text import mentions_any, normalize_text
 from wageband.schemas import TARGET_COLUMN, UNKNOWN_LABEL, WAGE_BANDS, WageBand
 
@@ -72,9 +73,10 @@ def with_salary(df: DataFrame, normalized: str | Column,
     """Add pay range, wage band and availability from a column of normalised text."""
     text = F.col(normalized) if isinstance(normalized, str) else normalized
     avg = F.col("salary_avg")
+    found = df.withColumn("_amounts", amounts(text))
     return (
-        df.withColumn("_amounts", amounts(text))
-        .withColumns({"salary_min": F.array_min("_amounts"), "salary_max": F.array_max("_amounts")})
+        with_columns_once(found, {"salary_min": F.array_min("_amounts"),
+                                  "salary_max": F.array_max("_amounts")})
         .drop("_amounts")
         .withColumn("salary_avg", F.expr("(salary_min + salary_max) div 2"))
         .withColumns({

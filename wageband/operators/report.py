@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wageband.functions.features import repaired_region
+from wageband.functions.features import with_repaired_region
 from wageband.schemas import BAND_LABELS, TARGET_COLUMN, TARGET_PER_CLASS
 
 
@@ -45,8 +45,8 @@ def region_repair_diff(df: DataFrame) -> DataFrame:
     sides = F.array(
         F.struct(F.col("region_group").alias("region"), F.lit(1).alias("before"),
                  F.lit(0).alias("after")),
-        F.struct(repaired_region(F.col("location")).alias("region"), F.lit(0).alias("before"),
+        F.struct(F.col("_repaired").alias("region"), F.lit(0).alias("before"),
                  F.lit(1).alias("after")),
     )
-    return df.select(F.inline(sides)).groupBy("region").agg(
+    return with_repaired_region(df, "_repaired").select(F.inline(sides)).groupBy("region").agg(
         F.sum("before").alias("n_before"), F.sum("after").alias("n_after"))

@@ -7,11 +7,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wageband.functions import vocab
-from wageband.functions.features import repaired_region, with_features, with_posting_text
-from wageband.functions.salary import (
-    band_label, relabel_from_salary_avg, with_salary,
+from wageband.functions.features import (
+    with_features, with_posting_text, with_repaired_region,
 )
+from wageband.functions.salary import relabel_from_salary_avg, with_salary
 from wageband.functions.text import normalize_text, null_to_empty
 from wageband.operators import merge
 from wageband.operators.balance import cap_some_classes
@@ -34,7 +33,7 @@ def existing_columns(df: DataFrame, wanted: Sequence[str]) -> DataFrame:
 def with_pay(raw: DataFrame, bands: Sequence[WageBand] = WAGE_BANDS) -> DataFrame:
     """Salary columns only, for queries that need no features."""
     return with_salary(with_posting_text(raw), "_pay_text", bands).drop(
-        "_pay_text", "_feature_text")
+        "_pay_text", "_feature_text", "_n_location")
 
 
 def proxy_columns(raw: DataFrame, bands: Sequence[WageBand] = WAGE_BANDS) -> DataFrame:
@@ -42,7 +41,8 @@ def proxy_columns(raw: DataFrame, bands: Sequence[WageBand] = WAGE_BANDS) -> Dat
     enriched = with_features(with_salary(with_posting_text(raw), "_pay_text", bands))
     # Features see a null as the word nan; the stored text columns show it as empty.
     filled = {c: null_to_empty(F.col(c)) for c in _PASSED_ON if c in raw.columns}
-    return enriched.withColumns(filled).drop("_pay_text", "_feature_text", "job_description")
+    return enriched.withColumns(filled).drop(
+        "_pay_text", "_feature_text", "_n_location", "job_description")
 
 
 def build_proxy(raw: DataFrame, position: str = merge.POSITION, groups: Sequence[str] = (),
@@ -77,7 +77,7 @@ def labelled_rows(df: DataFrame) -> DataFrame:
 def repair_regions(df: DataFrame) -> DataFrame:
     if "location" not in df.columns:
         raise ValueError("the table has no column 'location'")
-    return df.withColumn("region_group", repaired_region(F.col("location")))
+    return with_repaired_region(df)
 
 
 def region_drilldown(df: DataFrame, region: str = "kalimantan") -> DataFrame:
