@@ -85,5 +85,5 @@ def cap_keywords(arrivals: DataFrame, keywords: Mapping[str, int], order: Sequen
         return pd.concat(kept)[list(order)]
 
     schema = arrivals.select(*order).schema
-    chosen = heads.groupBy(F.lit(0)).applyInPandas(take, schema)
+    chosen = heads.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(take, schema)
     return arrivals.join(F.broadcast(chosen), list(order), "left_semi")

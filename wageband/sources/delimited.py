@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,16 +36,17 @@ def sniff_separator(spark: SparkSession, path: str) -> str:
         range(len(SEPARATORS)), key=lambda i: (counts[i], -i))]
 
 
-def _typed(column: str, dtype: T.DataType):
+def _typed(column: str, dtype: T.DataType) -> Column:
+    """Null tokens to null and texts to the declared type."""
     cell = F.when(~F.col(column).isin(NA_TOKENS), F.col(column))
     return cell if isinstance(dtype, T.StringType) else cell.try_cast(dtype)
 
 
-def conform(df: DataFrame, schema: T.StructType | None) -> DataFrame:
-    """Null tokens to null and texts to the declared types; undeclared columns stay texts."""
-    types = {f.name: f.dataType for f in schema.fields} if schema else {}
-    cells = [c for c in df.columns if c not in (POSITION, PROVENANCE)]
-    return df.withColumns({c: _typed(c, types.get(c, T.StringType())) for c in cells})
+def _type_of(column: str, schema: T.StructType | None) -> T.DataType:
+    """Declared type, else text; a stored position is a number in any case."""
+    if schema is not None and column in schema.fieldNames():
+        return schema[column].dataType
+    return T.LongType() if column == POSITION else T.StringType()
 
 
 def read_delimited(spark: SparkSession, path: str | Sequence[str],
@@ -54,7 +55,7 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str],
     """Files of one layout, with position and file name; ``sep=None`` looks at the first line.
 
     A path that does not exist, or a file without a header, gives an empty table. Columns come
-    from the header; the schema gives types by name.
+    from the header; the schema gives types by name. A position stored in the file is kept.
     """
     first = path if isinstance(path, str) else path[0]
     try:
@@ -67,10 +68,10 @@ def read_delimited(spark: SparkSession, path: str | Sequence[str],
     if found is None or not found.columns:
         return spark.createDataFrame([], schema or T.StructType()).withColumns({
             PROVENANCE: F.lit(None).cast("string"), POSITION: F.lit(None).cast("bigint")})
-    located = found.withColumns({
-        # Rises within a file; the file name is the leading part of the order.
-        PROVENANCE: F.col("_metadata.file_name"), POSITION: F.monotonically_increasing_id()})
-    return conform(located, schema)
+    # The position rises within a file; the file name is the leading part of the order.
+    place = {PROVENANCE: F.col("_metadata.file_name"), POSITION: F.monotonically_increasing_id()}
+    cells = {c: _typed(c, _type_of(c, schema)) for c in found.columns}
+    return found.withColumns({**{c: v for c, v in place.items() if c not in cells}, **cells})
 
 
 def read_layouts(spark: SparkSession, paths: Sequence[str],
