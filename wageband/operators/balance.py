@@ -42,17 +42,22 @@ def quota_keys(fresh: DataFrame, counts: DataFrame, order: Sequence[str],
     return ranked.filter("_rank <= _room").select(URL, TARGET_COLUMN, *order)
 
 
-def quota_accept(arrivals: DataFrame, known: DataFrame, counts: DataFrame, order: Sequence[str],
-                 target: int = TARGET_PER_CLASS) -> DataFrame:
+def pick_rows(arrivals: DataFrame, keys: DataFrame, order: Sequence[str]) -> DataFrame:
+    """The full rows behind accepted keys, with their label. The keys are few enough to broadcast."""
+    return arrivals.join(F.broadcast(keys.select(*order, TARGET_COLUMN)), list(order))
+
+
+def quota_accept(arrivals: DataFrame, labelled: DataFrame, known: DataFrame, counts: DataFrame,
+                 order: Sequence[str], target: int = TARGET_PER_CLASS) -> DataFrame:
     """New postings accepted until every class of ``counts`` has ``target`` rows.
 
-    Arrivals carry their label. Only URL, label and order travel through the shuffles; the
-    accepted keys, at most ``target`` per class, then pick the full rows by a broadcast join.
+    ``labelled`` gives the label of each arrival. Only URL, label and order travel through the
+    shuffles; the accepted keys, at most ``target`` per class, then pick the full arrivals, which
+    need not be parsed for that.
     """
-    keys = quota_keys(
-        skip_known(arrivals.select(URL, TARGET_COLUMN, *order), known, order),
-        counts, order, target)
-    return arrivals.join(F.broadcast(keys.select(*order)), list(order), "left_semi")
+    narrow = labelled.select(URL, TARGET_COLUMN, *order)
+    keys = quota_keys(skip_known(narrow, known, order), counts, order, target)
+    return pick_rows(arrivals, keys, order)
 
 
 def cap_keywords(arrivals: DataFrame, keywords: Mapping[str, int], order: Sequence[str],

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 # Hash buckets a group is spread over before its candidates meet in one task.
 SALTS = 64
 # Positions per block when numbering rows: the most rows one task numbers for one block.
-BLOCK = 1 << 20
+BLOCK = 1 << 16
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

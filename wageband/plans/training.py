@@ -39,12 +39,15 @@ def feature_columns(df: DataFrame) -> tuple[list[str], list[str]]:
     return [c for c in present if c not in text], text
 
 
-def check_trainable(df: DataFrame, features: Sequence[str]) -> None:
+def check_columns(df: DataFrame, features: Sequence[str]) -> None:
     if TARGET_COLUMN not in df.columns:
         raise NotTrainable(f"the table has no column {TARGET_COLUMN!r}")
     if not features:
         raise NotTrainable("the table has no feature column")
-    size = labelled_rows(df).agg(F.count(F.lit(1)).alias("n"),
+
+
+def check_rows(labelled: DataFrame) -> None:
+    size = labelled.agg(F.count(F.lit(1)).alias("n"),
                                  F.count_distinct(TARGET_COLUMN).alias("classes")).first()
     if size["n"] < SMALLEST:
         raise NotTrainable(f"{size['n']} labelled rows, at least {SMALLEST} are needed")
@@ -52,83 +55,92 @@ def check_trainable(df: DataFrame, features: Sequence[str]) -> None:
         raise NotTrainable("at least two classes are needed")
 
 
+def _class_counts(df: DataFrame) -> DataFrame:
+    return df.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+
+
 def class_weights(df: DataFrame) -> DataFrame:
     """Balanced weight per class: rows / (classes * rows of the class)."""
-    counts = df.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
     everything = W.partitionBy()
-    return counts.withColumn("weight", F.sum("n").over(everything)
+    return _class_counts(df).withColumn("weight", F.sum("n").over(everything)
                              / (F.count(F.lit(1)).over(everything) * F.col("n")))
 
 
-def split_sizes(df: DataFrame, share: float = TEST_SHARE) -> DataFrame:
-    """Rows per class with the exact size of its training and test part.
-
-    Stratified when every class has two rows and there are five rows per class on average. The
-    training total is shared out by largest remainder, ties by label.
-    """
-    counts = df.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
+def _shared_out(counts: DataFrame, share: float) -> DataFrame:
+    """Exact part sizes from the rows per class."""
     everything = W.partitionBy()
     sized = counts.withColumns({
-        "_rows": F.sum("n").over(everything),
+        "rows": F.sum("n").over(everything),
         "_classes": F.count(F.lit(1)).over(everything),
         "_smallest": F.min("n").over(everything),
     }).withColumns({
-        "_train": F.col("_rows") - F.ceil(F.col("_rows") * F.lit(share)),
-        "stratified": (F.col("_smallest") >= 2) & (F.col("_rows") >= 5 * F.col("_classes")),
-    })
-    floor = F.expr("(_train * n) div _rows")
-    rest = F.expr("(_train * n) % _rows")
+        "test_total": F.ceil(F.col("rows") * F.lit(share)),
+        "stratified": (F.col("_smallest") >= 2) & (F.col("rows") >= 5 * F.col("_classes")),
+    }).withColumn("_train", F.col("rows") - F.col("test_total"))
     by_rest = W.orderBy(F.desc("_rest"), F.asc(TARGET_COLUMN))
-    shared = sized.withColumns({"_floor": floor, "_rest": rest}).withColumns({
+    shared = sized.withColumns({
+        "_floor": F.expr("(_train * n) div rows"), "_rest": F.expr("(_train * n) % rows"),
+    }).withColumns({
         "_left": F.col("_train") - F.sum("_floor").over(everything),
         "_place": F.row_number().over(by_rest),
     })
     train = F.col("_floor") + (F.col("_place") <= F.col("_left")).cast("int")
-    return shared.select(
-        TARGET_COLUMN, "n", F.when(F.col("stratified"), train).alias("n_train"), "stratified",
-        F.col("_train").alias("train_total"),
-        F.col("_rows").alias("rows")).withColumn("n_test", F.col("n") - F.col("n_train"))
+    return shared.withColumn("n_train", F.when(F.col("stratified"), train)).select(
+        TARGET_COLUMN, "n", "n_train", (F.col("n") - F.col("n_train")).alias("n_test"),
+        "stratified", "test_total")
+
+
+def split_sizes(df: DataFrame, share: float = TEST_SHARE) -> DataFrame:
+    """Rows per class with the exact size of its training and test part.
+
+    Stratified when every class has two rows and there are five rows per class on average. The
+    training total is shared out by largest remainder, ties by label.
+    """
+    return _shared_out(_class_counts(df), share)
 
 
 def with_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = SEED) -> DataFrame:
-    """Add ``is_test`` with exact test sizes per class, decided by a hash of ``key``.
+    """Add ``is_test`` with exact test sizes per class, decided by a hash of the unique ``key``.
 
-    Hash ranges are counted per class, which gives the range in which the class reaches its test
-    size. Ranges before it are test rows and ranges after it training rows without any sort; only
-    rows of that one range, a tiny part of the class, are ranked.
+    Hash ranges are counted per class, which tells in which range a class reaches its test size.
+    Only the rows of that range, a tiny part of the class, are ranked; the last one taken is the
+    class's threshold. All rows are then marked by comparing with a broadcast row per class, so
+    the table itself is neither shuffled nor sorted.
     """
-    sizes = split_sizes(df, share)
-    digest = F.md5(F.concat_ws(":", F.col(key).cast("string"), F.lit(str(seed))))
-    stratified = F.col("stratified")
-    hashed = (
-        df.join(F.broadcast(sizes.select(
-            TARGET_COLUMN, "stratified", "n_test",
-            (F.col("rows") - F.col("train_total")).alias("_all_test"))), TARGET_COLUMN)
-        .withColumns({
-            "_hash": digest,
-            "_group": F.when(stratified, F.col(TARGET_COLUMN)).otherwise(""),
-            "_want": F.when(stratified, F.col("n_test")).otherwise(F.col("_all_test")),
-        })
-        .withColumn("_bucket", F.conv(F.substring("_hash", 1, 4), 16, 10).cast("int"))
-        .drop("stratified", "n_test", "_all_test")
-    )
+    hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"),
+                                                      F.lit(str(seed)))))
+    narrow = hashed.select(key, TARGET_COLUMN, "_hash", F.conv(
+        F.substring("_hash", 1, 4), 16, 10).cast("int").alias("_bucket"))
+    # Three steps read the counts, one row per class and range: keep them.
+    sizes = narrow.groupBy(TARGET_COLUMN, "_bucket").agg(
+        F.count(F.lit(1)).alias("_size")).persist()
+    wanted = _shared_out(sizes.groupBy(TARGET_COLUMN).agg(F.sum("_size").alias("n")), share)
+    # Without stratification all classes form one group.
+    group = F.when(F.col("stratified"), F.col(TARGET_COLUMN)).otherwise("").alias("_group")
+    want = F.when(F.col("stratified"), F.col("n_test")).otherwise(F.col("test_total"))
+    groups = F.broadcast(wanted.select(TARGET_COLUMN, group, want.alias("_want")))
+
     up_to = W.partitionBy("_group").orderBy("_bucket")
+    start = F.col("_end") - F.col("_size")
     cuts = (
-        hashed.groupBy("_group", "_bucket").agg(
-            F.count(F.lit(1)).alias("_size"), F.first("_want").alias("_want"))
+        sizes.join(groups, TARGET_COLUMN).groupBy("_group", "_bucket")
+        .agg(F.sum("_size").alias("_size"), F.first("_want").alias("_want"))
         .withColumn("_end", F.sum("_size").over(up_to))
-        .filter((F.col("_end") > F.col("_want")) & (F.col("_end") - F.col("_size") <= F.col("_want")))
-        .select("_group", F.col("_bucket").alias("_cut"),
-                (F.col("_want") - (F.col("_end") - F.col("_size"))).alias("_open"))
+        .filter((F.col("_want") > start) & (F.col("_want") <= F.col("_end")))
+        .select("_group", "_bucket", (F.col("_want") - start).alias("_open"))
+    )
+    point = F.struct(F.col("_hash"), F.col(key))
+    ranked = (
+        narrow.join(groups, TARGET_COLUMN).join(F.broadcast(cuts), ["_group", "_bucket"])
+        .withColumn("_place", F.row_number().over(W.partitionBy("_group").orderBy("_hash", key)))
+        .filter(F.col("_place") == F.col("_open"))
+        .select("_group", point.alias("_last"))
     )
-    marked = hashed.join(F.broadcast(cuts), "_group", "left")
-    at_cut = F.col("_bucket") == F.col("_cut")
-    before = F.col("_cut").isNull() | (F.col("_bucket") < F.col("_cut"))
-    ranked = marked.filter(at_cut).withColumn("is_test", F.row_number().over(
-        W.partitionBy("_group").orderBy("_hash", key)) <= F.col("_open"))
-    clear = marked.filter(F.col("_cut").isNull() | ~at_cut).withColumn("is_test", before)
-    return clear.unionByName(ranked).drop(
-        "_hash", "_group", "_want", "_bucket", "_cut", "_open")
+    limits = wanted.select(TARGET_COLUMN, group).join(ranked, "_group", "left").select(
+        TARGET_COLUMN, "_last")
+    # No threshold means that the group gives no test row.
+    return hashed.join(F.broadcast(limits), TARGET_COLUMN).withColumn(
+        "is_test", F.coalesce(point <= F.col("_last"), F.lit(False))).drop("_hash", "_last")
 
 
 def impute_values(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
@@ -200,9 +212,11 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     if numeric is None and text is None:
         numeric, text = feature_columns(df)
     numeric, text = list(numeric or []), list(text or [])
-    check_trainable(df, numeric + text)
-    rows = labelled_rows(df).select(key, *numeric, *text, TARGET_COLUMN)
-    split = with_split(rows, key, share, seed).persist()
+    check_columns(df, numeric + text)
+    # Every step below reads the rows again: keep the narrow ones instead of parsing texts anew.
+    rows = labelled_rows(df).select(key, *numeric, *text, TARGET_COLUMN).persist()
+    check_rows(rows)
+    split = with_split(rows, key, share, seed)
     fitting = split.filter(~F.col("is_test"))
     stats = impute_values(fitting, numeric, text).first().asDict()
     fills = {c: v for c, v in stats.items() if v is not None}

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
-from wageband.operators.balance import quota_keys
+from wageband.operators.balance import pick_rows, quota_keys
 from wageband.operators.dedup import URL, skip_known
 from wageband.operators.merge import POSITION
 from wageband.operators.report import targets_done
+from wageband.plans.datasets import with_pay
 from wageband.schemas import TARGET_COLUMN, TARGET_PER_CLASS
 
 _SEED = -1
@@ -51,7 +52,9 @@ class Ledger:
             f"{self.root}/seen").filter(F.col("batch_id") < before)
 
     def accepted(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
-        with_batch = T.StructType(schema.fields + [T.StructField("batch_id", T.LongType())])
+        """Accepted rows of raw ``schema`` with their label."""
+        with_batch = T.StructType(schema.fields + [
+            T.StructField(TARGET_COLUMN, T.StringType()), T.StructField("batch_id", T.LongType())])
         return spark.read.schema(with_batch).parquet(f"{self.root}/accepted")
 
     def counts(self, spark: SparkSession, before: int) -> DataFrame:
@@ -66,24 +69,24 @@ class Ledger:
         ).groupBy(TARGET_COLUMN).agg(F.sum("n").alias("n"))
 
     def take(self, arrivals: DataFrame, batch_id: int, target: int) -> None:
-        """One micro-batch: note every new URL, accept what fits the quotas.
+        """One micro-batch of raw postings: note every new URL, accept what fits the quotas.
 
         Only URL, label and order are shuffled. The accepted keys, at most ``target`` per class,
         pick the full rows from the arrivals in a broadcast join.
         """
         spark = arrivals.sparkSession
-        narrow = arrivals.select(URL, TARGET_COLUMN, *self.order)
+        narrow = with_pay(arrivals).select(URL, TARGET_COLUMN, *self.order)
         skip_known(narrow, self.seen(spark, batch_id), self.order).write.mode(
             "overwrite").parquet(self._folder("seen", batch_id))
         fresh = spark.read.parquet(self._folder("seen", batch_id))
         keys = quota_keys(fresh, self.counts(spark, batch_id), self.order, target)
-        arrivals.join(F.broadcast(keys.select(*self.order)), list(self.order), "left_semi") \
-            .write.mode("overwrite").parquet(self._folder("accepted", batch_id))
+        pick_rows(arrivals, keys, self.order).write.mode("overwrite").parquet(
+            self._folder("accepted", batch_id))
 
 
 def ingest_with_quota(arrivals: DataFrame, ledger: Ledger,
                       target: int = TARGET_PER_CLASS) -> StreamingQuery:
-    """Take all labelled arrivals that are there now; call again to go on where it stopped."""
+    """Take all raw arrivals that are there now; call again to go on where it stopped."""
     return (
         arrivals.writeStream.foreachBatch(lambda df, n: ledger.take(df, n, target))
         .option("checkpointLocation", f"{ledger.root}/progress")

@@ -292,21 +292,23 @@ def selective_cap(spark, sf):
 @query
 def quota_accept(spark, sf):
     """Quotas partly filled by the first quarter; the other quarters arrive."""
-    rows = _pay(spark, sf)
-    counts = report.class_counts(rows.filter("piece = 0 AND pos % 5 = 0"))
-    known = postings(spark, sf, with_company=False).filter("piece = 0").select("job_url")
-    return balance.quota_accept(rows.filter("piece > 0"), known, counts, ["pos"], QUOTA).select(
-        "pos", "source_keyword", "job_title", "job_url", TARGET_COLUMN)
+    raw = postings(spark, sf, with_company=False)
+    first, arrivals = raw.filter("piece = 0"), raw.filter("piece > 0")
+    counts = report.class_counts(datasets.with_pay(first.filter("pos % 5 = 0")))
+    return balance.quota_accept(
+        arrivals, datasets.with_pay(arrivals), first.select("job_url"), counts, ["pos"], QUOTA,
+    ).select("pos", "source_keyword", "job_title", "job_url", TARGET_COLUMN)
 
 
 @query
 def low_quota_accept(spark, sf):
     """Only the two lowest bands are wanted and nothing is known yet."""
-    rows = _pay(spark, sf)
-    counts = report.class_counts(rows.filter("false"), LOW_BAND_LABELS)
-    known = rows.filter("false").select("job_url")
-    return balance.quota_accept(rows, known, counts, ["pos"], QUOTA).select(
-        "pos", "job_url", TARGET_COLUMN)
+    raw = postings(spark, sf, with_company=False)
+    nothing = raw.filter("false")
+    counts = report.class_counts(datasets.with_pay(nothing), LOW_BAND_LABELS)
+    return balance.quota_accept(
+        raw, datasets.with_pay(raw), nothing.select("job_url"), counts, ["pos"], QUOTA,
+    ).select("pos", "job_url", TARGET_COLUMN)
 
 
 @query
@@ -411,20 +413,19 @@ def _posting_stream(spark, sf):
     """The orders as a file stream; the folder or file of that name is the source."""
     schema = table(spark, sf, "orders").schema
     source = ingest.read_arrivals(spark, f"{sf}/orders.parque[t]", schema)
-    return datasets.with_pay(
-        posting_columns(source, F.lit(None).cast("string")).drop("company"))
+    return posting_columns(source, F.lit(None).cast("string")).drop("company")
 
 
 @query
 def stream_dedup_quota(spark, sf):
     ledger = ingest.Ledger(shared_folder(spark, "ledger"))
-    known = postings(spark, sf, with_company=False).filter("pos % 50 = 0").select("job_url")
-    empty = _pay(spark, sf).filter("false")
-    ledger.seed(known, report.class_counts(empty))
-    stream = _posting_stream(spark, sf).drop("job_description")
+    raw = postings(spark, sf, with_company=False)
+    nothing = datasets.with_pay(raw.filter("false"))
+    ledger.seed(raw.filter("pos % 50 = 0"), report.class_counts(nothing))
+    stream = _posting_stream(spark, sf)
     ingest.ingest_with_quota(stream, ledger, QUOTA).awaitTermination()
     return ledger.accepted(spark, stream.schema).select(
-        "pos", "source_keyword", "job_title", "job_url", "salary_avg", TARGET_COLUMN)
+        "pos", "source_keyword", "job_title", "job_url", TARGET_COLUMN)
 
 
 @query
@@ -437,7 +438,8 @@ def stream_new_urls(spark, sf):
 @query
 def stream_class_counts(spark, sf):
     root = shared_folder(spark, "counts")
-    ingest.running_counts(_posting_stream(spark, sf), root).awaitTermination()
+    labelled = datasets.with_pay(_posting_stream(spark, sf))
+    ingest.running_counts(labelled, root).awaitTermination()
     return ingest.latest_counts(spark, root)
 
 
