@@ -18,6 +18,8 @@ def local_session(cpus: int | str = "*", checkpoint_dir: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        # Plans here have hundreds of expressions; noting the Python line of each is slow.
+        .config("spark.sql.dataFrameQueryContext.enabled", "false")
     )
     if checkpoint_dir is not None:
         builder = builder.config("spark.checkpoint.dir", checkpoint_dir)
