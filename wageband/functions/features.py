@@ -16,17 +16,17 @@ _TEXT_COLUMNS = ["job_title", "company", "location", "salary_text", "job_descrip
 _PAY_COLUMNS = ["salary_text", "job_title", "job_description"]
 
 
-def job_family(text: Column) -> Column:
+def job_family(text: Column | str) -> Column:
     return first_match(text, vocab.JOB_FAMILIES, F.lit(vocab.OTHER_FAMILY))
 
 
-def region_of(normalized: Column, location: Column) -> Column:
-    """Region of a normalised location. A null location counts as some other place; only a blank
-    one is unknown."""
+def _region() -> Column:
+    """Region from ``_n_location``. A null location counts as some other place; only a blank one
+    is unknown."""
     other = F.lit(vocab.OTHER_REGION)
-    rest = F.when(normalized != "", other).otherwise(vocab.UNKNOWN_REGION)
-    return F.when(location.isNull(), other).otherwise(
-        first_match(normalized, vocab.REGIONS, rest))
+    rest = F.when(F.col("_n_location") != "", other).otherwise(vocab.UNKNOWN_REGION)
+    return F.when(F.col("location").isNull(), other).otherwise(
+        first_match("_n_location", vocab.REGIONS, rest))
 
 
 def _with_normal_location(df: DataFrame) -> DataFrame:
@@ -34,14 +34,13 @@ def _with_normal_location(df: DataFrame) -> DataFrame:
 
 
 def with_region_group(df: DataFrame) -> DataFrame:
-    region = region_of(F.col("_n_location"), F.col("location"))
     return with_columns_once(
-        _with_normal_location(df), {"region_group": region}).drop("_n_location")
+        _with_normal_location(df), {"region_group": _region()}).drop("_n_location")
 
 
 def with_repaired_region(df: DataFrame, name: str = "region_group") -> DataFrame:
     """Region by the longer repair lists; never unknown."""
-    region = first_match(F.col("_n_location"), vocab.REPAIR_REGIONS, F.lit(vocab.OTHER_REGION))
+    region = first_match("_n_location", vocab.REPAIR_REGIONS, F.lit(vocab.OTHER_REGION))
     return with_columns_once(_with_normal_location(df), {name: region}).drop("_n_location")
 
 
@@ -71,7 +70,7 @@ def with_posting_text(df: DataFrame) -> DataFrame:
     }).drop(*[f"_n_{c}" for c in _TEXT_COLUMNS if c != "location"])
 
 
-def feature_expressions(text: Column) -> dict[str, Column]:
+def _feature_expressions(text: str) -> dict[str, Column]:
     """All features but the two parsed numbers, which ``with_features`` adds first."""
     gpa, years = F.col("_gpa"), F.col("f_experience_years_min")
     flags = {name: contains_any(text, words) for name, words in vocab.FLAG_KEYWORDS.items()}
@@ -80,7 +79,7 @@ def feature_expressions(text: Column) -> dict[str, Column]:
     flags["f_work_experience_required"] = (
         (years > 0) | (flags["f_work_experience_required"] == 1)).cast("int")
     flags["job_family"] = job_family(text)
-    flags["region_group"] = region_of(F.col("_n_location"), F.col("location"))
+    flags["region_group"] = _region()
     return flags
 
 
@@ -89,6 +88,6 @@ def with_features(df: DataFrame) -> DataFrame:
     column = F.col("_feature_text")
     parsed = df.withColumns({
         "_gpa": min_gpa(column), "f_experience_years_min": experience_years(column)})
-    added = feature_expressions(column)
+    added = _feature_expressions("_feature_text")
     ordered = {name: added[name] for name in FEATURE_COLUMNS if name in added}
     return parsed.withColumns(ordered).drop("_gpa")

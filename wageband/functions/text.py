@@ -54,16 +54,26 @@ def shortest_keywords(keywords: Sequence[str]) -> list[str]:
     return [k for k in keywords if not any(o != k and o in k for o in keywords)]
 
 
-def mentions_any(text: Column, keywords: Sequence[str]) -> Column:
-    return reduce(or_, [text.contains(k) for k in shortest_keywords(keywords)])
+def mentions_any(text: Column | str, keywords: Sequence[str]) -> Column:
+    """Whether any keyword occurs in the text. A column name is quicker to plan than a column:
+    the whole test is then handed over as one expression."""
+    words = shortest_keywords(keywords)
+    if isinstance(text, str):
+        return F.expr(" OR ".join(f"contains(`{text}`, {_sql_text(w)})" for w in words))
+    return reduce(or_, [text.contains(w) for w in words])
 
 
-def contains_any(text: Column, keywords: Sequence[str]) -> Column:
+def _sql_text(value: str) -> str:
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def contains_any(text: Column | str, keywords: Sequence[str]) -> Column:
     """1 when any keyword occurs as a substring, else 0."""
     return mentions_any(text, keywords).cast("int")
 
 
-def first_match(text: Column, rules: Sequence[tuple[str, Sequence[str]]], default: Column) -> Column:
+def first_match(text: Column | str, rules: Sequence[tuple[str, Sequence[str]]],
+                default: Column) -> Column:
     """Label of the first rule with a keyword in the text."""
     (label, keywords), *rest = rules
     case = F.when(mentions_any(text, keywords), F.lit(label))

@@ -43,8 +43,10 @@ def quota_keys(fresh: DataFrame, counts: DataFrame, order: Sequence[str],
 
 
 def pick_rows(arrivals: DataFrame, keys: DataFrame, order: Sequence[str]) -> DataFrame:
-    """The full rows behind accepted keys, with their label. The keys are few enough to broadcast."""
-    return arrivals.join(F.broadcast(keys.select(*order, TARGET_COLUMN)), list(order))
+    """The full rows behind accepted keys, with URL and label of the key. The keys are few enough
+    to broadcast."""
+    return arrivals.drop(URL).join(
+        F.broadcast(keys.select(*order, URL, TARGET_COLUMN)), list(order))
 
 
 def quota_accept(arrivals: DataFrame, labelled: DataFrame, known: DataFrame, counts: DataFrame,

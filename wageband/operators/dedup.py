@@ -65,8 +65,9 @@ def skip_known(arrivals: DataFrame, known: DataFrame, order: Sequence[str]) -> D
     """First arrivals whose URL is not in ``known``.
 
     Arrivals are cut to one row per URL first: the anti join then reuses their partitioning by
-    URL and no hot URL reaches it. The known side grows with history, so it carries no broadcast
-    hint; Spark broadcasts it only when its measured size allows.
+    URL and no hot URL reaches it. The known URLs are made distinct, which drops copies before
+    their shuffle. They grow with history and so carry no broadcast hint; Spark broadcasts them
+    only when their measured size allows.
     """
-    return first_seen(arrivals, order).join(
-        known.select(URL).filter(F.col(URL).isNotNull()), URL, "left_anti")
+    known_once = known.select(URL).filter(F.col(URL).isNotNull()).distinct()
+    return first_seen(arrivals, order).join(known_once, URL, "left_anti")

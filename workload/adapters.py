@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wageband.session import spread
@@ -41,6 +41,7 @@ SENTENCES = [
     f"  Tanpa{NBSP}syarat{TAB}khusus.{IDEOGRAPHIC}",
     "ipk 30 dan 5 thn pengalaman, koordinator, 1.000 karyawan.",
 ]
+NO_COMPANY = "cast(NULL AS STRING)"
 PHONE = " hubungi 081234567890"
 
 
@@ -48,51 +49,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _pick(values: list[str], index: Column) -> Column:
-    return F.get(F.array(*[F.lit(v) for v in values]), index.cast("int"))
+def _pick(values: list[str], index: str) -> str:
+    listed = ", ".join("'" + v.replace("'", "\\'") + "'" for v in values)
+    return f"get(array({listed}), cast({index} AS INT))"
 
 
-def posting_columns(orders: DataFrame, company: Column) -> DataFrame:
+def posting_columns(orders: DataFrame, company: str) -> DataFrame:
     """Posting columns computed from order rows; also works on a stream of orders."""
-    k = F.col("o_orderkey")
-    thousand, million = F.lit(1000), F.lit(1_000_000)
-    rows = orders.withColumn("amt", F.floor(F.col("o_totalprice") * 30).cast("bigint"))
-    amt = F.col("amt")
-    rows = rows.withColumns({
-        "m": F.expr("amt div 1000000"),
-        "d": F.expr("(amt div 100000) % 10"),
-        "dots": F.concat(
-            F.expr("cast(amt div 1000000 as string)"), F.lit("."),
-            F.lpad(F.expr("cast((amt div 1000) % 1000 as string)"), 3, "0"), F.lit("."),
-            F.lpad((amt % thousand).cast("string"), 3, "0")),
-    })
-    salary = (
-        F.when(k % 10 == 1, F.format_string("Rp %s", "dots"))
-        .when(k % 10 == 2, F.format_string("Rp %s - Rp %s per bulan", "dots", "dots"))
-        .when(k % 10 == 3, F.format_string("%d,%d juta", "m", "d"))
-        .when(k % 10 == 4, F.format_string("IDR %d", "amt"))
-        .when(k % 10 == 5, F.format_string("rp %dk", F.expr("amt div 1000")))
-        .when(k % 10 == 6, F.lit("Kompetitif"))
-        .when(k % 10 == 7, F.format_string("%d - %d juta", "m", F.col("m") + 2))
-        .when(k % 10 == 8, F.format_string("gaji %d.%djt per month", "m", "d"))
-        .when(k % 10 == 9, F.lit(" "))
-    )
-    return rows.select(
-        k.alias("pos"),
-        (k % 4).cast("int").alias("piece"),
-        _pick(KEYWORDS, k % 8).alias("source_keyword"),
-        _pick(TITLES, k % 12).alias("job_title"),
-        F.when(k % 13 != 0, company).alias("company"),
-        F.when(k % 17 == 0, None).when(k % 19 == 0, "  ")
-        .otherwise(_pick(PLACES, (k * 7) % 20)).alias("location"),
-        salary.alias("salary_text"),
-        F.concat(_pick(SENTENCES, k % 16),
-                 F.when(k % 11 == 0, PHONE).otherwise("")).alias("job_description"),
-        F.when(k % 23 != 0, F.concat(
-            F.lit("https://jobs.example.org/job/"),
-            F.when(k % 5 < 2, F.expr("o_orderkey div 4")).otherwise(k).cast("string"),
-        )).alias("job_url"),
-        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("scraped_at"),
+    rows = orders.withColumnsRenamed({"o_orderkey": "k"}).selectExpr(
+        "*", "cast(floor(o_totalprice * 30) AS BIGINT) AS amt").selectExpr(
+        "*", "amt div 1000000 AS m", "(amt div 100000) % 10 AS d",
+        "concat(cast(amt div 1000000 AS STRING), '.', "
+        "lpad(cast((amt div 1000) % 1000 AS STRING), 3, '0'), '.', "
+        "lpad(cast(amt % 1000 AS STRING), 3, '0')) AS dots")
+    return rows.selectExpr(
+        "k AS pos", "cast(k % 4 AS INT) AS piece",
+        f"{_pick(KEYWORDS, 'k % 8')} AS source_keyword",
+        f"{_pick(TITLES, 'k % 12')} AS job_title",
+        f"CASE WHEN k % 13 <> 0 THEN {company} END AS company",
+        f"CASE WHEN k % 17 = 0 THEN NULL WHEN k % 19 = 0 THEN '  ' "
+        f"ELSE {_pick(PLACES, '(k * 7) % 20')} END AS location",
+        """CASE k % 10 WHEN 1 THEN concat('Rp ', dots)
+           WHEN 2 THEN concat('Rp ', dots, ' - Rp ', dots, ' per bulan')
+           WHEN 3 THEN concat(m, ',', d, ' juta') WHEN 4 THEN concat('IDR ', amt)
+           WHEN 5 THEN concat('rp ', amt div 1000, 'k') WHEN 6 THEN 'Kompetitif'
+           WHEN 7 THEN concat(m, ' - ', m + 2, ' juta')
+           WHEN 8 THEN concat('gaji ', m, '.', d, 'jt per month') WHEN 9 THEN ' ' END AS salary_text""",
+        f"concat({_pick(SENTENCES, 'k % 16')}, CASE WHEN k % 11 = 0 THEN '{PHONE}' ELSE '' END) "
+        "AS job_description",
+        "CASE WHEN k % 23 <> 0 THEN concat('https://jobs.example.org/job/', "
+        "CASE WHEN k % 5 < 2 THEN k div 4 ELSE k END) END AS job_url",
+        "date_format(o_orderdate, 'yyyy-MM-dd HH:mm:ss') AS scraped_at",
     )
 
 
@@ -105,7 +92,7 @@ def postings(spark: SparkSession, sf_dir: str, with_company: bool = True) -> Dat
     orders = spread(table(spark, sf_dir, "orders").select(
         "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
     if not with_company:
-        return posting_columns(orders, F.lit(None).cast("string")).drop("company")
+        return posting_columns(orders, NO_COMPANY).drop("company")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
-    return posting_columns(joined, F.col("c_name"))
+    return posting_columns(joined, "c_name")

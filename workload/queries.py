@@ -18,7 +18,7 @@ from wageband.schemas import (
 from wageband.session import shared_folder, spread
 from wageband.sources import alumni, delimited, pages, registry
 from wageband.streaming import ingest
-from workload.adapters import KEYWORDS, posting_columns, postings, table
+from workload.adapters import KEYWORDS, NO_COMPANY, posting_columns, postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -413,7 +413,7 @@ def _posting_stream(spark, sf):
     """The orders as a file stream; the folder or file of that name is the source."""
     schema = table(spark, sf, "orders").schema
     source = ingest.read_arrivals(spark, f"{sf}/orders.parque[t]", schema)
-    return posting_columns(source, F.lit(None).cast("string")).drop("company")
+    return posting_columns(source, NO_COMPANY).drop("company")
 
 
 @query
