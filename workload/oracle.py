@@ -219,6 +219,25 @@ sizes AS (SELECT salary_range_label, n, stratified, CAST(fl + CASE WHEN row_numb
 FILES = "printf('raw_batch_%02d.csv', piece)"
 
 
+# The test pages have plain anchors, no card elements and a handful of entities, so plain patterns
+# can say what the page operators must find. The general cases are tests on small pages.
+PAGE_TEXT = collapse("""replace(replace(replace(replace(replace(replace(replace(regexp_replace(html,
+  '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'gs'),
+  '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)),
+  '&middot;', chr(183)), '&amp;', '&')""")
+PAGES = f"""
+anchors AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, unnest(h) AS href, unnest(t) AS title FROM (
+  SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
+    regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 2) AS t FROM pages)),
+firsts AS (SELECT page_id, i, regexp_extract(url, '^[a-z]+://[^/]+') || href AS job_url,
+    {collapse('title')} AS job_title FROM anchors WHERE length({collapse('title')}) >= 3
+  QUALIFY row_number() OVER (PARTITION BY page_id, job_url ORDER BY i) = 1),
+links AS (SELECT page_id, CAST(row_number() OVER (PARTITION BY page_id ORDER BY i) AS INTEGER) AS link_no,
+  job_url, job_title FROM firsts),
+cards AS (SELECT *, '' AS card_text, '' AS company, '' AS location, '' AS salary_text FROM links),
+details AS (SELECT page_id, url, substring({PAGE_TEXT}, 1, 12000) AS detail_text FROM pages)"""
+
+
 def oracle() -> dict[str, str]:
     labelled = PAY + "," + SPLIT.format(src="pay")
     whole_batches = ", ".join(
@@ -373,6 +392,14 @@ SELECT keyword, page, '{SITE}/jobs?keywords=' || replace(url_encode(keyword), '%
 WITH s AS (SELECT CAST(c_custkey AS INTEGER) AS respondent_id, c_mktsegment AS employment_industry,
   CASE WHEN c_custkey % 10 <> 0 THEN CAST(floor(c_acctbal * 1000) AS BIGINT) END AS starting_salary FROM customer)
 SELECT *, {band('starting_salary')} AS salary_range_id, {label('starting_salary')} AS salary_range_label FROM s""",
+        "page_links": with_(PAGES, "SELECT page_id, link_no, job_url, job_title FROM links"),
+        "page_cards": with_(PAGES, "SELECT * FROM cards"),
+        "page_text": with_(PAGES, "SELECT * FROM details"),
+        "page_postings": with_(PAGES, f"""
+, one AS ({kept('cards', 'job_url', 'page_id, link_no')}),
+found AS ({kept('details', 'url', 'page_id')})
+SELECT one.*, detail_text, {collapse("concat_ws(' ', card_text, detail_text)")} AS job_description
+FROM one LEFT JOIN found ON url = job_url"""),
         "delimited_round_trip": with_(POSTINGS, "SELECT pos, piece, " + ", ".join(
             cell.format(c=c) for c in RAW.split(", ")) + " FROM postings"),
         "stream_dedup_quota": with_(PAY + "," + known_accept(
