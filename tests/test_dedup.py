@@ -1,7 +1,7 @@
 from pyspark.sql import functions as F
 
 from wageband.operators import dedup, merge
-from wageband.operators.ranking import rank_within, with_row_id
+from wageband.operators.ranking import rank_within, with_file_row_id, with_row_id
 
 
 def _rows(spark):
@@ -90,3 +90,20 @@ def test_row_id_is_dense(spark):
     assert [r.source_id for r in plain] == list(range(1, 1001))
     grouped = with_row_id(rows, "pos", ["f"], block=64).orderBy("f", "pos").collect()
     assert [r.source_id for r in grouped] == list(range(1, 1001))
+
+
+def test_row_id_from_files(spark, tmp_path):
+    for name, start in (("a", 0), ("b", 50), ("c", 120)):
+        spark.range(start, start + 70).coalesce(1).write.parquet(str(tmp_path / f"f={name}"))
+    whole = spark.read.parquet(str(tmp_path))
+    for most in (10, 1):
+        rows = with_file_row_id(whole, most_files=most).orderBy("f", "id").collect()
+        assert [r.source_id for r in rows] == list(range(1, 211))
+    plan = with_file_row_id(whole)._jdf.queryExecution().optimizedPlan().toString()
+    assert "broadcast" in plan
+
+
+def test_known_urls(spark):
+    rows = _rows(spark)
+    known = dedup.known_urls([rows, rows.drop("job_url"), rows.filter("pos = 3")])
+    assert sorted(r[0] for r in known.collect()) == ["A", "A", "B", "B"]

@@ -1,3 +1,4 @@
+from wageband.schemas import RAW_COLUMNS
 from wageband.sources import pages
 from wageband.sources.html_tree import parse
 
@@ -64,6 +65,7 @@ def test_postings_from_pages(spark):
         "page_id BIGINT, url STRING, detail_text STRING")
     rows = pages.page_postings(listing, detail, ["page_id", "link_no"]).collect()
     assert len(rows) == 3 and {r.page_id for r in rows} == {0}
+    assert pages.to_raw(spark.createDataFrame(rows)).columns == RAW_COLUMNS
     described = {r.job_url: r.job_description for r in rows}
     assert described["https://h/job/1?x=1"].endswith(" rinci")
     assert described["https://other.example/job/3"].endswith("Tax Staff")

@@ -98,6 +98,26 @@ def test_publish_and_balance(spark, tmp_path):
     assert {r["count"] for r in tables.training.read(spark).groupBy("salary_range_label").count().collect()} == {2}
 
 
+def test_batches_fold_into_the_combined_table(spark, tmp_path):
+    def batch(*urls):
+        return spark.createDataFrame(
+            [(i, "k", t, None, "Bandung", "Rp 5.000.000", "d", u, "2024") for i, (u, t) in enumerate(urls)],
+            "pos BIGINT, " + ", ".join(f"{c} STRING" for c in RAW_COLUMNS))
+
+    tables = PublishedTables(str(tmp_path))
+    tables.publish(batch(("a", "old"), ("o", "old")))
+    tables.publish_batch("01 First", batch(("a", "one"), ("b", "one")))
+    tables.publish_batch("02 Second", batch(("b", "wrong")))
+    tables.publish_batch("02 Second", batch(("b", "two"), (None, "two")))
+    tables.publish_combined(spark)
+    assert [(r.job_url, r.job_title) for r in tables.raw.read(spark).orderBy("pos").collect()] == [
+        ("o", "old"), ("a", "one"), ("b", "two")]
+    assert tables.training.read(spark).count() == 3
+    stored = spark.read.parquet(str(tmp_path / "batches" / "training"))
+    assert {r.batch_name: r["count"] for r in stored.groupBy("batch_name").count().collect()} == {
+        "01_first": 2, "02_second": 2}
+
+
 def test_missing_columns_are_tolerated(spark):
     a = spark.createDataFrame([("u",)], "job_url STRING")
     b = spark.createDataFrame([("t", "v")], "job_title STRING, job_url STRING")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -61,6 +62,12 @@ def first_seen(arrivals: DataFrame, order: Sequence[str]) -> DataFrame:
     return first_per_key(named, [URL], _directed(order, "first"))
 
 
+def known_urls(tables: Sequence[DataFrame]) -> DataFrame:
+    """URLs of stored tables, checkpoints and batches; tables without the column add none."""
+    return reduce(DataFrame.unionByName, [
+        t.select(URL).filter(F.col(URL).isNotNull()) for t in tables if URL in t.columns])
+
+
 def skip_known(arrivals: DataFrame, known: DataFrame, order: Sequence[str]) -> DataFrame:
     """First arrivals whose URL is not in ``known``.
 

@@ -35,6 +35,15 @@ def merge_latest_wins(combined: DataFrame, batches: Sequence[DataFrame]) -> Data
     return merge([combined, *batches], "last")
 
 
+def merge_batch_table(combined: DataFrame | None, batches: DataFrame,
+                      batch: str = "batch_name") -> DataFrame:
+    """The same with all batches in one table: one union however many batches there are."""
+    pieces = union_pieces([batches] if combined is None else [combined, batches])
+    if combined is None:
+        return dedup.keep_last(pieces, [batch, POSITION])
+    return dedup.keep_last(pieces, [PIECE, batch, POSITION])
+
+
 def merge_first_wins(batches: DataFrame, provenance: str = "source_batch_file") -> DataFrame:
     """Batch rows with their file name: the earliest file wins, rows without a key kept as one."""
     return dedup.keep_first_by_cascade(batches, [provenance, POSITION])

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 SALTS = 64
 # Positions per block when numbering rows: the most rows one task numbers for one block.
 BLOCK = 1 << 16
+# Files whose offsets are broadcast, one short row each.
+MOST_FILES = 50_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -25,12 +27,17 @@ def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -
 
 
 def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: int,
-                rank: str = "_rank", salts: int = SALTS) -> DataFrame:
+                rank: str = "_rank") -> DataFrame:
     """Rows ranked 1..n per group by ``order``, with the rank.
 
     Few groups would leave most of the cluster idle. So each group is first cut to n rows per
-    salt, in ``salts`` tasks, and the final ranking sees n * salts rows per group at most.
+    salt, in as many tasks as there are salts, and the final ranking sees n * salts rows per group
+    at most. Up to its own limit Spark also cuts to n rows per map task before the first shuffle;
+    beyond that limit all rows are shuffled, and so get more salts.
     """
+    salts = SALTS
+    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
+        salts = max(salts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
     near = W.partitionBy(*groups, "_salt").orderBy(*order)
     final = W.partitionBy(*groups).orderBy(*order)
@@ -61,3 +68,25 @@ def with_row_id(df: DataFrame, position: str, groups: Sequence[str] = (),
         .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
         .drop("_block", "_inside", "_start")
     )
+
+
+def with_file_row_id(scan: DataFrame, name: str = "source_id",
+                     most_files: int = MOST_FILES) -> DataFrame:
+    """Dense 1-based row number in the order of file path, then row within the file.
+
+    For a table read straight from Parquet files. Only one count per file is gathered; the rows
+    stay where they were read. With too many files to broadcast, rows are numbered per file and
+    block instead.
+    """
+    located = scan.withColumns({
+        "_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
+    if len(scan.inputFiles()) > most_files:
+        return with_row_id(located, "_row", ["_file"], name).drop("_file", "_row")
+    sizes = located.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
+    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    return (
+        located.join(F.broadcast(offsets), "_file")
+        .withColumn(name, (F.col("_start") + F.col("_row") + 1).cast("bigint"))
+        .drop("_file", "_row", "_start")
+    )

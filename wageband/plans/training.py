@@ -160,11 +160,12 @@ class Training:
     report: DataFrame
     confusion: DataFrame
     importance: DataFrame
+    targets: DataFrame
     labels: list[str] = field(default_factory=list)
 
     def save(self, root: str) -> None:
         self.model.write().overwrite().save(f"{root}/model")
-        for name in ("metrics", "report", "confusion", "importance"):
+        for name in ("metrics", "report", "confusion", "importance", "targets"):
             getattr(self, name).write.mode("overwrite").parquet(f"{root}/{name}")
 
 
@@ -245,8 +246,6 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
         "text_features": F.array(*[F.lit(c) for c in text])})
     return Training(
         model, fills, predictions, metrics, classification_report(predictions),
-        confusion_matrix(predictions, labels), _importance(model, numeric, text), labels)
+        confusion_matrix(predictions, labels), _importance(model, numeric, text),
+        distribution(rows), labels)
 
-
-def target_distribution(df: DataFrame) -> DataFrame:
-    return distribution(labelled_rows(df))

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from wageband.functions.text import clean_text, null_to_empty, pay_snippet
 from wageband.operators.dedup import URL, first_seen
 from wageband.operators.ranking import first_per_key
+from wageband.schemas import RAW_COLUMNS
 from wageband.sources.html_tree import Element, parse
 
 # Element tests as (tag or any, attribute, whole or part, value), tried in order.
@@ -52,6 +53,7 @@ CLIMB_STEPS = 8
 DETAIL_LONGER_THAN = 100
 DETAIL_LENGTH = 12_000
 LINK_MARK = "/job/"
+STAMP = "yyyy-MM-dd HH:mm:ss"
 
 
 def _matches(node: Element, selector: Selector) -> bool:
@@ -200,3 +202,11 @@ def page_postings(listing: DataFrame, details: DataFrame, order: Sequence[str])
     joined = first_seen(listing, order).join(one_detail, URL, "left")
     return joined.withColumn("job_description", clean_text(
         F.concat_ws(" ", "card_text", "detail_text")))
+
+
+def to_raw(found: DataFrame) -> DataFrame:
+    """The eight raw columns, stamped with the time of this run."""
+    stamped = found.withColumn("scraped_at", F.date_format(F.current_timestamp(), STAMP))
+    if "source_keyword" not in stamped.columns:
+        stamped = stamped.withColumn("source_keyword", F.lit(""))
+    return stamped.select(*RAW_COLUMNS)

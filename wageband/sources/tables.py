@@ -6,9 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from wageband.functions.text import slug
 from wageband.operators import merge
 from wageband.operators.balance import cap_classes
+from wageband.operators.ranking import with_row_id
 from wageband.plans.datasets import build_proxy, build_training_table
 from wageband.schemas import TARGET_PER_CLASS
 
@@ -77,6 +80,36 @@ class PublishedTables:
         self.proxy.write(build_proxy(self.raw.read(spark), position, groups))
         self.training.write(build_training_table(self.proxy.read(spark)))
 
+    def _batches(self, stage: str) -> str:
+        return f"{self.root}/batches/{stage}"
+
+    def publish_batch(self, name: str, raw: DataFrame, position: str = merge.POSITION) -> None:
+        """Write one batch's raw, proxy and training rows; its former rows are replaced."""
+        def tagged(df: DataFrame) -> DataFrame:
+            return df.withColumn("batch_name", slug(F.lit(name)))
+
+        spark = raw.sparkSession
+        write_batch(tagged(raw), self._batches("raw"))
+        stored = spark.read.parquet(self._batches("raw")).filter(
+            F.col("batch_name") == slug(F.lit(name)))
+        proxy = build_proxy(stored, position)
+        write_batch(tagged(proxy), self._batches("proxy"))
+        write_batch(tagged(build_training_table(proxy)), self._batches("training"))
+
+    def publish_combined(self, spark: SparkSession) -> None:
+        """Fold all batches into the combined table, the latest batch winning, and publish it.
+
+        Positions are given anew in the order of the merge, so that later merges keep it.
+        """
+        batches = spark.read.parquet(self._batches("raw"))
+        old = self.raw.read(spark) if self.raw.versions(spark) else None
+        merged = merge.merge_batch_table(old, batches)
+        order = [merge.PIECE, "_batch"]
+        placed = merged.withColumn("_batch", F.coalesce("batch_name", F.lit("")))
+        renumbered = with_row_id(placed.withColumnRenamed(merge.POSITION, "_pos"), "_pos", order,
+                                 merge.POSITION).drop("_pos", "_batch", merge.PIECE, "batch_name")
+        self.publish(renumbered)
+
     def balance(self, spark: SparkSession, n: int = TARGET_PER_CLASS) -> None:
         """Publish the balanced table as the next training version; the full one stays."""
         self.training.write(cap_classes(self.training.read(spark), ["source_id"], n))
