@@ -1,3 +1,9 @@
+import os
+import subprocess
+import sys
+
+from pyspark import cloudpickle
+
 from wageband.schemas import RAW_COLUMNS
 from wageband.sources import pages
 from wageband.sources.html_tree import parse
@@ -84,3 +90,13 @@ def test_pay_fallback_only_without_pay(spark):
                                   "salary_text STRING, card_text STRING")
     assert [r[0] for r in pages.with_pay_fallback(cards).select("salary_text").collect()] == [
         "Rp 1", "gaji Rp 2", ""]
+
+
+def test_task_functions_need_no_installed_package(tmp_path):
+    job = tmp_path / "job.pickle"
+    job.write_bytes(cloudpickle.dumps(lambda: [
+        r[1] for r in pages._card_rows(LISTING, "https://h", pages.LINK_MARK)]))
+    run = subprocess.run(
+        [sys.executable, "-c", "import pickle, sys; print(len(pickle.load(open(sys.argv[1], 'rb'))()))",
+         str(job)], cwd=tmp_path, capture_output=True, text=True, env={"PATH": os.environ["PATH"]})
+    assert run.stdout.strip() == "3", run.stderr

@@ -221,10 +221,10 @@ FILES = "printf('raw_batch_%02d.csv', piece)"
 
 # The test pages have plain anchors, no card elements and a handful of entities, so plain patterns
 # can say what the page operators must find. The general cases are tests on small pages.
-PAGE_TEXT = collapse("""replace(replace(replace(replace(replace(replace(replace(regexp_replace(html,
+PAGE_TEXT = collapse("""regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html,
   '<script.*?</script>|<style.*?</style>|<!--.*?-->|<[^>]*>', ' ', 'gs'),
   '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy;', chr(169)),
-  '&middot;', chr(183)), '&amp;', '&')""")
+  '&middot;', chr(183)), '&amp;?', '&', 'g')""")
 PAGES = f"""
 anchors AS (SELECT page_id, url, generate_subscripts(h, 1) AS i, unnest(h) AS href, unnest(t) AS title FROM (
   SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)">([^<]*)</a>', 1) AS h,
