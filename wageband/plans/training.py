@@ -186,7 +186,9 @@ def _stages(numeric: Sequence[str], text: Sequence[str], labels: list[str], tree
         RandomForestClassifier(
             labelCol="_label", featuresCol="features", weightCol="_weight",
             predictionCol="_predicted", numTrees=trees, maxDepth=depth, seed=seed,
-            minInstancesPerNode=LEAF, featureSubsetStrategy="sqrt", impurity="gini"),
+            minInstancesPerNode=LEAF, featureSubsetStrategy="sqrt", impurity="gini",
+            # More tree nodes per pass over the rows.
+            maxMemoryInMB=1024),
         IndexToString(inputCol="_predicted", outputCol=PREDICTED, labels=labels),
     ]
 
@@ -217,12 +219,14 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     # Every step below reads the rows again: keep the narrow ones instead of parsing texts anew.
     rows = labelled_rows(df).select(key, *numeric, *text, TARGET_COLUMN).persist()
     check_rows(rows)
-    split = with_split(rows, key, share, seed)
+    split = with_split(rows, key, share, seed).persist()
+    n_rows = split.count()
+    rows.unpersist()
     fitting = split.filter(~F.col("is_test"))
     stats = impute_values(fitting, numeric, text).first().asDict()
     fills = {c: v for c, v in stats.items() if v is not None}
 
-    labels = [r[0] for r in rows.select(TARGET_COLUMN).distinct().orderBy(TARGET_COLUMN).collect()]
+    labels = [r[0] for r in split.select(TARGET_COLUMN).distinct().orderBy(TARGET_COLUMN).collect()]
     place = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])
     weights = class_weights(fitting).select(TARGET_COLUMN, F.col("weight").alias("_weight"))
 
@@ -235,9 +239,8 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     predictions = model.transform(prepared(split.filter("is_test"))).select(
         key, F.col(TARGET_COLUMN).alias(ACTUAL), PREDICTED)
     test_rows = F.count(F.lit(1))
-    n_train = fitting.count()
     metrics = predictions.agg(
-        (test_rows + n_train).alias("n_rows"), F.lit(n_train).alias("n_train"),
+        F.lit(n_rows).alias("n_rows"), (F.lit(n_rows) - test_rows).alias("n_train"),
         test_rows.alias("n_test"),
         F.avg((F.col(ACTUAL) == F.col(PREDICTED)).cast("double")).alias("accuracy"),
     ).withColumns({
@@ -247,5 +250,5 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     return Training(
         model, fills, predictions, metrics, classification_report(predictions),
         confusion_matrix(predictions, labels), _importance(model, numeric, text),
-        distribution(rows), labels)
+        distribution(split), labels)
 
