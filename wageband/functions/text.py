@@ -116,9 +116,7 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(lowered, "[^a-z0-9]+", "_"), "^_+|_+$", "")
 
 
-def pay_snippet(text: Column) -> Column:
-    """Words around the first tokens that mention money, in the original case."""
-    words = F.split(clean_text(text), " ")
+def _snippet_of(words: Column) -> Column:
     marked = F.filter(
         F.transform(words, lambda w, i: F.when(
             mentions_any(F.lower(w), vocab.SNIPPET_MARKERS), i)),
@@ -130,6 +128,13 @@ def pay_snippet(text: Column) -> Column:
         end = F.least(i + vocab.SNIPPET_WORDS_AFTER, F.size(words))
         return F.array_join(F.slice(words, start + 1, end - start), " ")
 
-    snippet = F.array_join(
+    return F.array_join(
         F.transform(F.slice(marked, 1, vocab.SNIPPET_CHUNKS), window), " | ")
+
+
+def pay_snippet(text: Column) -> Column:
+    """Words around the first tokens that mention money, in the original case."""
+    # The one-element array lets the lambda name the words, so that they are split only once.
+    words = F.array(F.split(clean_text(text), " "))
+    snippet = F.get(F.transform(words, _snippet_of), F.lit(0))
     return F.when(mentions_any(F.lower(text), vocab.SNIPPET_MARKERS), snippet).otherwise("")
