@@ -54,3 +54,52 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     path = shared_folder(df.sparkSession, purpose)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# Characters of text worked on at once inside a task.
+SLICE_CHARS = 4_000_000
+
+
+def with_arrow_columns(df: DataFrame, text: str, results: dict[str, str],
+                       start: Callable[[], Callable], slice_chars: int = SLICE_CHARS) -> DataFrame:
+    """``df`` with columns worked out from its text column by Arrow batches.
+
+    ``start()`` runs once per task and returns a function from a list of texts (None for null) to
+    one list or array per result. Batches are cut so that about ``slice_chars`` characters, or one
+    longer text, are worked on at once. Result columns replace input columns of the same name.
+    """
+    from pyspark.sql.types import StructType
+
+    names = {r.lower() for r in results}
+    kept = [c for c in df.columns if c.lower() not in names]
+    fresh = StructType.fromDDL(", ".join(f"`{n}` {t}" for n, t in results.items()))
+    work = unused(df, "_text")
+    rows = df.select(*[F.col(f"`{c}`") for c in kept],
+                     F.col(f"`{text}`").cast("string").alias(work))
+    schema = StructType([f for f in rows.schema.fields if f.name != work] + fresh.fields)
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        types = [to_arrow_type(f.dataType) for f in fresh.fields]
+        of = start()
+        for batch in batches:
+            texts = batch.column(batch.num_columns - 1)
+            sizes = pc.fill_null(pc.utf8_length(texts), 0).to_pylist()
+            first = 0
+            while first < batch.num_rows:
+                last, chars = first, 0
+                while last < batch.num_rows and (last == first or chars + sizes[last] <= slice_chars):
+                    chars += sizes[last]
+                    last += 1
+                part = batch.slice(first, last - first)
+                out = of(part.column(part.num_columns - 1).to_pylist())
+                arrays = [part.column(i) for i in range(part.num_columns - 1)]
+                arrays += [o if isinstance(o, pa.Array) else pa.array(o, type=t)
+                           for o, t in zip(out, types)]
+                yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+                first = last
+
+    return rows.mapInArrow(run, schema)

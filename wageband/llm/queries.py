@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from wageband.llm import mixing, rules
-from wageband.llm.common import table
+from wageband.llm import bpe, mixing, rules, toxicity
+from wageband.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +20,31 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def tokenizer_path() -> str:
+    """The tokenizer file the contract names; it stays where its package has it."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op1_bpe(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    coded = bpe.with_bpe(docs, tokenizer_path(), outputs=("n_tokens", "ids_text", "decoded"))
+    return coded.select("doc_id", "n_tokens", F.sha2("ids_text", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query
+def op2_toxicity(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    lexicon = toxicity.learn_lexicon(
+        toxicity.training_rows(docs, table(spark, sf, "labels"), "toxic"))
+    return toxicity.with_toxicity(docs, lexicon).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        toxicity.predicted(F.col("score")).alias("predicted"), "evidence", "n_matches")
+
+
 @query
 def op3_quality_rules(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "text")
