@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.llm import bpe, mixing, rules, toxicity
+from wageband.llm import bpe, html_text, mixing, rules, toxicity
 from wageband.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -51,6 +51,12 @@ def op3_quality_rules(spark, sf):
     return rules.with_quality_rules(docs).drop("text", "broken_rules")
 
 
+@query
+def op8_html_extract(spark, sf):
+    pages = table(spark, sf, "pages").select("page_id", "url", "html")
+    return html_text.with_main_text(pages).select("page_id", "url", "text", "n_chars")
+
+
 @query
 def op10_pfair_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
