@@ -11,8 +11,10 @@ there is only one, so places that led nowhere are never tried twice.
 from __future__ import annotations
 
 import json
+import pickle
 from array import array
 
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 
 from wageband.llm.common import with_arrow_columns
@@ -306,10 +308,13 @@ def with_bpe(df: DataFrame, path: str, text: str = "text",
     input columns of the same name.
     """
     types = {"n_tokens": "BIGINT", "ids": "ARRAY<INT>", "ids_text": "STRING", "decoded": "STRING"}
-    tables = df.sparkSession.sparkContext.broadcast(BpeTables(path))
+    # Pickled with its class, and unpickled once per process: the list is the process's own.
+    tables = df.sparkSession.sparkContext.broadcast([cloudpickle.dumps(BpeTables(path))])
 
     def start():
-        coder = tables.value.coder()
+        if isinstance(tables.value[0], bytes):
+            tables.value[0] = pickle.loads(tables.value[0])
+        coder = tables.value[0].coder()
 
         def code(texts):
             rows = []

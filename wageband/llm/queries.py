@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.llm import bpe, html_text, mixing, ngram_join, rules, toxicity
+from wageband.llm import bpe, embeddings, html_text, mixing, ngram_join, rules, toxicity
 from wageband.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,6 +62,11 @@ def op8_html_extract(spark, sf):
     return html_text.with_main_text(pages).select("page_id", "url", "text", "n_chars")
 
 
+@query
+def op9_embedding_dedup(spark, sf):
+    return embeddings.embedding_groups(table(spark, sf, "embeddings"))
+
+
 @query
 def op10_pfair_mix(spark, sf):
     docs = table(spark, sf, "documents").select("doc_id", "source")
