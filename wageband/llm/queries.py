@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.llm import bpe, embeddings, html_text, mixing, ngram_join, rules, toxicity
+from wageband.llm import bpe, embeddings, html_text, mixing, ngram_join, rules, suffix_dedup, toxicity
 from wageband.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,11 @@ def op4_ngram_join(spark, sf):
     return ngram_join.ngram_join(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op6_suffix_dedup(spark, sf):
+    return suffix_dedup.repeated_spans(table(spark, sf, "documents").select("doc_id", "text"))
+
+
 @query
 def op8_html_extract(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
