@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.llm import bpe, embeddings, html_text, mixing, ngram_join, rules, suffix_dedup, toxicity
+from wageband.llm import (
+    bpe, embeddings, html_text, mixing, ngram_join, quality, rules, suffix_dedup, toxicity,
+)
 from wageband.llm.common import remainder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +58,15 @@ def op4_ngram_join(spark, sf):
     return ngram_join.ngram_join(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op5_quality_classifier(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality.learn_quality(docs, table(spark, sf, "labels"))
+    return quality.with_quality(docs, model).select(
+        "doc_id", (remainder(F.col("doc_id"), 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query
 def op6_suffix_dedup(spark, sf):
     return suffix_dedup.repeated_spans(table(spark, sf, "documents").select("doc_id", "text"))
