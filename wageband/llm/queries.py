@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wageband.llm import (
-    bpe, embeddings, html_text, mixing, ngram_join, quality, rules, suffix_dedup, toxicity,
+    bpe, embeddings, html_text, lm_score, mixing, ngram_join, quality, rules, suffix_dedup, toxicity,
 )
 from wageband.llm.common import remainder, table
 
@@ -72,6 +72,13 @@ def op6_suffix_dedup(spark, sf):
     return suffix_dedup.repeated_spans(table(spark, sf, "documents").select("doc_id", "text"))
 
 
+@query
+def op7_lm_score(spark, sf):
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    part = remainder(F.col("doc_id"), 10)
+    return lm_score.with_lm_scores(docs.withColumn("held_out", part == 0), part != 0)
+
+
 @query
 def op8_html_extract(spark, sf):
     pages = table(spark, sf, "pages").select("page_id", "url", "html")
