@@ -11,10 +11,10 @@ from wageband.llm import (
     bpe, embeddings, html_text, lm_score, mixing, ngram_join, quality, rules, suffix_dedup, toxicity,
 )
 from wageband.llm.common import remainder, table
+from wageband.llm.oracle import ORACLE_SQL  # noqa: F401  the entry module reads it from here
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
 
 
 def query(fn: Query) -> Query:
