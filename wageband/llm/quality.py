@@ -55,7 +55,7 @@ def _dense(count: int, seed: int):
     return out
 
 
-def _coded(df: DataFrame, text: str) -> DataFrame:
+def _coded(df: DataFrame, text: str, slots: str = "_slots", shapes: str = "_shapes") -> DataFrame:
     """Slots and shapes of the words of every text, as arrays of numbers.
 
     A shape turns runs of capitals, small letters and digits into one letter each and keeps signs.
@@ -64,8 +64,8 @@ def _coded(df: DataFrame, text: str) -> DataFrame:
     shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(
         value, "\\p{Lu}+", "A"), "\\p{Ll}+", "a"), "\\p{N}+", "0")
     return df.withColumns({
-        "_slots": F.transform(words_of(value), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")),
-        "_shapes": F.transform(words_of(shape), lambda w: F.pmod(F.xxhash64(w), F.lit(SHAPES)).cast("int")),
+        slots: F.transform(words_of(value), lambda w: F.pmod(F.xxhash64(w), F.lit(SLOTS)).cast("int")),
+        shapes: F.transform(words_of(shape), lambda w: F.pmod(F.xxhash64(w), F.lit(SHAPES)).cast("int")),
     })
 
 
@@ -297,7 +297,8 @@ def _mapped(df: DataFrame, text: str, name: str, kind: str, vectors, work) -> Da
     from pyspark.sql.types import StructType
 
     row = unused(df, "_text")
-    coded = _coded(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(row)), row)
+    slots, shapes = unused(df, "_slots"), unused(df, "_shapes")
+    coded = _coded(df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").alias(row)), row, slots, shapes)
     fresh = StructType.fromDDL(f"{name} {kind}")
     schema = StructType([f for f in df.select(*[F.col(f"`{c}`") for c in kept]).schema.fields] + fresh.fields)
     shared = df.sparkSession.sparkContext.broadcast(vectors)
@@ -315,7 +316,7 @@ def _mapped(df: DataFrame, text: str, name: str, kind: str, vectors, work) -> Da
                 yield pa.RecordBatch.from_arrays(
                     [part.column(i) for i in range(len(kept))] + [made], names=schema.names)
 
-    return coded.select(*[F.col(f"`{c}`") for c in kept], "_slots", "_shapes").mapInArrow(run, schema)
+    return coded.select(*[F.col(f"`{c}`") for c in kept], slots, shapes).mapInArrow(run, schema)
 
 
 def with_features(df: DataFrame, vectors, text: str = "text") -> DataFrame:

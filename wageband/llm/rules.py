@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wageband.functions.once import with_columns_once
-from wageband.llm.common import BLANKS, let, words_of
+from wageband.llm.common import BLANKS, let, unused, words_of
 
 SYMBOLS = "#*$%&|<>"
 LEAST_WORDS = 10
@@ -91,7 +91,7 @@ def repeated_words(words: Column) -> Column:
     ).cast("bigint")
 
 
-def text_measures(text: Column, words: Column) -> dict[str, Column]:
+def text_measures(text: Column, words: Column, lines_name: str) -> dict[str, Column]:
     """Counts the rules are made of; ``words`` is the word array of ``text``."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: F.trim(x, F.lit(BLANKS)) != "")
@@ -104,7 +104,7 @@ def text_measures(text: Column, words: Column) -> dict[str, Column]:
         "n_letters": F.regexp_count(text, F.lit("\\p{L}")).cast("bigint"),
         "n_stop_words": F.size(F.filter(words, lambda w: F.lower(w).isin(
             *dict.fromkeys(STOP_WORDS)))).cast("bigint"),
-        "_lines": let(lines, lambda x: F.struct(
+        lines_name: let(lines, lambda x: F.struct(
             F.size(x).cast("bigint").alias("n"),
             (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("dup"),
             F.size(F.filter(x, lambda y: F.trim(y, F.lit(BLANKS)).endswith("...")
@@ -160,17 +160,15 @@ def with_quality_rules(df: DataFrame, text: str = "text", rules: list[Rule] | No
     """
     plain = [c for c in df.columns if c.lower() not in {r.lower() for r in RESULTS}]
     rows = df.select(*[F.col(f"`{c}`") for c in plain])
-    words = "_words"
-    while words in plain:
-        words += "_"
+    words, lines = unused(rows, "_words"), unused(rows, "_lines")
     counted = with_columns_once(
         with_columns_once(rows, {words: words_of(F.col(text))}),
-        text_measures(F.col(text), F.col(words)))
+        text_measures(F.col(text), F.col(words), lines))
     base = (F.col("n_words") < LEAST_WORDS) | (
         100 * F.col("n_repeat_words") > MOST_REPEATED_PERCENT * F.col("n_words"))
     judged = counted.drop(words).withColumns({
-        "n_lines": F.col("_lines.n"), "n_dup_lines": F.col("_lines.dup"),
-        "n_cut_lines": F.col("_lines.cut"),
+        "n_lines": F.col(f"{lines}.n"), "n_dup_lines": F.col(f"{lines}.dup"),
+        "n_cut_lines": F.col(f"{lines}.cut"),
     }).withColumns({
         "base_failed": base,
         "broken_rules": compile_rules(RULES if rules is None else rules),
