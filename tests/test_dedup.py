@@ -96,14 +96,22 @@ def test_row_id_from_files(spark, tmp_path):
     for name, start in (("a", 0), ("b", 50), ("c", 120)):
         spark.range(start, start + 70).coalesce(1).write.parquet(str(tmp_path / f"f={name}"))
     whole = spark.read.parquet(str(tmp_path))
-    for most in (10, 1):
-        rows = with_file_row_id(whole, most_files=most).orderBy("f", "id").collect()
-        assert [r.source_id for r in rows] == list(range(1, 211))
-    plan = with_file_row_id(whole)._jdf.queryExecution().optimizedPlan().toString()
-    assert "broadcast" in plan
+    rows = with_file_row_id(whole).orderBy("f", "id").collect()
+    assert [r.source_id for r in rows] == list(range(1, 211))
 
 
-def test_known_urls(spark):
-    rows = _rows(spark)
-    known = dedup.known_urls([rows, rows.drop("job_url"), rows.filter("pos = 3")])
-    assert sorted(r[0] for r in known.collect()) == ["A", "A", "B", "B"]
+def test_row_id_loses_no_row(spark):
+    rows = spark.createDataFrame([("a", 1), (None, 2), ("a", None), ("b", 3)], "f STRING, pos BIGINT")
+    assert sorted(r.source_id for r in with_row_id(rows, "pos", ["f"]).collect()) == [1, 2, 3, 4]
+    assert sorted(r.source_id for r in with_row_id(rows, "pos").collect()) == [1, 2, 3, 4]
+
+
+def test_blank_url_is_none(spark):
+    rows = spark.createDataFrame([("", 1), ("", 2), ("u", 3)], "job_url STRING, pos BIGINT")
+    assert [r.job_url for r in dedup.keep_last(rows, ["pos"]).collect()] == ["u"]
+
+
+def test_counts_of_a_null_source(spark):
+    rows = spark.createDataFrame([(None, 1), ("a", 2)], "f STRING, pos BIGINT")
+    assert {(r.f, r.rows_after, r.rows_removed) for r in merge.merge_counts(rows, rows, "f").collect()} == {
+        (None, 1, 0), ("a", 1, 0)}

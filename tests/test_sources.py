@@ -51,6 +51,25 @@ def test_separator_and_layouts(spark, tmp_path):
         ("u1", 5, None, "a.csv"), ("u2", None, None, "a.csv"), ("u3", None, "e", "b.csv")}
 
 
+def test_one_bad_path_spoils_nothing(spark, tmp_path):
+    (tmp_path / "01.csv").write_text("job_url,job_title,source_batch_file\nu1,t1,old\n")
+    (tmp_path / "02.csv").write_text("job_title,job_url\nt2,u2\n")
+    (tmp_path / "03.csv").write_text("")
+    rows = delimited.read_delimited(spark, [str(tmp_path / "0*.csv"), str(tmp_path / "none.csv")])
+    assert {(r.job_url, r.job_title, r.source_batch_file) for r in rows.collect()} == {
+        ("u1", "t1", "01.csv"), ("u2", "t2", "02.csv")}
+
+
+def test_order_follows_file_names(spark, tmp_path):
+    from wageband.operators.dedup import keep_last
+
+    (tmp_path / "01.csv").write_text("job_url,job_title\nu,small\n")
+    (tmp_path / "02.csv").write_text("job_url,job_title\n" + "".join(f"x{i},y\n" for i in range(500)) + "u,large\n")
+    rows = delimited.read_delimited(spark, str(tmp_path / "*.csv"))
+    kept = {r.job_url: r.job_title for r in keep_last(rows, delimited.FILE_ORDER).collect()}
+    assert kept["u"] == "large"
+
+
 def test_export_keeps_blanks_and_quotes(spark, tmp_path):
     row = ("k", "  lead", 'q"x', "a\nb", " ", "x,y", "u", "s")
     delimited.write_delimited(spark.createDataFrame([row], RAW_SCHEMA), str(tmp_path / "out"))

@@ -13,6 +13,9 @@ from wageband.functions.text import mentions_any, normalize_text
 from wageband.schemas import TARGET_COLUMN, UNKNOWN_LABEL, WAGE_BANDS, WageBand
 
 
+NUMBER = r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"
+
+
 def _rupiah(numeral: Column, millions: Column) -> Column:
     """Value of one numeral such as ``4.500.000`` or ``7,5`` with its unit."""
     # A separator next to a unit of millions is a decimal point. Double to bigint truncates.
@@ -91,7 +94,10 @@ def relabel_from_salary_avg(df: DataFrame, bands: Sequence[WageBand] = WAGE_BAND
     """Recompute the label from the stored average; the band id is left as it was."""
     if "salary_avg" not in df.columns:
         return df
-    numeric = df.withColumn("salary_avg", F.col("salary_avg").try_cast("double"))
-    avg = F.when(~F.isnan("salary_avg"), F.col("salary_avg"))
+    # A cast would also read type suffixes such as 5d; a number has digits, a point, an exponent.
+    text = F.col("salary_avg").cast("string")
+    numeric = df.withColumn("salary_avg", F.when(
+        text.rlike(NUMBER), F.col("salary_avg").try_cast("double")))
+    avg = F.when(F.abs("salary_avg") < float("inf"), F.col("salary_avg"))
     return numeric.withColumn("salary_avg", avg).withColumn(
         TARGET_COLUMN, band_label(F.col("salary_avg"), bands))

@@ -104,7 +104,9 @@ def experience_years(text: Column) -> Column:
     """Smallest number of years of experience asked for in normalised text, 0 if none."""
     hits = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(1))
                       for p in vocab.EXPERIENCE_PATTERNS])
-    years = F.array_min(F.transform(hits, lambda h: h.try_cast("int")))
+    # A number beyond the type's range is still the number of years asked for: the largest one.
+    years = F.array_min(F.transform(hits, lambda h: F.coalesce(
+        h.try_cast("int"), F.when(h != "", F.lit(2 ** 31 - 1)))))
     worth_a_scan = mentions_any(text, ["pengalaman", "experience"]) & mentions_any(
         text, ["tahun", "thn", "year"])
     return F.coalesce(F.when(worth_a_scan, years), F.lit(0))

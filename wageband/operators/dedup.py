@@ -28,10 +28,16 @@ def deduplicate(df: DataFrame, order: Sequence[str], keep: str = "last",
     """One row per key, the first or last in ``order``.
 
     Without the key columns whole rows are compared, leaving out the order columns and
-    ``ignore``. Kept nulls count as equal to each other.
+    ``ignore``. Kept nulls count as equal to each other. An empty text in a stored table is a
+    missing value: it is dropped with the null keys.
     """
     if keys and all(k in df.columns for k in keys):
-        rows = df.dropna(subset=list(keys)) if drop_null_keys else df
+        rows = df
+        if drop_null_keys:
+            types = dict(df.dtypes)
+            rows = df.dropna(subset=list(keys)).filter(reduce(
+                lambda a, b: a & b, [F.col(k) != "" for k in keys if types[k] == "string"],
+                F.lit(True)))
         return first_per_key(rows, keys, _directed(order, keep))
     whole = [c for c in df.columns if c not in order and c not in ignore]
     return first_per_key(df, whole, _directed(order, keep))
@@ -62,12 +68,6 @@ def first_seen(arrivals: DataFrame, order: Sequence[str]) -> DataFrame:
     return first_per_key(named, [URL], _directed(order, "first"))
 
 
-def known_urls(tables: Sequence[DataFrame]) -> DataFrame:
-    """URLs of stored tables, checkpoints and batches; tables without the column add none."""
-    return reduce(DataFrame.unionByName, [
-        t.select(URL).filter(F.col(URL).isNotNull()) for t in tables if URL in t.columns])
-
-
 def skip_known(arrivals: DataFrame, known: DataFrame, order: Sequence[str]) -> DataFrame:
     """First arrivals whose URL is not in ``known``.
 

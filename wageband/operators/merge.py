@@ -61,9 +61,10 @@ def merge_low_batch(old: DataFrame, checkpoint: DataFrame) -> DataFrame:
 def merge_counts(before: DataFrame, after: DataFrame, source: str) -> DataFrame:
     """Per source: rows before and after a merge, and rows removed."""
     n = F.count(F.lit(1))
+    left = after.groupBy(F.col(source).alias("_source")).agg(n.alias("rows_after"))
     return (
         before.groupBy(source).agg(n.alias("rows_before"))
-        .join(after.groupBy(source).agg(n.alias("rows_after")), source, "left")
+        .join(left, F.col(source).eqNullSafe(F.col("_source")), "left").drop("_source")
         .withColumn("rows_after", F.coalesce("rows_after", F.lit(0)))
         .withColumn("rows_removed", F.col("rows_before") - F.col("rows_after"))
     )

@@ -3,17 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Hash buckets a group is spread over before its candidates meet in one task.
-SALTS = 64
+SALTS = 256
 # Positions per block when numbering rows: the most rows one task numbers for one block.
 BLOCK = 1 << 16
-# Files whose offsets are broadcast, one short row each.
-MOST_FILES = 50_000
 
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -32,13 +31,9 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: i
 
     Few groups would leave most of the cluster idle. So each group is first cut to n rows per
     salt, in as many tasks as there are salts, and the final ranking sees n * salts rows per group
-    at most. Up to its own limit Spark also cuts to n rows per map task before the first shuffle;
-    beyond that limit all rows are shuffled, and so get more salts.
+    at most.
     """
-    salts = SALTS
-    if n > int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold")):
-        salts = max(salts, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(salts)))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*order), F.lit(SALTS)))
     near = W.partitionBy(*groups, "_salt").orderBy(*order)
     final = W.partitionBy(*groups).orderBy(*order)
     return (
@@ -49,44 +44,39 @@ def rank_within(df: DataFrame, groups: Sequence[str], order: Sequence[str], n: i
 
 
 def with_row_id(df: DataFrame, position: str, groups: Sequence[str] = (),
-                name: str = "source_id", block: int = BLOCK) -> DataFrame:
-    """Dense 1-based row number in the order of ``groups`` then ``position``.
+                name: str = "source_id", block: int = BLOCK,
+                counted: DataFrame | None = None) -> DataFrame:
+    """Dense 1-based row number in the order of ``groups`` then ``position``, nulls first.
 
     Rows are numbered inside blocks of the position, each at most ``block`` rows long, and the
     blocks get running offsets from their counts. Only the block counts, one row per ``block``
-    positions, are summed in a single task. ``position`` is a unique whole number per group.
+    positions of a dense position, are summed in a single task. ``position`` is a whole number,
+    unique per group; a null group or position is numbered like any other. ``counted`` has the same
+    positions and groups as ``df``, and is cheaper to read: blocks are then counted on it.
     """
     keys = [*groups, "_block"]
-    blocked = df.withColumn("_block", F.floor(F.col(position) / F.lit(block)).cast("bigint"))
-    sizes = blocked.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
+    number = F.floor(F.col(position) / F.lit(block)).cast("bigint")
+    blocked = df.withColumn("_block", number)
+    rows = (df if counted is None else counted).select(*groups, number.alias("_block"))
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_size"))
     before = W.orderBy(*keys).rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
+    offsets = sizes.select(*[F.col(k).alias(f"_at_{k}") for k in keys],
+                           F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
     inside = W.partitionBy(*keys).orderBy(position)
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in keys]
     return (
         blocked.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, keys)
+        .join(offsets, reduce(lambda a, b: a & b, same))
         .withColumn(name, (F.col("_start") + F.col("_inside")).cast("bigint"))
-        .drop("_block", "_inside", "_start")
+        .drop("_block", "_inside", "_start", *[f"_at_{k}" for k in keys])
     )
 
 
-def with_file_row_id(scan: DataFrame, name: str = "source_id",
-                     most_files: int = MOST_FILES) -> DataFrame:
+def with_file_row_id(scan: DataFrame, name: str = "source_id") -> DataFrame:
     """Dense 1-based row number in the order of file path, then row within the file.
 
-    For a table read straight from Parquet files. Only one count per file is gathered; the rows
-    stay where they were read. With too many files to broadcast, rows are numbered per file and
-    block instead.
+    For a table read straight from Parquet files.
     """
     located = scan.withColumns({
         "_file": F.col("_metadata.file_path"), "_row": F.col("_metadata.row_index")})
-    if len(scan.inputFiles()) > most_files:
-        return with_row_id(located, "_row", ["_file"], name).drop("_file", "_row")
-    sizes = located.groupBy("_file").agg(F.count(F.lit(1)).alias("_size"))
-    before = W.orderBy("_file").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select("_file", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return (
-        located.join(F.broadcast(offsets), "_file")
-        .withColumn(name, (F.col("_start") + F.col("_row") + 1).cast("bigint"))
-        .drop("_file", "_row", "_start")
-    )
+    return with_row_id(located, "_row", ["_file"], name).drop("_file", "_row")

@@ -49,9 +49,10 @@ def build_proxy(raw: DataFrame, position: str = merge.POSITION, groups: Sequence
                 bands: Sequence[WageBand] = WAGE_BANDS) -> DataFrame:
     """The 42-column proxy table.
 
-    Rows are numbered after the descriptions are gone, so the numbering shuffles narrow rows.
+    Rows are numbered after the descriptions are gone, so the numbering shuffles narrow rows; the
+    blocks are counted on the raw table, so that no text is parsed for it.
     """
-    numbered = with_row_id(proxy_columns(raw, bands), position, groups)
+    numbered = with_row_id(proxy_columns(raw, bands), position, groups, counted=raw)
     return existing_columns(numbered, PROXY_COLUMNS)
 
 
@@ -62,12 +63,6 @@ def build_training_table(proxy: DataFrame) -> DataFrame:
     return existing_columns(labelled, TRAINING_COLUMNS)
 
 
-def build_both(raw: DataFrame, position: str = merge.POSITION,
-               groups: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
-    proxy = build_proxy(raw, position, groups)
-    return proxy, build_training_table(proxy)
-
-
 def labelled_rows(df: DataFrame) -> DataFrame:
     """Rows with a usable target."""
     return df.filter(F.col(TARGET_COLUMN).isNotNull()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import RandomForestClassifier
@@ -23,8 +24,10 @@ from wageband.schemas import CATEGORY_COLUMNS, FLAG_COLUMNS, TARGET_COLUMN
 TREES, LEAF, SEED, TEST_SHARE, SMALLEST = 300, 2, 42, 0.2, 20
 # The deepest tree that MLlib grows.
 DEPTH = 30
-# Hash ranges per class in which the split looks for its cutting point.
-SPLIT_BUCKETS = 1 << 16
+# Hash ranges per class, named by hex digits, in which the split looks for its cutting point.
+BUCKET_DIGITS = 4
+# Shares between which the middle of a column must lie, and the accuracy they are estimated with.
+AROUND_MIDDLE, ACCURACY = (0.4995, 0.5005), 10_000
 
 
 class NotTrainable(ValueError):
@@ -110,7 +113,7 @@ def with_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = S
     hashed = df.withColumn("_hash", F.md5(F.concat_ws(":", F.col(key).cast("string"),
                                                       F.lit(str(seed)))))
     narrow = hashed.select(key, TARGET_COLUMN, "_hash", F.conv(
-        F.substring("_hash", 1, 4), 16, 10).cast("int").alias("_bucket"))
+        F.substring("_hash", 1, BUCKET_DIGITS), 16, 10).cast("int").alias("_bucket"))
     # Three steps read the counts, one row per class and range: keep them.
     sizes = narrow.groupBy(TARGET_COLUMN, "_bucket").agg(
         F.count(F.lit(1)).alias("_size")).persist()
@@ -145,8 +148,55 @@ def with_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = S
 
 def impute_values(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
     """One row: exact median per numeric column, most frequent value (then smallest) per text."""
-    return df.agg(*[F.median(c).alias(c) for c in numeric],
-                  *[F.mode(c, True).alias(c) for c in text])
+    parts = []
+    if numeric:
+        parts.append(_medians(df.select(*[F.col(c).cast("double").alias(c) for c in numeric])))
+    if text:
+        values = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("text")) for c in text])
+        counts = df.select(F.inline(values)).filter("text IS NOT NULL").groupBy("column", "text").agg(
+            F.count(F.lit(1)).alias("n"))
+        parts.append(counts.groupBy("column").agg(
+            F.min(F.struct(-F.col("n"), "text"))["text"].alias("text")).select(
+            "column", F.lit(None).cast("double").alias("number"), "text"))
+    found = reduce(DataFrame.unionByName, parts)
+    return found.agg(
+        *[F.max(F.when(F.col("column") == c, F.col("number"))).alias(c) for c in numeric],
+        *[F.max(F.when(F.col("column") == c, F.col("text"))).alias(c) for c in text])
+
+
+def _medians(df: DataFrame) -> DataFrame:
+    """Exact median of every column, one row each.
+
+    Approximate quantiles, whose error has a bound, give a narrow range around the middle. Rows
+    below it are only counted; the distinct values inside, about a thousandth of a continuous
+    column, are ranked per column. The numbers that come to the driver are per column.
+    """
+    columns = df.columns
+    first = df.agg(
+        *[F.count(c).alias(f"n{i}") for i, c in enumerate(columns)],
+        *[F.percentile_approx(c, list(AROUND_MIDDLE), ACCURACY).alias(f"q{i}")
+          for i, c in enumerate(columns)]).first()
+    known = [i for i in range(len(columns)) if first[f"n{i}"]]
+    ranges = {i: first[f"q{i}"] for i in known}
+    if not known:
+        return df.sparkSession.createDataFrame([], "column STRING, number DOUBLE, text STRING")
+    below = df.agg(*[F.count_if(F.col(columns[i]) < ranges[i][0]).alias(f"b{i}") for i in known]).first()
+    cells = F.array(*[F.struct(F.lit(i).alias("i"), F.col(columns[i]).alias("v"),
+                               F.lit(ranges[i][0]).alias("low"), F.lit(ranges[i][1]).alias("high"))
+                      for i in known])
+    inside = df.select(F.inline(F.filter(
+        cells, lambda x: (x["v"] >= x["low"]) & (x["v"] <= x["high"])))).groupBy("i", "v").agg(
+        F.count(F.lit(1)).alias("n"))
+    upto = W.partitionBy("i").orderBy("v")
+    places = df.sparkSession.createDataFrame(
+        [(i, columns[i], (first[f"n{i}"] - 1) // 2, first[f"n{i}"] // 2, below[f"b{i}"]) for i in known],
+        "i INT, column STRING, lower BIGINT, upper BIGINT, before BIGINT")
+    ranked = inside.withColumn("end", F.sum("n").over(upto)).join(F.broadcast(places), "i").withColumns({
+        "end": F.col("end") + F.col("before"), "start": F.col("end") + F.col("before") - F.col("n")})
+    holds = lambda place: (F.col("start") <= F.col(place)) & (F.col(place) < F.col("end"))
+    return ranked.groupBy("column").agg(
+        ((F.max(F.when(holds("lower"), F.col("v"))) + F.max(F.when(holds("upper"), F.col("v")))) / 2)
+        .alias("number"), F.lit(None).cast("string").alias("text"))
 
 
 @dataclass
@@ -206,9 +256,11 @@ def _importance(model: PipelineModel, numeric: Sequence[str], text: Sequence[str
 
 def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int = DEPTH,
           share: float = TEST_SHARE, seed: int = SEED, numeric: Sequence[str] | None = None,
-          text: Sequence[str] | None = None) -> Training:
+          text: Sequence[str] | None = None, fit_rows: int | None = None) -> Training:
     """Split, impute, encode, fit and evaluate.
 
+    ``fit_rows`` bounds the rows that the forest is fitted on: the first of the training part by
+    the MD5 of their key. Split, fills and evaluation cover all rows in any case.
     ``numeric`` and ``text`` replace the posting features. The tables that reach the driver are
     per class or per feature, never per row.
     """
@@ -224,7 +276,10 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     rows.unpersist()
     fitting = split.filter(~F.col("is_test"))
     stats = impute_values(fitting, numeric, text).first().asDict()
-    fills = {c: v for c, v in stats.items() if v is not None}
+    # A column without any value has no median; it is filled with zeros, which no tree can split.
+    fills = {**{c: 0.0 for c in numeric}, **{c: v for c, v in stats.items() if v is not None}}
+    if fit_rows is not None:
+        fitting = fitting.orderBy(F.md5(F.col(key).cast("string")), key).limit(fit_rows)
 
     labels = [r[0] for r in split.select(TARGET_COLUMN).distinct().orderBy(TARGET_COLUMN).collect()]
     place = F.create_map(*[F.lit(x) for i, v in enumerate(labels) for x in (v, float(i))])

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import types as T
 
+# The column names of the stored tables.
 RAW_COLUMNS = [
     "source_keyword", "job_title", "company", "location",
     "salary_text", "job_description", "job_url", "scraped_at",
@@ -55,9 +56,6 @@ def _field(name: str) -> T.StructField:
 RAW_SCHEMA = T.StructType([_field(c) for c in RAW_COLUMNS])
 PROXY_SCHEMA = T.StructType([_field(c) for c in PROXY_COLUMNS])
 TRAINING_SCHEMA = T.StructType([_field(c) for c in TRAINING_COLUMNS])
-MERGED_TRAINING_SCHEMA = T.StructType(
-    TRAINING_SCHEMA.fields + [T.StructField("source_batch_file", T.StringType())]
-)
 
 # The 22 survey columns, with the types they are read as.
 _ALUMNI_STRINGS = [

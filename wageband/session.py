@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int | str = "*", checkpoint_dir: str | None = None,
@@ -32,17 +33,9 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
     """A new folder for one run below the folder named in ``spark.checkpoint.dir``."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that every executor reaches")
         # One machine, as in tests: any folder of it is shared.
         root = tempfile.mkdtemp(prefix="wageband-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
-
-def spread(df: DataFrame) -> DataFrame:
-    """Use all cores for row-wise text work on a scan that has fewer splits than cores.
-
-    A table of many splits passes through untouched, so at scale no shuffle is added.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

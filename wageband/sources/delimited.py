@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import logging
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +16,9 @@ from wageband.schemas import NA_TOKENS, RAW_SCHEMA
 # Separators tried on a header line.
 SEPARATORS = [",", ";", "\t", "|"]
 PROVENANCE = "source_batch_file"
+# Order of the rows that were read: by file name, then by place in the file.
+FILE_ORDER = [PROVENANCE, POSITION]
+LOG = logging.getLogger(__name__)
 
 
 def _options(sep: str, multi_line: bool) -> dict[str, str]:
@@ -49,41 +52,87 @@ def _type_of(column: str, schema: T.StructType | None) -> T.DataType:
     return T.LongType() if column == POSITION else T.StringType()
 
 
+def _files(spark: SparkSession, paths: Sequence[str]) -> list[str]:
+    """Files behind paths, folders and patterns, in the order of their names; others are reported."""
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    found = {}
+    for path in paths:
+        place = hadoop.Path(path)
+        files = place.getFileSystem(spark._jsc.hadoopConfiguration())
+        hits = list(files.globStatus(place) or [])
+        if not hits:
+            LOG.warning("left out, as nothing is there: %s", path)
+        for hit in hits:
+            inner = files.listStatus(hit.getPath()) if hit.isDirectory() else [hit]
+            for file in inner:
+                name = file.getPath().getName()
+                if not file.isDirectory() and name[0] not in "._":
+                    found[file.getPath().toString()] = name
+    return sorted(found, key=lambda f: (found[f], f))
+
+
+def _headers(spark: SparkSession, files: Sequence[str]) -> dict[str, list[str]]:
+    """Files by their first line, found in one pass; a file without one is left out."""
+    lines = spark.read.options(ignoreCorruptFiles="true", ignoreMissingFiles="true").text(list(files))
+    first = lines.select(F.col("_metadata.file_path").alias("file"), "value",
+                         F.monotonically_increasing_id().alias("at")).groupBy("file").agg(
+        F.min_by("value", "at").alias("header"))
+    headers = dict(first.collect())
+    by_header: dict[str, list[str]] = {}
+    for file in files:
+        header = next((h for f, h in headers.items() if f.split(":", 1)[-1].lstrip("/")
+                       == file.split(":", 1)[-1].lstrip("/")), None)
+        if header is None:
+            LOG.warning("left out, as it is empty or cannot be read: %s", file)
+        else:
+            by_header.setdefault(header, []).append(file)
+    return by_header
+
+
+def _separator_of(header: str) -> str:
+    return max(SEPARATORS, key=lambda s: (header.count(s), -SEPARATORS.index(s)))
+
+
 def read_delimited(spark: SparkSession, path: str | Sequence[str],
                    schema: T.StructType | None = RAW_SCHEMA, sep: str | None = ",",
                    multi_line: bool = True) -> DataFrame:
-    """Files of one layout, with position and file name; ``sep=None`` looks at the first line.
+    """Files, folders or patterns as one table, with position and file name.
 
-    A path that does not exist, or a file without a header, gives an empty table. Columns come
-    from the header; the schema gives types by name. A position stored in the file is kept.
+    Files whose header is the same are read by one scan, the scans are united by column name, and
+    missing columns are null. Paths that do not exist and files without a header are left out with
+    a warning; with none left the table is empty. ``sep=None`` looks at each header. The schema
+    gives types by name. The file name is always the one read, whatever a file has stored under
+    that name; a stored position is kept. Rows are in the order of ``FILE_ORDER``.
     """
-    first = path if isinstance(path, str) else path[0]
-    try:
-        sep = sep or sniff_separator(spark, first)
-        found = spark.read.options(**_options(sep, multi_line)).csv(path)
-    except AnalysisException as problem:
-        if problem.getCondition() != "PATH_NOT_FOUND":
-            raise
-        found = None
-    if found is None or not found.columns:
+    files = _files(spark, [path] if isinstance(path, str) else path)
+    parts = [_read_alike(spark, alike, sep or _separator_of(header), schema, multi_line)
+             for header, alike in _headers(spark, files).items()] if files else []
+    if not parts:
         return spark.createDataFrame([], schema or T.StructType()).withColumns({
             PROVENANCE: F.lit(None).cast("string"), POSITION: F.lit(None).cast("bigint")})
-    # The position rises within a file; the file name is the leading part of the order.
-    place = {PROVENANCE: F.col("_metadata.file_name"), POSITION: F.monotonically_increasing_id()}
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+
+
+def _read_alike(spark: SparkSession, files: Sequence[str], sep: str, schema: T.StructType | None,
+                multi_line: bool) -> DataFrame:
+    """Files with one header."""
+    found = spark.read.options(**_options(sep, multi_line), ignoreCorruptFiles="true",
+                               ignoreMissingFiles="true").csv(list(files))
     cells = {c: _typed(c, _type_of(c, schema)) for c in found.columns}
-    return found.withColumns({**{c: v for c, v in place.items() if c not in cells}, **cells})
+    place = {POSITION: F.monotonically_increasing_id()} if POSITION not in cells else {}
+    # The position rises within a file; the file name is the leading part of the order.
+    return found.withColumns({**place, **cells, PROVENANCE: F.col("_metadata.file_name")})
 
 
 def read_layouts(spark: SparkSession, paths: Sequence[str],
                  schema: T.StructType | None = RAW_SCHEMA, sep: str | None = ",",
                  multi_line: bool = True) -> DataFrame:
     """Files whose headers may differ, united by column name."""
-    parts = [read_delimited(spark, p, schema, sep, multi_line) for p in sorted(paths)]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    return read_delimited(spark, paths, schema, sep, multi_line)
 
 
-def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+def write_delimited(df: DataFrame, path: str, mode: str = "errorifexists", sep: str = ",") -> None:
     """Header, doubled quotes, blanks kept."""
-    df.write.mode(mode).options(header="true", quote='"', escape='"', emptyValue="",
+    df.write.mode(mode).options(header="true", sep=sep, quote='"', escape='"', emptyValue="",
                                 ignoreLeadingWhiteSpace="false",
                                 ignoreTrailingWhiteSpace="false").csv(path)

@@ -128,7 +128,7 @@ def _per_page(pages: DataFrame, rows_of: Callable[[str, str], Iterator[tuple]],
         for batch in batches:
             kept = batch[list(keep)].itertuples(index=False, name=None)
             out = [(*k, *row) for k, url, html in zip(kept, batch["url"], batch["html"])
-                   if html for row in rows_of(html, base_url or url or "")]
+                   for row in rows_of(html or "", base_url or url or "")]
             yield pd.DataFrame(out, columns=names)
 
     return pages.select(*needed).mapInPandas(extract, schema)
@@ -175,8 +175,12 @@ def with_pay_fallback(cards: DataFrame) -> DataFrame:
         "salary_text", F.when(pay != "", pay).otherwise(pay_snippet(F.col("card_text"))))
 
 
-def extract_details(pages: DataFrame, keep: Sequence[str] = ("page_id", "url")) -> DataFrame:
-    """Detail text of every page: the first long enough section, else the whole page."""
+def extract_details(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
+                    most_chars: int = DETAIL_LENGTH) -> DataFrame:
+    """Detail text of every page: the first long enough section, else the whole page.
+
+    The rule keeps the first ``most_chars`` characters. A page without html has an empty text.
+    """
     def rows_of(html: str, base: str) -> Iterator[tuple]:
         tree = parse(html)
         yield _first_texts(tree, DETAIL_SELECTORS), tree.text()
@@ -186,7 +190,7 @@ def extract_details(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"))
     sections = F.transform(F.col("sections"), clean_text)
     long_enough = F.get(F.filter(sections, lambda t: F.length(t) > DETAIL_LONGER_THAN), F.lit(0))
     return texts.select(*keep, F.substring(
-        F.coalesce(long_enough, clean_text(F.col("page_text"))), 1, DETAIL_LENGTH
+        F.coalesce(long_enough, clean_text(F.col("page_text"))), 1, most_chars
     ).alias("detail_text"))
 
 

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.session import spread
-
 KEYWORDS = [
     "fresh graduate", "graduate trainee", "it support junior", "data analyst junior",
     "staff akuntansi fresh graduate", "staff gudang fresh graduate",
@@ -89,8 +87,11 @@ def postings(spark: SparkSession, sf_dir: str, with_company: bool = True) -> Dat
     The customer table only gives the company name. Queries that do not read it leave the join
     out; customers are unique by key, so the left join never changes the rows.
     """
-    orders = spread(table(spark, sf_dir, "orders").select(
-        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate"))
+    # Dealt by customer whatever the table's size: text work uses all cores, and the customer join
+    # needs no other shuffle.
+    orders = table(spark, sf_dir, "orders").select(
+        "o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").repartition(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
     if not with_company:
         return posting_columns(orders, NO_COMPANY).drop("company")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")

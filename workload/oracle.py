@@ -264,9 +264,10 @@ f AS (SELECT *, CASE WHEN pr + re = 0 THEN 0.0 ELSE 2 * pr * re / (pr + re) END
         "salary_band_distribution": with_(
             PAY, "SELECT salary_range_label, count(*) AS n FROM pay GROUP BY 1"),
         "relabel_bands": f"""
-WITH s AS (SELECT o_orderkey AS source_id, CASE WHEN o_orderkey % 7 = 0 THEN 'x' WHEN o_orderkey % 11 <> 0
+WITH s AS (SELECT o_orderkey AS source_id, CASE WHEN o_orderkey % 7 = 0 THEN 'x' WHEN o_orderkey % 13 = 0 THEN 'inf'
+  WHEN o_orderkey % 17 = 0 THEN '5000000d' WHEN o_orderkey % 11 <> 0
   THEN CAST(CAST(floor(o_totalprice * 30) AS BIGINT) AS VARCHAR) || '.0' END AS a FROM orders),
-n AS (SELECT source_id, TRY_CAST(a AS DOUBLE) AS salary_avg FROM s)
+n AS (SELECT source_id, CASE WHEN regexp_matches(a, '^[0-9.]+$') THEN TRY_CAST(a AS DOUBLE) END AS salary_avg FROM s)
 SELECT source_id, salary_avg, CAST(source_id % 7 AS INTEGER) AS salary_range_id,
   {label('salary_avg')} AS salary_range_label FROM n""",
         "band_override": f"""
@@ -310,20 +311,21 @@ SELECT max(pos) AS pos, source_keyword, job_title, location FROM postings GROUP
                   "(SELECT job_url FROM postings WHERE piece < 2 AND job_url IS NOT NULL)")),
         "merge_session": with_(POSTINGS, kept(
             "(SELECT * REPLACE (CASE WHEN piece = 0 THEN NULL ELSE scraped_at END AS scraped_at), "
-            "piece AS piece_no FROM postings WHERE piece < 3)",
-            "job_url", "piece DESC, pos DESC", where="job_url IS NOT NULL")),
+            "least(piece, 2) AS piece_no FROM postings)",
+            "job_url", "least(piece, 2) DESC, pos DESC", where="job_url IS NOT NULL")),
         "merge_latest_wins": with_(POSTINGS, kept(
             "(SELECT *, piece AS piece_no FROM postings)", "job_url", "piece DESC, pos DESC",
             where="job_url IS NOT NULL")),
         "merge_first_wins": with_(POSTINGS, kept(
             f"(SELECT *, {FILES} AS source_batch_file FROM postings)", "job_url", "piece, pos")),
         "merge_existing_wins": with_(POSTINGS, kept(
-            "(SELECT *, piece AS piece_no FROM postings WHERE piece < 2)", "job_url", "piece, pos",
+            "(SELECT *, least(piece, 1) AS piece_no FROM postings)", "job_url", "piece_no, pos",
             where="job_url IS NOT NULL")),
         "merge_stats": with_(POSTINGS, f"""
 SELECT source_batch_file, count(*) AS rows_before, count(*) FILTER (rn = 1) AS rows_after,
   count(*) FILTER (rn > 1) AS rows_removed FROM (
-  SELECT {FILES} AS source_batch_file, row_number() OVER (PARTITION BY job_url ORDER BY piece, pos) AS rn FROM postings)
+  SELECT source_batch_file, row_number() OVER (PARTITION BY job_url ORDER BY source_batch_file NULLS FIRST, pos) AS rn
+  FROM (SELECT *, CASE WHEN piece < 3 THEN {FILES} END AS source_batch_file FROM postings))
 GROUP BY 1"""),
         "low_band_augment": with_(PROXY + f""",
 low_raw AS ({kept('postings', 'job_url', 'piece DESC, pos DESC', where='piece < 2 AND job_url IS NOT NULL')}),
@@ -331,7 +333,7 @@ low AS (SELECT 1 AS piece_no, p.* FROM proxy p JOIN low_raw l ON p.pos = l.pos
   WHERE p.salary_range_label IN {inlist(LOW_BAND_LABELS)}),
 both_ AS (SELECT 0 AS piece_no, p.* FROM proxy p WHERE piece >= 2 AND salary_available = 1
   UNION ALL SELECT * FROM low),
-one AS ({kept('both_', 'job_url', 'piece_no DESC, pos DESC')}),
+one AS ({kept('both_', 'job_url', 'piece_no DESC, pos DESC', where="job_url <> ''")}),
 placed AS (SELECT *, row_number() OVER (PARTITION BY salary_range_label ORDER BY piece_no, pos) AS rn FROM one)""",
             f"""
 SELECT piece_no, pos, job_url, CAST(salary_avg AS DOUBLE) AS salary_avg, salary_range_id, salary_range_label,
@@ -355,7 +357,7 @@ QUALIFY salary_range_label NOT IN {inlist(LOW_BAND_LABELS)}
   OR row_number() OVER (PARTITION BY salary_range_label ORDER BY pos) <= {QUOTA}"""),
         "quota_accept": with_(PAY + "," + known_accept(
             "(SELECT * FROM pay WHERE piece > 0)",
-            "SELECT salary_range_label, count(*) AS n FROM pay WHERE piece = 0 AND pos % 5 = 0 GROUP BY 1",
+            "SELECT salary_range_label, count(*) AS n FROM pay WHERE piece = 0 GROUP BY 1",
             "SELECT job_url FROM postings WHERE piece = 0", QUOTA, BAND_LABELS),
             f"SELECT {accepted_columns} FROM ranked WHERE rn <= room"),
         "low_quota_accept": with_(PAY + "," + known_accept(
@@ -400,6 +402,16 @@ SELECT *, {band('starting_salary')} AS salary_range_id, {label('starting_salary'
 found AS ({kept('details', 'url', 'page_id')})
 SELECT one.*, detail_text, {collapse("concat_ws(' ', card_text, detail_text)")} AS job_description
 FROM one LEFT JOIN found ON url = job_url"""),
+        "delimited_layouts": with_(POSTINGS, "SELECT pos, piece, " + ", ".join(
+            cell.format(c=c) for c in RAW.split(", ")) + " FROM postings"),
+        "row_id_null_groups": with_(POSTINGS, """
+SELECT *, row_number() OVER (ORDER BY grp NULLS FIRST, pos NULLS FIRST) AS source_id FROM (
+  SELECT CASE WHEN pos % 6 <> 0 THEN 'g' || piece END AS grp, CASE WHEN pos <> 1 THEN pos END AS pos, job_title
+  FROM postings)"""),
+        "impute_embeddings": "SELECT " + ", ".join(
+            f"median(CAST(embedding[{i + 1}] AS DOUBLE)) AS e{i}" for i in range(64)) + """,
+  (SELECT CAST(label AS VARCHAR) FROM embeddings WHERE label IS NOT NULL GROUP BY label
+   ORDER BY count(*) DESC, CAST(label AS VARCHAR) LIMIT 1) AS salary_range_label FROM embeddings""",
         "delimited_round_trip": with_(POSTINGS, "SELECT pos, piece, " + ", ".join(
             cell.format(c=c) for c in RAW.split(", ")) + " FROM postings"),
         "stream_dedup_quota": with_(PAY + "," + known_accept(
