@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from wageband.operators.dedup import URL, skip_known
 from wageband.operators.ranking import first_per_key, rank_within
 from wageband.schemas import BAND_LABELS, JOBS_PER_KEYWORD, TARGET_COLUMN, TARGET_PER_CLASS
+from wageband.session import shared_folder
 
 
 def cap_classes(df: DataFrame, order: Sequence[str], n: int = TARGET_PER_CLASS,
@@ -63,34 +63,51 @@ def quota_accept(arrivals: DataFrame, labelled: DataFrame, known: DataFrame, cou
 
 
 def cap_keywords(arrivals: DataFrame, keywords: Mapping[str, int], order: Sequence[str],
-                 n: int = JOBS_PER_KEYWORD, keyword: str = "source_keyword") -> DataFrame:
+                 n: int = JOBS_PER_KEYWORD, keyword: str = "source_keyword",
+                 known: DataFrame | None = None) -> DataFrame:
     """Up to n new URLs per search keyword, keywords worked through in their given number.
 
-    A URL beyond one keyword's cap stays free for a later keyword. Keyword number j meets at
-    most n * (j - 1) URLs taken before it, so its own share lies within its first n * j URLs:
-    that bounded head decides the result exactly, whatever the size of the table.
+    URLs in ``known`` are never new. A URL beyond one keyword's cap stays free for a later keyword.
+    Keyword number j meets at most n * (j - 1) URLs taken before it, so its own share lies within
+    its first n * j URLs: that bounded head decides the result exactly, whatever the size of the
+    table. All keywords choose at once, round by round, each leaving out what the earlier ones
+    chose the round before. The first r keywords are settled after r rounds, and when a round
+    changes nothing all are; that is the result of working through them one by one.
     """
+    spark = arrivals.sparkSession
     ordinals = sorted(set(keywords.values()))
     number = F.create_map(*[F.lit(x) for pair in keywords.items() for x in pair])
     numbered = (
         arrivals.select(URL, *order, number[F.col(keyword)].alias("_keyword_no"))
         .filter(F.col("_keyword_no").isNotNull() & (F.col(URL) != ""))
     )
+    if known is not None:
+        numbered = numbered.join(known.select(URL).filter(F.col(URL).isNotNull()).distinct(), URL, "left_anti")
     own = first_per_key(numbered, ["_keyword_no", URL], [F.col(c) for c in order])
     heads = rank_within(own, ["_keyword_no"], order, n * len(ordinals))
     place = {no: i + 1 for i, no in enumerate(ordinals)}
     place_of = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
-    heads = heads.filter(F.col("_rank") <= place_of[F.col("_keyword_no")] * n)
-
-    def take(pdf: pd.DataFrame) -> pd.DataFrame:
-        taken: set[str] = set()
-        kept = []
-        for _, head in pdf.sort_values(["_keyword_no", "_rank"]).groupby("_keyword_no"):
-            chosen = head[~head[URL].isin(taken)].head(n)
-            taken.update(chosen[URL])
-            kept.append(chosen)
-        return pd.concat(kept)[list(order)]
-
-    schema = arrivals.select(*order).schema
-    chosen = heads.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(take, schema)
-    return arrivals.join(F.broadcast(chosen), list(order), "left_semi")
+    heads = _written(spark, heads.filter(
+        F.col("_rank") <= place_of[F.col("_keyword_no")] * n).drop("_rank"))
+    chosen, mark = rank_within(heads, ["_keyword_no"], order, n).drop("_rank"), None
+    for _ in ordinals:
+        chosen = _written(spark, chosen)
+        state = chosen.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_keyword_no", URL).cast("decimal(38,0)"))).first()
+        if tuple(state) == mark:
+            break
+        mark = tuple(state)
+        taken = chosen.groupBy(URL).agg(F.min("_keyword_no").alias("_owner"))
+        free = heads.join(taken, URL, "left").filter(
+            F.col("_owner").isNull() | (F.col("_owner") >= F.col("_keyword_no"))).drop("_owner")
+        chosen = rank_within(free, ["_keyword_no"], order, n).drop("_rank")
+    # At most n rows per keyword, named by their key and place.
+    picks = chosen.select(F.col(URL).alias("_url"), *order)
+    return arrivals.join(F.broadcast(picks), [
+        arrivals[URL] == picks["_url"], *[arrivals[c] == picks[c] for c in order]], "left_semi")
+
+
+def _written(spark, df: DataFrame) -> DataFrame:
+    """Rows kept in the shared folder, so that a round starts from files and not from all rounds before."""
+    path = shared_folder(spark, "keyword-cap")
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

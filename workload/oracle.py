@@ -179,12 +179,12 @@ ranked AS (SELECT f.*, room, row_number() OVER (PARTITION BY f.salary_range_labe
   FROM fresh f JOIN room USING (salary_range_label))"""
 
 
-def _keyword_cap(n: int = 100) -> str:
+def _keyword_cap(n: int = 100, more: str = "true") -> str:
     steps, taken = [], []
     for i, word in enumerate(KEYWORDS):
         free = "".join(f" AND job_url NOT IN (SELECT job_url FROM {t})" for t in taken)
         steps.append(
-            f"k{i} AS MATERIALIZED (SELECT * FROM ({kept('postings', 'job_url', 'pos', where=f'source_keyword = {q(word)} AND job_url IS NOT NULL')}) "
+            f"k{i} AS MATERIALIZED (SELECT * FROM ({kept('postings', 'job_url', 'pos', where=f'source_keyword = {q(word)} AND job_url IS NOT NULL AND {more}')}) "
             f"WHERE true{free} ORDER BY pos LIMIT {n})")
         taken.append(f"k{i}")
     union = " UNION ALL ".join(
@@ -365,6 +365,8 @@ QUALIFY salary_range_label NOT IN {inlist(LOW_BAND_LABELS)}
             "SELECT job_url FROM postings WHERE false", QUOTA, LOW_BAND_LABELS),
             "SELECT pos, job_url, salary_range_label FROM ranked WHERE rn <= room"),
         "keyword_cap": _keyword_cap(),
+        "keyword_cap_known": _keyword_cap(
+            more="piece > 0 AND job_url NOT IN (SELECT job_url FROM postings WHERE piece = 0 AND job_url IS NOT NULL)"),
         "candidate_label": with_(POSTINGS + "," + parsed("postings", "pos", collapse(
             "lower(concat_ws(' ', salary_text, job_title, concat_ws(' ', job_title, company, location), "
             "job_description))")), "SELECT pos, salary_avg, salary_range_label FROM pay"),
