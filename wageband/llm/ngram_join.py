@@ -248,15 +248,19 @@ def _candidates(similarity: float) -> Callable:
         n = np.array(rows["n"])
         marks = np.frombuffer(b"".join(rows["sketch"]), np.uint8).reshape(-1, BINS)
         near = np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :])
-        equal = np.zeros(near.shape, np.int16)
-        filled = np.zeros(near.shape, np.int16)
-        for b in range(BINS):
-            x = marks[:, b]
-            equal += (x[:, None] == x[None, :]) & (x != 0)[:, None]
-            filled += (x[:, None] | x[None, :]) != 0
+        np.fill_diagonal(near, False)
+        if not near.any():
+            return {}
+        # Some rows against all at a time: small blocks in one step, large ones in bounded memory.
+        equal, filled = np.empty(near.shape, np.int16), np.empty(near.shape, np.int16)
+        step = max(1, 4_000_000 // marks.size)
+        for a in range(0, len(n), step):
+            mine = marks[a:a + step, None, :]
+            either = (mine | marks) != 0
+            filled[a:a + step] = either.sum(2)
+            equal[a:a + step] = ((mine == marks) & either).sum(2)
         slack = SLACK * np.sqrt(similarity * (1 - similarity) / np.maximum(filled, 1))
         near &= equal >= (similarity - slack) * filled
-        np.fill_diagonal(near, False)
         if near.any():
             near &= _own(rows["path"][0], rows["paths"], rows["side"], rows["i"][0], rows["j"][0])
         keep = np.flatnonzero(near.any(1)).tolist()
