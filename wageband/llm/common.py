@@ -56,6 +56,15 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+# Rows of one short key that may be broadcast, some 8 MB.
+MOST_BROADCAST_KEYS = 500_000
+
+
+def small_side(keys: DataFrame, most: int = MOST_BROADCAST_KEYS) -> DataFrame:
+    """Stored keys, marked for broadcast if their counted number allows it; else the join shuffles."""
+    return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
+
+
 # Characters of text worked on at once inside a task.
 SLICE_CHARS = 4_000_000
 

@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wageband.llm.common import SHINGLE_WORDS, SIMILARITY, stored, words_of
+from wageband.llm.common import SHINGLE_WORDS, SIMILARITY, small_side, stored, words_of
 from wageband.llm.components import components
 
 DEPTH = 3
@@ -356,8 +356,9 @@ def ngram_join(docs: DataFrame, key: str = "doc_id", text: str = "text",
     wanted = stored(_by_group(
         rows.select("path", "i", "j", "side", "id", "n", "paths", "sketch"), _candidates(similarity),
         "path BIGINT, i INT, j INT, side INT, id BIGINT"), "ngram-wanted")
+    wanted_ids = small_side(stored(wanted.select("id").distinct(), "ngram-ids"))
     links = stored(_by_group(
-        wanted.join(_token_sets(docs, key, text, wanted.select("id").distinct(), width), "id").join(
+        wanted.join(_token_sets(docs, key, text, wanted_ids, width), "id").join(
             texts.select("id", "paths", "copies"), "id").select(
             "path", "i", "j", "side", "id", "paths", "copies", "tokens"), _verified(similarity),
         "id BIGINT, links BIGINT, doc_links BIGINT, least BIGINT"), "ngram-links")
