@@ -39,6 +39,8 @@ SENTENCES = [
     f"  Tanpa{NBSP}syarat{TAB}khusus.{IDEOGRAPHIC}",
     "ipk 30 dan 5 thn pengalaman, koordinator, 1.000 karyawan.",
 ]
+# Text that makes a card long enough to be one.
+FILLER = "Kami mencari rekan kerja yang teliti dan rajin untuk bergabung dengan tim. " * 3
 NO_COMPANY = "cast(NULL AS STRING)"
 PHONE = " hubungi 081234567890"
 
@@ -97,3 +99,22 @@ def postings(spark: SparkSession, sf_dir: str, with_company: bool = True) -> Dat
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
     joined = orders.join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
     return posting_columns(joined, "c_name")
+
+
+def listing_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One search page per posting, with a card whose marks differ from part to part."""
+    company = ("CASE piece WHEN 0 THEN concat('<b data-automation=\"jobCompany\">', company, '</b>') "
+               "WHEN 1 THEN concat('<i data-testid=\"company-name\">', company, '</i>') "
+               "WHEN 2 THEN concat('<span data-automation=\"a-company-b\">', company, '</span>') "
+               "ELSE concat('<a data-automation=\"company\">', company, '</a>') END")
+    place = ("CASE piece WHEN 0 THEN concat('<b data-automation=\"jobLocation\">', location, '</b>') "
+             "WHEN 1 THEN concat('<i data-testid=\"job-location\">', location, '</i>') "
+             "ELSE concat('<span data-automation=\"location\">', location, '</span>') END")
+    pay = ("CASE piece WHEN 0 THEN concat('<b data-automation=\"jobSalary\">', salary_text, '</b>') "
+           "WHEN 1 THEN concat('<i data-testid=\"job-salary\">', salary_text, '</i>') "
+           "ELSE concat('<p aria-label=\"gaji bulanan\">', salary_text, '</p>') END")
+    return postings(spark, sf_dir).selectExpr(
+        "pos AS page_id", "'https://jobs.example.org/cari' AS url",
+        "concat_ws('', '<html><body><nav><a href=\"/cari\">Cari</a></nav><div><article><h3><a href=\"/job/', "
+        f"cast(pos AS STRING), '?ref=1\">', job_title, '</a></h3> ', {company}, ' ', {place}, ' ', {pay}, "
+        f"' <main><p>', job_description, '</p> <p>{FILLER}</p></main></article></div></body></html>') AS html")

@@ -7,7 +7,7 @@ from wageband.schemas import (
     BAND_LABELS, FIVE_BANDS, FLAG_COLUMNS, LOW_BAND_LABELS, NA_TOKENS, TARGET_PER_CLASS, WAGE_BANDS,
 )
 from wageband.sources.registry import KEYWORD_BATCHES
-from workload.adapters import KEYWORDS, PHONE, PLACES, SENTENCES, TITLES
+from workload.adapters import FILLER, KEYWORDS, PHONE, PLACES, SENTENCES, TITLES
 from workload.queries import QUOTA, SITE
 
 WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
@@ -192,15 +192,21 @@ def _keyword_cap(n: int = 100, more: str = "true") -> str:
     return with_(POSTINGS + ", " + ", ".join(steps), union)
 
 
-SNIPPET = f"""
+SNIPPET_CARDS = f"""
 cards AS (SELECT pos, CASE WHEN pos % 3 = 0 THEN {collapse("coalesce(salary_text, '')")} ELSE '' END AS given,
-  {collapse("concat_ws(' ', job_title, company, location, salary_text, job_description)")} AS card FROM postings),
+  {collapse("concat_ws(' ', job_title, company, location, salary_text, job_description)")} AS card FROM postings),"""
+LISTING_CARDS = f"""
+cards AS (SELECT pos, {collapse("coalesce(salary_text, '')")} AS given,
+  {collapse(f"concat_ws(' ', job_title, company, location, salary_text, job_description, {q(FILLER)})")} AS card FROM postings),"""
+SNIPPET_OF = """
 words AS (SELECT pos, given, string_split(card, ' ') AS w FROM cards),
 marks AS (SELECT *, list_filter(range(1, len(w) + 1),
   lambda i: regexp_matches(lower(w[i]), 'rp|idr|juta|jt'))[1:3] AS spots FROM words)
 SELECT pos, CASE WHEN given <> '' THEN given ELSE array_to_string(list_transform(spots,
   lambda i: array_to_string(w[greatest(i - 6, 1):least(i + 9, len(w))], ' ')), ' | ') END AS salary_text
 FROM marks"""
+SNIPPET = SNIPPET_CARDS + SNIPPET_OF
+SNIPPET_OF_CTE = "WITH " + SNIPPET_OF.strip()
 
 GUESSES = PAY + f""",
 guesses AS (SELECT salary_range_label AS actual,
@@ -398,6 +404,13 @@ WITH s AS (SELECT CAST(c_custkey AS INTEGER) AS respondent_id, c_mktsegment AS e
 SELECT *, {band('starting_salary')} AS salary_range_id, {label('starting_salary')} AS salary_range_label FROM s""",
         "page_links": with_(PAGES, "SELECT page_id, link_no, job_url, job_title FROM links"),
         "page_cards": with_(PAGES, "SELECT * FROM cards"),
+        "listing_cards": with_(POSTINGS + "," + LISTING_CARDS + "paid AS (" + SNIPPET_OF_CTE + ")", f"""
+SELECT p.pos AS page_id, CAST(1 AS INTEGER) AS link_no, 'https://jobs.example.org/job/' || p.pos || '?ref=1' AS job_url,
+  {collapse('job_title')} AS job_title, card AS card_text, {collapse("coalesce(company, '')")} AS company,
+  {collapse("coalesce(location, '')")} AS location, paid.salary_text
+FROM postings p JOIN cards ON cards.pos = p.pos JOIN paid ON paid.pos = p.pos"""),
+        "listing_details": with_(POSTINGS, f"""
+SELECT pos AS page_id, {collapse(f"concat_ws(' ', job_description, {q(FILLER)})")} AS detail_text FROM postings"""),
         "page_text": with_(PAGES, "SELECT * FROM details"),
         "page_postings": with_(PAGES, f"""
 , one AS ({kept('cards', 'job_url', 'page_id, link_no')}),

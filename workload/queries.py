@@ -18,7 +18,7 @@ from wageband.schemas import (
 from wageband.session import shared_folder
 from wageband.sources import alumni, delimited, pages, registry
 from wageband.streaming import ingest
-from workload.adapters import KEYWORDS, NO_COMPANY, posting_columns, postings, table
+from workload.adapters import KEYWORDS, NO_COMPANY, listing_pages, posting_columns, postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -406,6 +406,18 @@ def page_cards(spark, sf):
     return pages.extract_cards(_pages(spark, sf), mark="/")
 
 
+@query
+def listing_cards(spark, sf):
+    """Cards of search pages made from the postings: company, place and pay by different marks."""
+    return pages.extract_cards(listing_pages(spark, sf))
+
+
+@query
+def listing_details(spark, sf):
+    """Detail sections of the same pages."""
+    return pages.extract_details(listing_pages(spark, sf), keep=("page_id",))
+
+
 @query
 def page_text(spark, sf):
     return pages.extract_details(_pages(spark, sf))
