@@ -370,6 +370,19 @@ QUALIFY salary_range_label NOT IN {inlist(LOW_BAND_LABELS)}
             "pay", "SELECT salary_range_label, 0 AS n FROM pay GROUP BY 1",
             "SELECT job_url FROM postings WHERE false", QUOTA, LOW_BAND_LABELS),
             "SELECT pos, job_url, salary_range_label FROM ranked WHERE rn <= room"),
+        "quota_run": with_(PAY + "," + known_accept(
+            "(SELECT * FROM pay WHERE piece > 0)",
+            "SELECT salary_range_label, count(*) AS n FROM pay WHERE piece = 0 GROUP BY 1",
+            "SELECT job_url FROM postings WHERE piece = 0", QUOTA, BAND_LABELS) + """,
+published AS (SELECT pos, job_url, salary_avg, salary_range_label FROM pay WHERE piece = 0
+  UNION ALL SELECT pos, job_url, salary_avg, salary_range_label FROM ranked WHERE rn <= room),
+numbered AS (SELECT *, row_number() OVER (ORDER BY pos) AS source_id FROM published)""", """
+SELECT source_id, coalesce(job_url, '') AS job_url, salary_avg, salary_range_label FROM numbered
+WHERE salary_range_label <> 'unknown'"""),
+        "published_combined": with_(PAY + f""",
+merged AS ({kept('pay', 'job_url', 'piece DESC, pos DESC', where='job_url IS NOT NULL')}),
+numbered AS (SELECT *, row_number() OVER (ORDER BY piece, pos) AS source_id FROM merged)""", """
+SELECT source_id, job_url, salary_avg, salary_range_label FROM numbered WHERE salary_range_label <> 'unknown'"""),
         "keyword_cap": _keyword_cap(),
         "keyword_cap_known": _keyword_cap(
             more="piece > 0 AND job_url NOT IN (SELECT job_url FROM postings WHERE piece = 0 AND job_url IS NOT NULL)"),

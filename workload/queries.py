@@ -11,12 +11,14 @@ from wageband.functions import features, text
 from wageband.functions.salary import band_id, band_label, relabel_from_salary_avg, with_salary
 from wageband.operators import balance, dedup, merge, ranking, report
 from wageband.plans import datasets, metrics, training
+from wageband.plans.quota_run import run_quota
 from wageband.schemas import (
     BAND_LABELS, FIVE_BANDS, FLAG_COLUMNS, LOW_BAND_LABELS, TARGET_COLUMN, TARGET_PER_CLASS,
     WAGE_BANDS,
 )
 from wageband.session import shared_folder
 from wageband.sources import alumni, delimited, pages, registry
+from wageband.sources.tables import PublishedTables
 from wageband.streaming import ingest
 from workload.adapters import KEYWORDS, NO_COMPANY, listing_pages, posting_columns, postings, table
 
@@ -323,6 +325,27 @@ def low_quota_accept(spark, sf):
     ).select("pos", "job_url", TARGET_COLUMN)
 
 
+@query
+def quota_run(spark, sf):
+    """The first quarter is published; a run fills the quotas from the others and publishes again."""
+    tables = PublishedTables(shared_folder(spark, "quota-run"))
+    raw = postings(spark, sf, with_company=False)
+    tables.publish(raw.filter("piece = 0"))
+    run_quota(tables, raw.filter("piece > 0"), target=QUOTA)
+    return tables.training.read(spark).select("source_id", "job_url", "salary_avg", TARGET_COLUMN)
+
+
+@query
+def published_combined(spark, sf):
+    """Four batches published one by one, then folded into the combined tables."""
+    tables = PublishedTables(shared_folder(spark, "batches"))
+    raw = postings(spark, sf, with_company=False)
+    for part in range(4):
+        tables.publish_batch(f"Raw batch {part}", raw.filter(F.col("piece") == part))
+    tables.publish_combined(spark)
+    return tables.training.read(spark).select("source_id", "job_url", "salary_avg", TARGET_COLUMN)
+
+
 @query
 def keyword_cap(spark, sf):
     numbered = {keyword: i + 1 for i, keyword in enumerate(KEYWORDS)}
