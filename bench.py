@@ -13,7 +13,8 @@ HEADLINE = [
     "salary_band_distribution", "salary_parse_documents", "keyword_flags", "proxy_dataset",
     "rf_ready", "dedup_keep_last", "seen_url_anti_join", "merge_latest_wins", "balance_cap",
     "quota_accept", "keyword_cap", "low_band_augment", "stratified_split", "class_deficit",
-    "classification_report", "page_cards", "page_text",
+    "classification_report", "page_cards", "page_text", "merge_session", "merge_first_wins",
+    "impute_embeddings", "delimited_layouts", "keyword_cap_known", "stream_dedup_quota",
 ]
 RUNS = 2
 
