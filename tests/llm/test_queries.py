@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline against its stages' rules."""
 
 import os
+import re
 
 import pytest
 
@@ -8,8 +9,9 @@ import __spark_entry__ as entry
 import corpus_pipeline
 from wageband.llm import toxicity
 from wageband.llm.oracle import ORACLE_SQL
-from wageband.llm.queries import QUERIES
+from wageband.llm.queries import QUERIES, tokenizer_path
 from wageband.llm.common import table
+from tests.llm.test_groups import Sets, _shingles, _spans
 from workload.compare import compare, connect
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,33 @@ def test_pipeline(spark):
     rows = corpus_pipeline.run(spark, SF)
     assert rows.count() == cut.count()
     assert rows.where("n_tokens <> size(ids)").count() == 0
+
+
+def test_pipeline_against_brute_force(spark):
+    from tokenizers import Tokenizer
+
+    docs = table(spark, SF, "documents")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    lexicon = toxicity.learn_lexicon(toxicity.training_rows(docs, table(spark, SF, "labels"), "toxic")).build()
+    folder = toxicity.Folder()
+    texts = {i: t for i, t in texts.items() if lexicon.score(lexicon.evidence(folder.fold(t))[0]) < 0.5}
+    sets, groups = {i: _shingles(t) for i, t in texts.items()}, Sets()
+    for i, a in sets.items():
+        for j, b in sets.items():
+            if i < j and a and b and len(a & b) >= 0.8 * len(a | b) - 1e-9:
+                groups.join(i, j)
+    texts = {i: t for i, t in texts.items() if groups.find(i) == i}
+    late = {}
+    for i, a, b, again in _spans(sorted(texts.items())):
+        if again:
+            late.setdefault(i, set()).update(range(a, b))
+    for i, gone in late.items():
+        words = re.findall(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*", texts[i])
+        texts[i] = re.match(r"[\x20\x09-\x0D]*", texts[i]).group() + "".join(
+            w for k, w in enumerate(words) if k not in gone)
+    texts = {i: t for i, t in texts.items() if i not in late or t.split()}
+    coder = Tokenizer.from_file(tokenizer_path())
+    coder.no_truncation()
+    expected = {i: coder.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
+    found = corpus_pipeline.run(spark, SF).collect()
+    assert {r["doc_id"]: r["ids"] for r in found} == expected and len(found) == len(expected)
