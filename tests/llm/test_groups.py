@@ -260,3 +260,41 @@ def test_mixing_keeps_the_shares(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
     plan = mixing.mix_sources(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_run_bit_classes():
+    rng = np.random.default_rng(2)
+    row = np.repeat(np.arange(40), 12)
+    k = np.concatenate([np.sort(rng.choice(30, 12, replace=False)) for _ in range(40)])
+    holds, n = rng.integers(0, 2, 480), rng.integers(1, 12, 480)
+    whole = n + rng.integers(0, 12, 480)
+    found = lm_score._bit_classes(row, k, holds, n, whole)
+    streak = 0
+    for i in range(480):
+        follows = i and row[i] == row[i - 1] and k[i] == k[i - 1] + 1 and holds[i - 1]
+        streak = min(lm_score.HELD - 1, streak + 1) if follows else 0
+        seen = min(n[i], lm_score.MOST_SEEN) * (lm_score.MOST_SEEN + 1) + min(whole[i] - n[i], lm_score.MOST_SEEN)
+        assert found[i] == seen * lm_score.HELD + streak
+
+
+def test_runs_are_cut_by_content():
+    rng = np.random.default_rng(4)
+    words = rng.integers(1, 2 ** 62, 400).astype(np.uint64)
+    cuts, contexts, runs = lm_score._runs(words)
+    shifted = np.concatenate([rng.integers(1, 2 ** 62, 7).astype(np.uint64), words])
+    again = lm_score._runs(shifted)
+    assert len(cuts) > 5 and set(zip(contexts, runs)) <= set(zip(again[1], again[2]))
+    assert all(len(x) == 0 for x in lm_score._runs(words[:2]))
+
+
+def test_copied_text_is_likelier(spark):
+    rng = random.Random(12)
+    vocabulary = [f"w{i}" for i in range(800)]
+    copied = " ".join(rng.choice(vocabulary) for _ in range(300))
+    rows = [(i, copied if i % 5 == 0 else " ".join(rng.choice(vocabulary) for _ in range(300))) for i in range(60)]
+    part = remainder(F.col("doc_id"), 10)
+    found = {r["doc_id"]: r for r in lm_score.with_lm_scores(_frame(spark, rows), part != 0).collect()}
+    held = [i for i, _ in rows if zlib.crc32(str(i).encode()) % 10 == 0]
+    copies, others = [i for i in held if i % 5 == 0], [i for i in held if i % 5]
+    assert all(found[i]["score"] > found[i]["base_score"] for i in copies)
+    assert not copies or not others or min(found[i]["score"] for i in copies) > max(found[i]["score"] for i in others)

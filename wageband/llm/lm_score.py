@@ -552,21 +552,33 @@ def _run_bits(first: DataFrame) -> DataFrame:
         "k", (F.col("run") == F.col("best")).cast("int").alias("holds"), "n", "all"))).alias("bits"))
 
 
-def _bit_classes(k, holds, n, whole):
+def _bit_classes(row, k, holds, n, whole):
     """Class of each bit: times the run and others were seen, and how many bits just held."""
     import numpy as np
 
-    streak = np.zeros(len(k), np.int64)
-    for i in range(1, len(k)):
-        if k[i] == k[i - 1] + 1 and holds[i - 1]:
-            streak[i] = min(HELD - 1, streak[i - 1] + 1)
+    held = np.zeros(len(k) + HELD, bool)  # whether the bit before, of the same row, held
+    held[HELD + 1:] = (row[1:] == row[:-1]) & (k[1:] == k[:-1] + 1) & (holds[:-1] == 1)
+    streak, still = np.zeros(len(k), np.int64), np.ones(len(k), bool)
+    for back in range(HELD - 1):
+        still &= held[HELD - back:HELD - back + len(k)]
+        streak += still
     return (np.minimum(n, MOST_SEEN) * (MOST_SEEN + 1) + np.minimum(whole - n, MOST_SEEN)) * HELD + streak
 
 
-def _bits_of(value):
+def _flat_list(column):
+    """Values of a list column laid end to end, and the row of each."""
     import numpy as np
+    import pyarrow.compute as pc
 
-    return tuple(np.array([b[c] for b in value], np.int64) for c in ("k", "holds", "n", "all"))
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return column.flatten(), np.repeat(np.arange(len(column)), sizes)
+
+
+def _bits_of(column):
+    import numpy as np
+
+    values, row = _flat_list(column)
+    return row, *(values.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(4))
 
 
 def _learn_run_bits(bits: DataFrame):
@@ -580,13 +592,12 @@ def _learn_run_bits(bits: DataFrame):
 
         table = np.zeros((classes, 2), np.int64)
         for batch in batches:
-            for value in batch.column(0).to_pylist():
-                k, holds, n, whole = _bits_of(value)
-                left = whole > 1
-                k, holds, n, whole = k[left], holds[left], n[left] - holds[left], whole[left] - 1
-                # A run seen only here is no longer the one expected.
-                holds = np.where(n > 0, holds, 0)
-                np.add.at(table, (_bit_classes(k, holds, n, whole), holds), 1)
+            row, k, holds, n, whole = _bits_of(batch.column(0))
+            left = whole > 1
+            row, k, holds, n, whole = row[left], k[left], holds[left], n[left] - holds[left], whole[left] - 1
+            # A run seen only here is no longer the one expected.
+            holds = np.where(n > 0, holds, 0)
+            np.add.at(table, (_bit_classes(row, k, holds, n, whole), holds), 1)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(classes), pa.int32()), pa.array(table[:, 0]), pa.array(table[:, 1])],
             names=["i", "no", "yes"])
@@ -608,22 +619,23 @@ def _run_scores(chance):
         import pyarrow as pa
 
         for batch in batches:
-            logs, rests = [], []
-            columns = [batch.column(i).to_pylist() for i in range(1, batch.num_columns)]
-            for head, run_logs, rest, rest_run, value in zip(*columns):
-                told = np.ones(len(run_logs))
-                log = head
-                if value:
-                    k, holds, n, whole = _bits_of(value)
-                    p = np.clip(chance[_bit_classes(k, holds, n, whole)], 1e-6, 1 - 1e-6)
-                    log += np.log10(np.where(holds == 1, p, 1 - p)).sum()
-                    told[k] = 1 - holds
-                logs.append(log + (np.array(run_logs) * told).sum())
-                rests.append([{"h": h, "told": 1.0 if r < 0 else float(told[r])}
-                              for h, r in zip(rest, rest_run)])
-            kind = pa.list_(pa.struct([("h", pa.int64()), ("told", pa.float64())]))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(logs, pa.float64()), pa.array(rests, kind)],
+            rows = batch.num_rows
+            run_logs, run_row = _flat_list(batch.column(2))
+            rest, rest_row = _flat_list(batch.column(3))
+            rest_run = _flat_list(batch.column(4))[0].to_numpy(zero_copy_only=False)
+            row, k, holds, n, whole = _bits_of(batch.column(5))
+            first = np.searchsorted(run_row, np.arange(rows))
+            p = np.clip(chance[_bit_classes(row, k, holds, n, whole)], 1e-6, 1 - 1e-6)
+            told = np.ones(len(run_logs) + 1)  # the last is for words outside the runs
+            told[first[row] + k] = 1 - holds
+            logs = batch.column(1).to_numpy() + np.bincount(
+                row, np.log10(np.where(holds == 1, p, 1 - p)), rows) + np.bincount(
+                run_row, run_logs.to_numpy(zero_copy_only=False) * told[:-1], rows)
+            of_rest = told[np.where(rest_run < 0, len(told) - 1, first[rest_row] + rest_run)]
+            ends = np.concatenate([[0], np.cumsum(np.bincount(rest_row, minlength=rows))]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([
+                batch.column(0), pa.array(logs, pa.float64()), pa.ListArray.from_arrays(
+                    pa.array(ends), pa.StructArray.from_arrays([rest, pa.array(of_rest)], names=["h", "told"]))],
                 names=["uid", "lm", "rest"])
 
     return run
