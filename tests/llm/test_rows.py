@@ -16,7 +16,7 @@ ODD = [None, "", "   \n", "word", "Σαλός ΣΑΣ. naïve 123 <|endoftext|> x
 
 @pytest.fixture(scope="module")
 def coder():
-    return bpe.BpeTables(tokenizer_path()).coder()
+    return bpe.TextCoder(bpe.BpeTables(tokenizer_path()))
 
 
 @pytest.fixture(scope="module")

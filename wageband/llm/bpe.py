@@ -44,7 +44,7 @@ LATER_CAPITALS = [
 ]
 # Below this code point every version of the letter tables agrees.
 SETTLED = 0x530
-CACHED_CHUNKS = 400_000
+CACHED_CHUNKS = 150_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -200,12 +200,6 @@ class BpeTables:
                 token = shorter[token]
         return path
 
-    def coder(self) -> TextCoder:
-        """One coder per process, so that tasks which follow each other share its memory."""
-        if not hasattr(self, "_coder"):
-            self._coder = TextCoder(self)
-        return self._coder
-
     def decode(self, ids: list[int]) -> str:
         """Texts of the tokens, joined by one blank."""
         blob, at = self.blob, self.at
@@ -308,13 +302,11 @@ def with_bpe(df: DataFrame, path: str, text: str = "text",
     input columns of the same name.
     """
     types = {"n_tokens": "BIGINT", "ids": "ARRAY<INT>", "ids_text": "STRING", "decoded": "STRING"}
-    # Pickled with its class, and unpickled once per process: the list is the process's own.
-    tables = df.sparkSession.sparkContext.broadcast([cloudpickle.dumps(BpeTables(path))])
+    # Pickled with its class, and unpickled for each task, so that nothing is held after it.
+    tables = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(BpeTables(path)))
 
     def start():
-        if isinstance(tables.value[0], bytes):
-            tables.value[0] = pickle.loads(tables.value[0])
-        coder = tables.value[0].coder()
+        coder = TextCoder(pickle.loads(tables.value))
 
         def code(texts):
             rows = []

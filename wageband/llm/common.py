@@ -65,6 +65,28 @@ def small_side(keys: DataFrame, most: int = MOST_BROADCAST_KEYS) -> DataFrame:
     return F.broadcast(keys) if keys.limit(most + 1).count() <= most else keys
 
 
+def tidied(run: Callable) -> Callable:
+    """``run`` for mapInArrow, handing freed memory back to the machine when its task is done.
+
+    A Python worker outlives its tasks, and the C library keeps what they have freed.
+    """
+    def whole(batches):
+        yield from run(batches)
+        import ctypes
+        import gc
+
+        import pyarrow as pa
+
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):
+            pass  # another C library, which has no such call
+
+    return whole
+
+
 # Characters of text worked on at once inside a task.
 SLICE_CHARS = 4_000_000
 
@@ -111,4 +133,4 @@ def with_arrow_columns(df: DataFrame, text: str, results: dict[str, str],
                 yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
                 first = last
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(tidied(run), schema)

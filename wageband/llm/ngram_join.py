@@ -20,7 +20,7 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wageband.llm.common import SHINGLE_WORDS, SIMILARITY, small_side, stored, words_of
+from wageband.llm.common import SHINGLE_WORDS, SIMILARITY, small_side, stored, tidied, words_of
 from wageband.llm.components import components
 
 DEPTH = 3
@@ -144,7 +144,7 @@ def _prepared(docs: DataFrame, key: str, text: str, depth: int, runs: int, simil
                     pa.array([sketch(s).tobytes() for s in sets], pa.binary()),
                 ], names=["id", "key", "n", "paths", "sketch"])
 
-    return rows.mapInArrow(run, "id BIGINT, key BINARY, n INT, paths ARRAY<BIGINT>, sketch BINARY")
+    return rows.mapInArrow(tidied(run), "id BIGINT, key BINARY, n INT, paths ARRAY<BIGINT>, sketch BINARY")
 
 
 def _in_blocks(rows: DataFrame, sizes: DataFrame, block: int) -> DataFrame:
@@ -209,7 +209,7 @@ def _by_group(rows: DataFrame, work: Callable, schema: str) -> DataFrame:
         if out:
             yield batch_of(out)
 
-    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(run, schema)
+    return rows.repartition("path", "i", "j").sortWithinPartitions("path", "i", "j").mapInArrow(tidied(run), schema)
 
 
 def _own(path: int, paths: list, sides: list, i: int, j: int):
@@ -399,4 +399,4 @@ def _token_sets(docs: DataFrame, key: str, text: str, ids: DataFrame, width: int
                     [part.column(0), pa.array([s.tobytes() for s in sets], pa.binary())],
                     names=["id", "tokens"])
 
-    return rows.mapInArrow(run, "id BIGINT, tokens BINARY")
+    return rows.mapInArrow(tidied(run), "id BIGINT, tokens BINARY")

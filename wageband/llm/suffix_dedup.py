@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wageband.llm.common import BLANK_PATTERN, stored, words_of
+from wageband.llm.common import BLANK_PATTERN, small_side, stored, tidied, words_of
 
 LEAST_WORDS = 50
 GRAM = 20
@@ -126,7 +126,7 @@ def _suffixes(hashed: DataFrame, least: int, gram: int) -> DataFrame:
                 pa.array(grams.view(np.int64)), pa.array(ids[owner], pa.int64()),
                 pa.array((at - starts[owner]).astype(np.int32))], names=["gram", "id", "pos"])
 
-    return hashed.mapInArrow(run, "gram BIGINT, id BIGINT, pos INT")
+    return hashed.mapInArrow(tidied(run), "gram BIGINT, id BIGINT, pos INT")
 
 
 def _contexts(hashed: DataFrame, places: DataFrame, least: int, gram: int) -> DataFrame:
@@ -173,7 +173,7 @@ def _contexts(hashed: DataFrame, places: DataFrame, least: int, gram: int) -> Da
                     pa.array(runs[a:a + 20_000], pa.int32()),
                 ], names=["gram", "id", "pos", "left", "right", "run"])
 
-    return rows.mapInArrow(run, "gram BIGINT, id BIGINT, pos INT, left BINARY, right BINARY, run INT")
+    return rows.mapInArrow(tidied(run), "gram BIGINT, id BIGINT, pos INT, left BINARY, right BINARY, run INT")
 
 
 def _neighbours(gram, ids, pos, left, right, side: int):
@@ -274,7 +274,7 @@ def _repeats(sorted_rows: DataFrame, side: int) -> DataFrame:
             yield from work(held)
 
     return sorted_rows.mapInArrow(
-        run, "id BIGINT, pos INT, repeated BIGINT, late BIGINT, text BIGINT, j INT, seen BIGINT")
+        tidied(run), "id BIGINT, pos INT, repeated BIGINT, late BIGINT, text BIGINT, j INT, seen BIGINT")
 
 
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
@@ -295,11 +295,17 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError("gram must be shorter than least, by 60 words at most")
     hashed = _word_hashes(docs.where(F.col(key).isNotNull()), key, text)
     suffixes = stored(_suffixes(hashed, least, gram), "suffix-places")
-    shared = suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1")
-    runs = F.ceil(F.col("n") / RUN_ROWS).cast("int")
-    run = F.when(runs > 1, F.pmod(F.xxhash64("id", "pos"), runs).cast("int")).otherwise(-1)
-    places = stored(suffixes.join(shared, "gram").groupBy("id").agg(
-        F.collect_list(F.struct("pos", "gram", run.alias("run"))).alias("at")), "suffix-shared")
+    shared = stored(suffixes.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"), "suffix-grams")
+    # Grams of several runs are few: where their number allows, their suffixes stay where they are,
+    # and only the others meet by gram.
+    common = small_side(stored(shared.where(F.col("n") > RUN_ROWS), "suffix-common"))
+    run = F.pmod(F.xxhash64("id", "pos"), F.ceil(F.col("n") / RUN_ROWS).cast("int")).cast("int")
+    others = suffixes.join(common.select("gram"), "gram", "left_anti").join(
+        shared.where(F.col("n") <= RUN_ROWS).select("gram"), "gram").withColumn("run", F.lit(-1))
+    dealt = others.select("id", "pos", "gram", "run").union(
+        suffixes.join(common, "gram").select("id", "pos", "gram", run.alias("run")))
+    places = stored(dealt.groupBy("id").agg(
+        F.collect_list(F.struct("pos", "gram", "run")).alias("at")), "suffix-shared")
     rows = _contexts(hashed, places, least, gram)
     ordered = rows.repartition("gram", "run").sortWithinPartitions("gram", "run", "right", "id", "pos")
     found = stored(_repeats(ordered, side), "suffix-repeats")
