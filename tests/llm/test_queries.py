@@ -1,5 +1,7 @@
 """The registered queries against their SQL, and the pipeline against its stages' rules."""
 
+import bisect
+import hashlib
 import os
 import re
 
@@ -77,3 +79,53 @@ def test_pipeline_against_brute_force(spark):
     expected = {i: coder.encode(t, add_special_tokens=False).ids for i, t in texts.items()}
     found = corpus_pipeline.run(spark, SF).collect()
     assert {r["doc_id"]: r["ids"] for r in found} == expected and len(found) == len(expected)
+
+
+def _places(rows, block_rows=64, cycle=1000):
+    """Slot and place in the mix of (doc_id, source) rows with distinct ids, and each source's share."""
+    ranked = {}
+    for i, source in sorted(rows, key=lambda r: hashlib.md5(str(r[0]).encode()).hexdigest()):
+        ranked.setdefault(source, []).append(i)
+    names = sorted(ranked)
+    weight = {s: len(ranked[s]) ** 0.5 for s in names}
+    exact = {s: weight[s] / sum(weight.values()) * (cycle - len(names)) for s in names}
+    units = {s: int(exact[s]) + 1 for s in names}
+    spare = sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))
+    for s in spare[:cycle - sum(units.values())]:
+        units[s] += 1
+    done, slots = dict.fromkeys(names, 0), {s: [] for s in names}
+    for t in range(cycle):
+        ready = [(-(-(done[s] + 1) * cycle // units[s]), s) for s in names
+                 if done[s] < units[s] and done[s] * cycle // units[s] <= t]
+        if ready:
+            pick = min(ready)[1]
+            done[pick] += 1
+            slots[pick].append(t)
+    places = {}
+    for s in names:
+        for rank, i in enumerate(ranked[s]):
+            k = rank // block_rows
+            slot = k // units[s] * cycle + slots[s][k % units[s]]
+            places[i] = (slot, slot * block_rows + rank % block_rows)
+    return places, {s: units[s] / cycle for s in names}
+
+
+def test_pipeline_returns_the_mix(spark):
+    found = corpus_pipeline.run(spark, SF).select("doc_id", "source", "slot", "mix_order").collect()
+    places, _ = _places([(r["doc_id"], r["source"]) for r in found])
+    assert len(places) == len(found) > 0
+    assert {r["doc_id"]: (r["slot"], r["mix_order"]) for r in found} == places
+
+
+def test_encoded_places_keep_the_shares(spark):
+    # Rows in many files, in another order than the mix.
+    docs = spark.range(0, 20_000, 1, 16).selectExpr(
+        "id AS doc_id", "'a b' AS text", "'en' AS lang",
+        "CASE WHEN id % 7 = 0 THEN 'y' WHEN id % 7 < 3 THEN 'x' ELSE 'z' END AS source", "3L AS n_chars")
+    rows = corpus_pipeline.encode(spark, docs, SF).select("doc_id", "source", "slot", "mix_order").collect()
+    places, shares = _places([(r["doc_id"], r["source"]) for r in rows])
+    assert {r["doc_id"]: (r["slot"], r["mix_order"]) for r in rows} == places and len(places) == 20_000
+    taken = {s: sorted({r["slot"] for r in rows if r["source"] == s}) for s in shares}
+    for source, share in shares.items():
+        for t in range(taken[source][-1] + 1):
+            assert abs(bisect.bisect_left(taken[source], t) - t * share) < 1
