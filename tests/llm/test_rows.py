@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import re
 import zlib
 
 import pytest
@@ -163,6 +164,30 @@ def test_main_text():
         assert html_text.main_text(nothing) == ""
 
 
+WRAPPERS = ["<div class='content has-sidebar'>", "<article class='post comments-open'>", "<main class='no-sidebar'>",
+            "<form id=aspnetForm action=x>", "<div id='widget-wrap'><div class='share-top'>", "<div class=widget>"]
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+def test_names_do_not_take_the_article(wrapper):
+    kept = ["Heading", "First paragraph, with some length. It goes on, and on, for a while.",
+            "Second paragraph, of a like length; it goes on too, for quite a while."]
+    closing = "".join(f"</{tag}>" for tag in re.findall(r"<(\w+)", wrapper)[::-1])
+    label = "<label for=q>Search</label>" if wrapper.startswith("<form") else ""
+    page = (f"<html><body><nav><a href=/>Home</a></nav>{wrapper}<h1>{kept[0]}</h1><div class=ad>Buy now, cheap!</div>"
+            f"<p>{kept[1]}</p>{label}<p>{kept[2]}</p>"
+            "<div class='sidebar'><p>Side text, long enough. Yes indeed.</p></div>"
+            f"{closing}<footer>(c)</footer></body></html>")
+    assert html_text.main_blocks(page) == kept
+
+
+def test_whole_names_still_go():
+    comments = "<p>A comment, longer than the article. Yes, it is, by far, and it goes on.</p>" * 3
+    page = ("<body><div class='content has-sidebar'><p>An article, short but whole. It ends here.</p></div>"
+            f"<div id=comments>{comments}</div><div class=ad>Buy this now, and that too, for a very low price.</div></body>")
+    assert html_text.main_blocks(page) == ["An article, short but whole. It ends here."]
+
+
 def test_main_text_columns(spark):
     rows = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (2, None, "old")],
                                  "page_id INT, html STRING, text STRING")

@@ -4,7 +4,8 @@ A page is cut into blocks of text, each with the path of block elements from the
 path the text length and the punctuation are summed over its blocks and divided by their number;
 both ratios are fused, smoothed along the page and held against their spread. Paths that rise
 above it carry the content. The smallest element around nearly all of their text is taken as the
-article, so that headings and short paragraphs in it are kept; menus, forms and the like are not.
+article, so that headings and short paragraphs in it are kept; menus and the like are not. Forms and
+elements whose class or id sounds like an advert or a sidebar go only if the winning text is not theirs.
 """
 
 from __future__ import annotations
@@ -32,8 +33,9 @@ ENDS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd"
         "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"table", "tr"}),
         "th": ({"td", "th"}, {"table", "tr"}), "option": ({"option"}, {"select"}),
         "tbody": ({"tr", "td", "th", "thead", "tbody"}, {"table"})}
-# Elements that never belong to the article, and words in class or id that say so.
-ASIDE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset"}
+# Elements that never belong to the article; elements, and words in class or id, that often do not.
+ASIDE = {"nav", "footer", "aside", "button", "select", "menu", "head", "legend", "datalist"}
+FORMS = {"form", "fieldset", "dialog"}
 HINTS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsored", "promo",
          "promotion", "banner", "cookie", "cookies", "consent", "gdpr", "notice", "notices", "alert",
          "nav", "navbar", "navigation", "menu", "breadcrumb", "breadcrumbs", "sidebar", "aside",
@@ -51,6 +53,9 @@ SMOOTHING = (0.25, 0.5, 0.25)
 WIDTH_OF_SPREAD = 0.5
 CORE_SHARE = 0.9
 LINK_SHARE = 0.6
+# Share of the text that a doubtful element holds if it stays: by a word among others or its tag, by its whole name.
+HELD_BY_WORD = 0.5
+HELD_BY_NAME = 0.9
 
 
 @dataclass
@@ -61,6 +66,7 @@ class Node:
     path: str
     outside: bool
     in_article: bool
+    doubt: float = 0.0
 
 
 @dataclass
@@ -78,33 +84,39 @@ def _attributes(raw: str) -> dict[str, str]:
 
 
 def _opened(tag: str, raw: str, parent: Node | None) -> Node:
-    """A new element, with whether it or one around it stands outside the article."""
+    """A new element, with whether it or one around it stands outside, and the doubt its name casts."""
     step, outside = tag, parent is not None and parent.outside
     inside = parent is not None and parent.in_article
     words: set[str] = set()
+    names: set[str] = set()
     if raw.strip():
         found = _attributes(raw)
         kind = found.get("class", "")
         if kind:
             step = f"{tag}.{kind.split()[0].lower()}" if kind.split() else tag
-        words = set(re.split(r"[^a-z0-9]+", f"{kind} {found.get('id', '')} {found.get('role', '')}".lower()))
+        named = f"{kind} {found.get('id', '')} {found.get('role', '')}".lower()
+        names, words = set(named.split()), set(re.split(r"[^a-z0-9]+", named))
         style = found.get("style", "").replace(" ", "").lower()
         outside = outside or "hidden" in found or found.get("aria-hidden") == "true" \
             or "display:none" in style or "visibility:hidden" in style
     whole = tag in ("html", "body")
-    if tag in ASIDE or (words & HINTS and not whole):
-        outside = True
-    if not inside and not whole and (tag == "header" or words & HEADS):
+    if tag in ASIDE or (tag == "header" and not inside):
         outside = True
+    hints, doubt = HINTS if inside else HINTS | HEADS, 0.0
+    if not whole and tag not in ARTICLES:
+        if names & hints:
+            doubt = HELD_BY_NAME
+        elif words & hints or tag in FORMS:
+            doubt = HELD_BY_WORD
     inside = inside or (tag in ARTICLES and not outside)
-    return Node(tag, parent, f"{parent.path if parent else ''}/{step}", outside, inside)
+    return Node(tag, parent, f"{parent.path if parent else ''}/{step}", outside, inside, doubt)
 
 
 def blocks_of(page: str) -> list[Block]:
     """Blocks with text, in page order; raw elements, comments and markup are left out."""
     root = Node("", None, "", False, False)
     stack, blocks = [root], []
-    block, links, raw_end, at = Block(root), 0, "", 0
+    block, links, labels, at = Block(root), 0, 0, 0
 
     def flush() -> None:
         nonlocal block
@@ -115,7 +127,7 @@ def blocks_of(page: str) -> list[Block]:
         block = Block(stack[-1])
 
     def add(piece: str) -> None:
-        if piece:
+        if piece and not labels:
             text = html.unescape(piece) if "&" in piece else piece
             block.pieces.append(text)
             if links:
@@ -135,6 +147,8 @@ def blocks_of(page: str) -> list[Block]:
         if closing:
             if tag == "a":
                 links = max(0, links - 1)
+            elif tag == "label":
+                labels = max(0, labels - 1)
             elif tag == "br":
                 add(" ")
             elif tag not in INLINE:
@@ -155,9 +169,12 @@ def blocks_of(page: str) -> list[Block]:
             add(" ")
         elif tag == "a":
             links += 1
+        elif tag == "label":
+            # The caption of a form control goes with it.
+            labels += any(n.tag == "form" for n in stack)
         elif tag not in INLINE:
             flush()
-            links = 0
+            links = labels = 0
             if tag not in VOID:
                 if len(stack) > 1 and any(n.tag == "p" for n in stack) and tag not in ("html", "body"):
                     depth = next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p")
@@ -204,6 +221,56 @@ def _spread_threshold(scores: dict[str, float], blocks: list[Block]) -> float:
     return min(mean, WIDTH_OF_SPREAD * spread if spread else mean)
 
 
+def _unlinked(block: Block) -> int:
+    return max(0, len(block.text) - block.link_chars)
+
+
+def _without_doubtful(blocks: list[Block], need: float) -> list[Block]:
+    """Blocks outside the elements of one degree of doubt that do not hold the winning paths' text.
+
+    The least goes first, and the others are held against what is left, so the last one stays. An
+    element named as a whole stays only if it has several blocks.
+    """
+    own: dict[int, list] = {}  # per doubtful element: core text, all text, blocks
+    nodes: dict[int, Node] = {}
+    around: list[list[int]] = []
+    for b in blocks:
+        chain, node = [], b.node
+        while node is not None:
+            if node.doubt == need:
+                chain.append(id(node))
+                nodes[id(node)] = node
+            node = node.parent
+        around.append(chain)
+    if not nodes:
+        return blocks
+    scores = path_scores(blocks)
+    least = _spread_threshold(scores, blocks)
+    total = [0, 0]
+    for b, chain in zip(blocks, around):
+        size = _unlinked(b)
+        core = size if scores[b.node.path] >= least else 0
+        total[0], total[1] = total[0] + core, total[1] + size
+        for i in chain:
+            held = own.setdefault(i, [0, 0, 0])
+            held[0], held[1], held[2] = held[0] + core, held[1] + size, held[2] + 1
+    gone: set[int] = set()
+    for i in sorted(own, key=lambda i: (own[i][0], own[i][1])):
+        core, size, number = own[i]
+        holds = (total[0] > 0 and core >= need * total[0]) or (total[1] > 0 and size >= need * total[1])
+        if holds and (need < HELD_BY_NAME or number > 1):
+            continue
+        gone.add(i)
+        total[0], total[1] = total[0] - core, total[1] - size
+        node = nodes[i].parent
+        while node is not None:
+            if id(node) in own:
+                held = own[id(node)]
+                held[0], held[1], held[2] = held[0] - core, held[1] - size, held[2] - number
+            node = node.parent
+    return [b for b, chain in zip(blocks, around) if not gone.intersection(chain)]
+
+
 def _article_around(core: list[Block]) -> Node:
     """The smallest element, but no single paragraph, around most of the core's text."""
     weight: dict[int, int] = {}
@@ -246,6 +313,8 @@ def main_blocks(page: str | None) -> list[str]:
     if not page:
         return []
     blocks = [b for b in blocks_of(page) if not b.node.outside]
+    for need in (HELD_BY_NAME, HELD_BY_WORD):
+        blocks = _without_doubtful(blocks, need)
     if not blocks:
         return []
     scores = path_scores(blocks)
