@@ -188,6 +188,34 @@ def test_whole_names_still_go():
     assert html_text.main_blocks(page) == ["An article, short but whole. It ends here."]
 
 
+STORY = ["The story", "A first paragraph, long enough to win. It has marks, and words, and more of both.",
+         "A second one, as long as the first. It has marks too, and words, and some more of both."]
+
+
+def test_scores_choose_the_article():
+    story = f"<h1>{STORY[0]}</h1><p>{STORY[1]}</p><p>{STORY[2]}</p>"
+    teaser = "<section class=more><{0}><p>A teaser, short.</p></{0}></section>"
+    for tag in ("article", "main", "div"):
+        assert html_text.main_blocks(f"<body><{tag}>{story}</{tag}></body>") == STORY
+        # A short element of that name does not take the place of the text that wins.
+        assert html_text.main_blocks(f"<body><div class=story>{story}</div>{teaser.format(tag)}</body>") == STORY
+
+
+def test_low_paths_inside_the_article_go():
+    lines = "".join(f"<div class=x9>x{i}</div>" for i in range(8))
+    for tag in ("article", "div"):
+        page = f"<body><{tag}><h1>{STORY[0]}</h1><p>{STORY[1]}</p><p>{STORY[2]}</p>{lines}</{tag}></body>"
+        assert html_text.main_blocks(page) == STORY
+
+
+def test_sections_stay_together():
+    long = "A very long paragraph, with marks, that goes on and on. " * 12
+    page = (f"<body><{{0}}><h1>{STORY[0]}</h1><div class=s><p>{long}</p></div><div class=s><p>A short end.</p></div></{{0}}>"
+            "<div class=other><p>Something else.</p></div></body>")
+    for tag in ("article", "div"):
+        assert html_text.main_blocks(page.format(tag)) == [STORY[0], long.strip(), "A short end."]
+
+
 def test_main_text_columns(spark):
     rows = spark.createDataFrame([(1, PAGE, "old"), (2, None, "old"), (2, None, "old")],
                                  "page_id INT, html STRING, text STRING")

@@ -3,8 +3,9 @@
 A page is cut into blocks of text, each with the path of block elements from the root to it. Per
 path the text length and the punctuation are summed over its blocks and divided by their number;
 both ratios are fused, smoothed along the page and held against their spread. Paths that rise
-above it carry the content. The smallest element around nearly all of their text is taken as the
-article, so that headings and short paragraphs in it are kept; menus and the like are not. Forms and
+above it carry the content; that a path runs through an article element is one factor among the
+others. The smallest element around nearly all of their text is taken as the article, so that headings
+and short paragraphs in it are kept; other low paths, menus and the like are not. Forms and
 elements whose class or id sounds like an advert or a sidebar go only if the winning text is not theirs.
 """
 
@@ -44,6 +45,10 @@ HINTS = {"ad", "ads", "advert", "adverts", "advertisement", "sponsor", "sponsore
          "popup", "modal", "overlay", "widget", "pagination", "pager", "toolbar", "skip", "login"}
 HEADS = {"header", "masthead", "topbar"}
 ARTICLES = {"article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+# Elements that are parts of a text, not the whole of one.
+PARTS = HEADINGS | {"p", "li", "ul", "ol", "blockquote", "pre", "td", "th", "tr", "tbody", "dd", "dt", "dl",
+                    "figure", "figcaption", "address", "hgroup"}
 PUNCTUATION = ".,;:!?…。，、；：！？।؟،"
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>"
@@ -52,7 +57,9 @@ ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'
 SMOOTHING = (0.25, 0.5, 0.25)
 WIDTH_OF_SPREAD = 0.5
 CORE_SHARE = 0.9
+CLIMB_SHARE = 0.5
 LINK_SHARE = 0.6
+NAMED_FACTOR = 1.5
 # Share of the text that a doubtful element holds if it stays: by a word among others or its tag, by its whole name.
 HELD_BY_WORD = 0.5
 HELD_BY_NAME = 0.9
@@ -199,13 +206,16 @@ def path_scores(blocks: list[Block]) -> dict[str, float]:
     text: dict[str, float] = {}
     marks: dict[str, float] = {}
     count: dict[str, int] = {}
+    named: dict[str, int] = {}
     for b in blocks:
         path = b.node.path
         text[path] = text.get(path, 0.0) + max(0, len(b.text) - b.link_chars)
         marks[path] = marks.get(path, 0.0) + sum(map(b.text.count, PUNCTUATION))
         count[path] = count.get(path, 0) + 1
+        named[path] = named.get(path, 0) + b.node.in_article
     fused = [math.sqrt((text[b.node.path] / count[b.node.path])
-                       * (1.0 + marks[b.node.path] / count[b.node.path])) for b in blocks]
+                       * (1.0 + marks[b.node.path] / count[b.node.path]))
+             * (1.0 + (NAMED_FACTOR - 1.0) * named[b.node.path] / count[b.node.path]) for b in blocks]
     scores: dict[str, float] = {}
     for i, b in enumerate(blocks):
         around = [fused[max(0, i - 1)], fused[i], fused[min(len(fused) - 1, i + 1)]]
@@ -271,8 +281,11 @@ def _without_doubtful(blocks: list[Block], need: float) -> list[Block]:
     return [b for b, chain in zip(blocks, around) if not gone.intersection(chain)]
 
 
-def _article_around(core: list[Block]) -> Node:
-    """The smallest element, but no single paragraph, around most of the core's text."""
+def _article_around(core: list[Block], blocks: list[Block]) -> Node:
+    """The smallest element, but no single paragraph, around most of the core's text.
+
+    An element around it takes its place if it mostly adds headings and text of the same core paths.
+    """
     weight: dict[int, int] = {}
     nodes: dict[int, Node] = {}
     depth: dict[int, int] = {}
@@ -288,15 +301,31 @@ def _article_around(core: list[Block]) -> Node:
             nodes[id(node)], depth[id(node)] = node, level
     heavy = [i for i, w in weight.items() if w >= CORE_SHARE * total]
     best = nodes[max(heavy, key=lambda i: (depth[i], weight[i]))]
-    inner = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "ul", "ol", "blockquote", "pre", "td",
-             "th", "tr", "tbody", "dd", "dt", "dl", "figure", "figcaption", "address", "hgroup"}
-    while best.parent is not None and best.parent.tag and best.tag in inner:
+    while best.parent is not None and best.parent.tag and best.tag in PARTS:
         best = best.parent
-    outer = best
-    while outer.parent is not None:
-        if outer.tag in ARTICLES and not outer.outside:
-            return outer
-        outer = outer.parent
+    won = {b.node.path for b in core if _inside(b.node, best)}
+    above, node = {}, best
+    while node is not None:
+        above[id(node)] = len(above)
+        node = node.parent
+    # Per element above, the text it adds to the one below it, and how much of that is like the core.
+    added: dict[int, list[int]] = {}
+    for b in blocks:
+        node = b.node
+        while id(node) not in above:
+            node = node.parent
+        sums = added.setdefault(above[id(node)], [0, 0])
+        sums[0] += len(b.text)
+        sums[1] += _unlinked(b) if b.node.path in won or b.node.tag in HEADINGS else 0
+    size = alike = 0
+    outer, level = best.parent, 1
+    while outer is not None and outer.tag and outer.tag not in ("html", "body"):
+        if level in added:
+            size, alike = size + added[level][0], alike + added[level][1]
+            if alike < CLIMB_SHARE * size:
+                break
+            best, size, alike = outer, 0, 0
+        outer, level = outer.parent, level + 1
     return best
 
 
@@ -320,16 +349,12 @@ def main_blocks(page: str | None) -> list[str]:
     scores = path_scores(blocks)
     least = _spread_threshold(scores, blocks)
     core = [b for b in blocks if scores[b.node.path] >= least] or blocks
-    # Where the page names its article, the paths compete inside it.
-    named = [b for b in core if b.node.in_article]
-    if not named:
-        named = [b for b in blocks if b.node.in_article]
-    article = _article_around(named or core)
+    article = _article_around(core, blocks)
     kept = []
     for b in blocks:
         if _inside(b.node, article):
-            linky = b.link_chars > LINK_SHARE * len(b.text) and scores[b.node.path] < least
-            if not linky:
+            linky = b.link_chars > LINK_SHARE * len(b.text)
+            if scores[b.node.path] >= least or (b.node.tag in PARTS and not linky):
                 kept.append(b.text)
     return kept
 
