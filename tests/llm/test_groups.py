@@ -242,6 +242,49 @@ def test_graph_recall():
     assert np.mean([len(set(n) & set(i)) / 5 for n, i in zip(near, ids)]) >= 0.9
 
 
+def _unit_rows(points):
+    return points / np.linalg.norm(points, axis=1, keepdims=True)
+
+
+class Blind:
+    """A graph whose searches see only the first rows, until a beam spans all of them."""
+
+    def __init__(self, unit, seen):
+        self.unit, self.seen = unit, seen
+
+    def nearest(self, queries, beam):
+        sims = queries @ self.unit[:max(self.seen, beam // 4)].T
+        ids = np.argsort(-sims, 1)[:, :beam]
+        return ids, np.take_along_axis(sims, ids, 1)
+
+
+def test_audit_needs_no_links():
+    rng = np.random.default_rng(8)
+    a, b = rng.normal(size=(600, 16)), rng.normal(size=(600, 16))
+    # Links of queries that the audit does not take: it has no link to miss.
+    audited = set(np.linspace(0, 599, embeddings.AUDITED).astype(int))
+    for i, j in ((500, 1), (510, 2), (520, 3)):
+        assert j not in audited
+        b[j] = a[i] + 0.01 * rng.normal(size=16)
+    a, b = _unit_rows(a), _unit_rows(b)
+    truth = a @ b.T >= 0.93
+    assert truth[:, sorted(audited)].sum() == 0 and truth.sum() == 3
+    links, beam = embeddings.linked_pairs(Blind(a, 300), a, b, False)
+    assert (links == truth).all() and beam > embeddings.SEARCH_BEAM
+
+
+def test_shards_search_both_ways(monkeypatch):
+    rng = np.random.default_rng(9)
+    a, b = rng.normal(size=(300, 16)), rng.normal(size=(300, 16))
+    b[7] = a[290] + 0.01 * rng.normal(size=16)
+    a, b = _unit_rows(a), _unit_rows(b)
+    # One way misses the pair although its audit passes; the other way finds it.
+    monkeypatch.setattr(embeddings, "NEAREST_RECALL", 0.0)
+    assert not embeddings.linked_pairs(Blind(a, 200), a, b, False)[0][290, 7]
+    links, _ = embeddings.linked_pairs(Blind(a, 200), a, b, False, other=Blind(b, 300))
+    assert (links == (a @ b.T >= 0.93)).all() and links[290, 7]
+
+
 def test_mixing_keeps_the_shares(spark):
     rows = [(i, "big" if i % 3 else ("rare" if i % 2 else None), "s") for i in range(6000)] + [(None, "big", "s")] * 3
     docs = spark.createDataFrame(rows, "doc_id BIGINT, source STRING, slot STRING")

@@ -3,8 +3,10 @@
 Equal vectors form classes first. The rest is cut by label into shards of bounded size, and each
 shard gets a hierarchical graph: a vector stands on level 0 and, with falling chance, on levels
 above; on each level it is tied to near vectors that are not nearer to each other than to it.
-Every vector then searches every shard of its label with a beam. Searches are audited against
-brute force on some of the queries, and the beam is widened until the audit passes. Found links
+Every vector then searches every shard of its label with a beam, so vectors of two shards search for
+each other both ways. Searches are audited against brute force on some of the queries, by their true
+nearest vectors, which every query has, and by their links; the beam is widened until both audits
+pass, or the shard is compared as a whole. Found links
 are verified by cosine in double precision; inside a group that the found links tie together, all
 pairs of the two shards are verified, so a dense group keeps all its links. Links are summed per
 vector, and the components of the link graph are built without gathering any of them.
@@ -28,7 +30,9 @@ SEARCH_BEAM = 64
 WIDER = 3  # unexpanded beam entries that are expanded at once
 BATCH = 256
 AUDITED = 96
-AUDIT_RECALL = 1.0
+AUDIT_RECALL = 1.0  # of the audited queries' links
+AUDIT_NEAREST = 4
+NEAREST_RECALL = 0.99  # of the audited queries' true nearest vectors
 
 
 class SmallWorld:
@@ -223,39 +227,64 @@ def _groups(links):
             return label_r, label_c
 
 
-def linked_pairs(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float = COSINE):
-    """Boolean matrix of links between the rows of a graph and other rows, with the beam used.
+def _search_links(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float):
+    """Boolean matrix of links that the rows of ``unit_b`` find in a graph over ``unit_a``, and the beam.
 
-    ``same``: both are one shard, and a row does not link with itself. The audit takes evenly
-    spaced queries: the beam doubles until it finds enough of their links, or spans the shard.
+    The audit takes evenly spaced queries. The beam doubles until it finds nearly all of their true
+    nearest vectors and all of their links; a beam as wide as the shard is a comparison with all of it.
     """
     import numpy as np
 
-    beam = min(SEARCH_BEAM, len(unit_a))
+    beam = SEARCH_BEAM
     audited = np.unique(np.linspace(0, len(unit_b) - 1, min(AUDITED, len(unit_b))).astype(int))
-    truth = unit_a @ unit_b[audited].T >= cosine
+    near = unit_a @ unit_b[audited].T
     if same:
-        truth[audited, np.arange(len(audited))] = False
-    while True:
-        ids, sims = graph.nearest(unit_b, beam)
-        links = np.zeros((len(unit_a), len(unit_b)), bool)
-        # Single precision searches, with a hair of room; double precision decides below.
-        col, k = np.nonzero((ids >= 0) & (sims >= cosine - 1e-4))
-        links[ids[col, k], col] = True
-        group_a, group_b = _groups(links)
-        links[:] = False
-        met = np.intersect1d(group_a, group_b)
-        for g in met.tolist():
-            a, b = np.flatnonzero(group_a == g), np.flatnonzero(group_b == g)
-            if len(a) and len(b):
-                links[np.ix_(a, b)] = unit_a[a] @ unit_b[b].T >= cosine
-        if same:
-            np.fill_diagonal(links, False)
-            links |= links.T
-        wanted = truth.sum()
-        if beam >= len(unit_a) or (truth & links[:, audited]).sum() >= AUDIT_RECALL * wanted:
-            return links, beam
-        beam = min(2 * beam, len(unit_a))
+        near[audited, np.arange(len(audited))] = -2.0
+    truth = near >= cosine
+    nearest = np.argsort(-near, 0, kind="stable")[:AUDIT_NEAREST].T
+    while beam < len(unit_a):
+        ids, _ = graph.nearest(unit_b[audited], beam)
+        found = np.zeros(truth.shape, bool)
+        col, k = np.nonzero(ids >= 0)
+        found[ids[col, k], col] = True
+        met = np.take_along_axis(found, nearest.T, 0).mean()
+        if met >= NEAREST_RECALL and (truth & found).sum() >= AUDIT_RECALL * truth.sum():
+            break
+        beam *= 2
+    else:
+        return unit_a @ unit_b.T >= cosine, len(unit_a)
+    ids, sims = graph.nearest(unit_b, beam)
+    links = np.zeros((len(unit_a), len(unit_b)), bool)
+    # A hair of room, as searches are in single precision.
+    col, k = np.nonzero((ids >= 0) & (sims >= cosine - 1e-4))
+    links[ids[col, k], col] = True
+    return links, beam
+
+
+def linked_pairs(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float = COSINE,
+                 other: SmallWorld | None = None):
+    """Boolean matrix of links between the rows of a graph and other rows, with the widest beam used.
+
+    ``same``: both are one shard, and a row does not link with itself. ``other`` is the graph of the
+    other rows, where the rows of the first search in turn.
+    """
+    import numpy as np
+
+    links, beam = _search_links(graph, unit_a, unit_b, same, cosine)
+    if other is not None:
+        back, wide = _search_links(other, unit_b, unit_a, False, cosine)
+        links, beam = links | back.T, max(beam, wide)
+    # Single precision searches; double precision decides, on all pairs of a group.
+    group_a, group_b = _groups(links)
+    links = np.zeros(links.shape, bool)
+    for g in np.intersect1d(group_a, group_b).tolist():
+        a, b = np.flatnonzero(group_a == g), np.flatnonzero(group_b == g)
+        if len(a) and len(b):
+            links[np.ix_(a, b)] = unit_a[a] @ unit_b[b].T >= cosine
+    if same:
+        np.fill_diagonal(links, False)
+        links |= links.T
+    return links, beam
 
 
 def _least_around(links, ids_a, ids_b, same: bool):
@@ -327,13 +356,15 @@ def _linked(pairs: DataFrame, cosine: float) -> DataFrame:
         names = ["id", "links", "doc_links", "least"]
         for batch in batches:
             for r in range(batch.num_rows):
-                block, other, graph = (batch.column(i)[r].as_py() for i in range(3))
+                block, other, graph, other_graph = (batch.column(i)[r].as_py() for i in range(4))
                 ids_a, copies_a, vec_a = pickle.loads(block)
                 same = other is None
                 ids_b, copies_b, vec_b = (ids_a, copies_a, vec_a) if same else pickle.loads(other)
                 unit_a = _unit(vec_a)
                 unit_b = unit_a if same else _unit(vec_b)
-                links, _ = linked_pairs(SmallWorld.of_state(graph, unit_a), unit_a, unit_b, same, cosine)
+                links, _ = linked_pairs(
+                    SmallWorld.of_state(graph, unit_a), unit_a, unit_b, same, cosine,
+                    None if same else SmallWorld.of_state(other_graph, unit_b))
                 least_a, least_b = _least_around(links, ids_a, ids_b, same)
                 sides = [(ids_a, links, copies_b, least_a)]
                 if not same:
@@ -359,7 +390,8 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     copies included; ``component_id``: least key reachable by links; ``kept``: it is the vector's
     own. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, and so do rows with a null key, which are kept. Repeated rows are copies of each
-    other. Every row is returned; recall is audited for every pair of shards.
+    other. Every row is returned; recall is audited for every pair of shards, both ways, by the
+    true nearest vectors of some queries, so also where they have no links.
 
     A shard holds about ``shard_rows`` vectors, so a hot label has more shards, not larger ones.
     """
@@ -380,12 +412,14 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
         "shards", F.col("first").alias("id"), "copies", "v")
     shards = stored(_build(placed), "vector-shards")
     # Each shard meets itself and every later shard of its label once; its row is rebuilt per pair.
-    own = shards.select("block", F.lit(None).cast("binary").alias("other"), "graph")
+    none = F.lit(None).cast("binary")
+    own = shards.select("block", none.alias("other"), "graph", none.alias("other_graph"))
     later = shards.where("shard + 1 < shards").select(
         "lab", "dim", "block", "graph",
         F.explode(F.sequence(F.col("shard") + 1, F.col("shards") - 1)).alias("shard"))
-    across = later.join(shards.select("lab", "dim", "shard", F.col("block").alias("other")),
-                        ["lab", "dim", "shard"]).select("block", "other", "graph")
+    others = shards.select("lab", "dim", "shard", F.col("block").alias("other"),
+                           F.col("graph").alias("other_graph"))
+    across = later.join(others, ["lab", "dim", "shard"]).select("block", "other", "graph", "other_graph")
     pairs = own.union(across)
     links = stored(_linked(pairs, cosine), "vector-links")
     totals = links.groupBy("id").agg(F.sum("doc_links").alias("doc_links"))
