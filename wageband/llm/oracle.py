@@ -114,7 +114,53 @@ b AS (SELECT page_id, url, list_filter(list_transform(string_split_regex(h, '</?
 SELECT page_id, url, array_to_string(t, chr(10) || chr(10)) AS text,
   CAST(length(array_to_string(t, chr(10) || chr(10))) AS BIGINT) AS n_chars FROM b"""
 
+SEARCH = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+s AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0),
+q AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text,
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+p AS (SELECT doc_id, n, t, count(*) AS tf FROM (SELECT doc_id, len(ts) AS n, unnest(ts) AS t FROM d)
+  WHERE t IN (SELECT t FROM q) GROUP BY ALL),
+w AS (SELECT t, CAST(floor(1000 * ln((2 * any_value(nn) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM p, s GROUP BY t),
+impacts AS (SELECT doc_id, t, w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * nn) // ll))) AS x
+  FROM p JOIN w USING (t), s),
+scores AS (SELECT item_id, doc_id, CAST(sum(x) AS BIGINT) AS score FROM q JOIN impacts USING (t) GROUP BY 1, 2)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 10"""
+
+# A run of 12 words or more with period q holds two equal stretches of 6 words q apart, side by side
+# for as long as it lasts; the smallest q of a stretch is its period.
+RUNS = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS ws, list_transform(range(256), lambda b: list_reduce(
+    list_prepend(CAST(b AS UBIGINT), list_transform(range(8), lambda z: z::UBIGINT)),
+    lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS tab FROM documents),
+h AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+    list_transform(string_split(doc_id::VARCHAR, ''), lambda x: ascii(x)::UBIGINT)),
+    lambda c, x: xor(c // 256, tab[1 + CAST(xor(c, x) % 256 AS INTEGER)])))::BIGINT AS h FROM w),
+g AS (SELECT *, h // 10 % greatest(n, 1) AS a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) AS p FROM h),
+d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
+    CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM g),
+grams AS (SELECT doc_id, i, hash(ws[i + 1:i + 6]) AS g FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM d)),
+pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
+islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
+spans AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q - min(i) AS len FROM islands GROUP BY doc_id, q, k),
+runs AS (SELECT doc_id, s, len, min(q) AS q FROM spans WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, s, len),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
+kept AS (SELECT doc_id, array_to_string(list(x ORDER BY i), ' ') AS t FROM (
+  SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+best AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+  first(struct_pack(s := s, len := len, q := q) ORDER BY len DESC, s, q) AS r FROM runs GROUP BY doc_id)
+SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(r.s AS BIGINT) AS start, CAST(r.len AS BIGINT) AS length,
+  CAST(r.q AS BIGINT) AS period, CAST(1000 * r.len // r.q AS BIGINT) AS exponent_milli,
+  sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(t, '')) AS collapsed_sha256
+FROM d LEFT JOIN best ON best.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id"""
+
 ORACLE_SQL = {
+    "op11_ranked_search": SEARCH,
+    "op13_periodic_runs": RUNS,
     "op8_html_extract": ARTICLES,
     "op3_quality_rules": RULES,
     "op4_ngram_join": JACCARD,
