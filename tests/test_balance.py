@@ -82,6 +82,9 @@ def test_keyword_cap_against_a_loop(spark):
                 expected.append(pos)
     rows = spark.createDataFrame(data, "pos BIGINT, job_url STRING, source_keyword STRING")
     assert _positions(balance.cap_keywords(rows, words, ["pos"], 9)) == sorted(expected)
+    assert _positions(balance.cap_keywords(rows, words, ["pos"], 9, together=2)) == sorted(expected)
+    assert _positions(balance.cap_keywords(rows, words, ["pos"], 9, together=1)) == sorted(expected)
+    assert balance.cap_keywords(rows, {}, ["pos"], 9).count() == 0
 
 
 def test_low_bands_replace_and_cap(spark):

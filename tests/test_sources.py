@@ -6,8 +6,11 @@ from wageband.plans.datasets import build_training_table, existing_columns
 from wageband.schemas import (
     PROXY_COLUMNS, PROXY_SCHEMA, RAW_COLUMNS, RAW_SCHEMA, TRAINING_COLUMNS, TRAINING_SCHEMA,
 )
-from wageband.sources import alumni, delimited, registry
-from wageband.sources.tables import PublishedTables, VersionedTable, write_batch
+from wageband.plans.quota_run import run_quota
+from wageband.sources import alumni, delimited, files, registry
+from wageband.sources.tables import (
+    Manifests, PublicationConflict, PublishedTables, VersionedTable, write_batch,
+)
 
 
 def test_layouts():
@@ -44,8 +47,7 @@ def test_separator_and_layouts(spark, tmp_path):
     (tmp_path / "a.csv").write_text("job_url;salary_avg\nu1;5\nu2;x\n")
     (tmp_path / "b.csv").write_text("extra;job_url\ne;u3\n")
     paths = [str(tmp_path / "b.csv"), str(tmp_path / "a.csv")]
-    assert delimited.sniff_separator(spark, paths[1]) == ";"
-    rows = delimited.read_layouts(spark, paths, TRAINING_SCHEMA, sep=None)
+    rows = delimited.read_delimited(spark, paths, TRAINING_SCHEMA, sep=None)
     assert rows.schema["salary_avg"].dataType.simpleString() == "bigint"
     assert {(r.job_url, r.salary_avg, r.extra, r.source_batch_file) for r in rows.collect()} == {
         ("u1", 5, None, "a.csv"), ("u2", None, None, "a.csv"), ("u3", None, "e", "b.csv")}
@@ -60,6 +62,34 @@ def test_one_bad_path_spoils_nothing(spark, tmp_path):
         ("u1", "t1", "01.csv"), ("u2", "t2", "02.csv")}
 
 
+def test_names_that_need_encoding_are_read(spark, tmp_path):
+    names = ["raw batch 1.csv", "raw_2.csv", "50%.csv", "a%20b+c.csv", "x[1].csv", "{y}.csv", "ü ñ.csv"]
+    for i, name in enumerate(names):
+        (tmp_path / name).write_text(f"job_url,job_title\nu{i},t\n")
+    rows = delimited.read_delimited(spark, str(tmp_path))
+    assert {(r.job_url, r.source_batch_file) for r in rows.collect()} == {(f"u{i}", n) for i, n in enumerate(names)}
+    one = delimited.read_delimited(spark, str(tmp_path / "raw batch*.csv"))
+    assert [r.source_batch_file for r in one.collect()] == ["raw batch 1.csv"]
+
+
+def test_headers_with_quoted_line_breaks(spark, tmp_path):
+    (tmp_path / "1.csv").write_text('"pay\nmonthly",job_url\n5,u1\n')
+    (tmp_path / "2.csv").write_text('"pay\nyearly",job_url\n60,u2\n')
+    (tmp_path / "3.csv").write_text('\n\n"pay\nyearly",job_url\n70,u3\n')
+    rows = delimited.read_delimited(spark, str(tmp_path / "*.csv"))
+    assert {(r["pay\nmonthly"], r["pay\nyearly"], r.job_url) for r in rows.collect()} == {
+        ("5", None, "u1"), (None, "60", "u2"), (None, "70", "u3")}
+
+
+def test_looking_at_headers_does_not_read_the_files(spark, tmp_path):
+    path = tmp_path / "long.csv"
+    path.write_text("job_url,job_title\n" + "u,some title of a posting\n" * 2_000_000)
+    read = spark._jvm.org.apache.hadoop.fs.FileSystem.getGlobalStorageStatistics().get("file")
+    before = read.getLong("bytesRead")
+    assert list(delimited._headers(spark, [f"file:{path}"])) == ["job_url,job_title"]
+    assert read.getLong("bytesRead") - before < path.stat().st_size / 10
+
+
 def test_order_follows_file_names(spark, tmp_path):
     from wageband.operators.dedup import keep_last
 
@@ -117,6 +147,81 @@ def test_publish_and_balance(spark, tmp_path):
     assert {r["count"] for r in tables.training.read(spark).groupBy("salary_range_label").count().collect()} == {2}
 
 
+def _raw_rows(spark, start, stop):
+    return spark.createDataFrame(
+        [(i, "k", "Admin", None, "Bandung", f"Rp {3 + i % 3}.000.000", "d", f"u{i}", "2024-01-01 00:00:00")
+         for i in range(start, stop)], "pos BIGINT, " + ", ".join(f"{c} STRING" for c in RAW_COLUMNS))
+
+
+def test_a_crash_while_publishing_changes_no_table(spark, tmp_path, monkeypatch):
+    tables = PublishedTables(str(tmp_path))
+    tables.publish(_raw_rows(spark, 0, 5))
+
+    def crash(proxy):
+        raise RuntimeError("crash")
+
+    with monkeypatch.context() as broken:
+        broken.setattr("wageband.sources.tables.build_training_table", crash)
+        with pytest.raises(RuntimeError, match="crash"):
+            tables.publish(_raw_rows(spark, 0, 9))
+    # Raw and proxy of the new state are on the disk, and no reader sees them.
+    assert [t.read(spark).count() for t in (tables.raw, tables.proxy, tables.training)] == [5, 5, 5]
+    assert tables.manifests.remove_unpublished(spark) == 1
+    assert tables.publish(_raw_rows(spark, 0, 9)).number == 2
+    assert tables.manifests.remove_unpublished(spark) == 0
+    assert [tables.state(spark, n).read(spark, "training").count() for n in (1, 2)] == [5, 9]
+
+
+def test_two_writers_cannot_publish_the_same_state(spark, tmp_path):
+    tables = PublishedTables(str(tmp_path))
+    tables.publish(_raw_rows(spark, 0, 5))
+    number = tables.state(spark).number
+    tables.publish(_raw_rows(spark, 0, 7), after=number)
+    with pytest.raises(PublicationConflict):
+        tables.publish(_raw_rows(spark, 0, 6), after=number)
+    assert tables.state(spark).number == 2 and tables.raw.read(spark).count() == 7
+
+
+def test_writers_at_once_get_numbers_of_their_own(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    manifests = Manifests(str(tmp_path / "m"))
+
+    def claim(writer):
+        try:
+            return manifests.publish(spark, 1, {"t": f"{manifests.root}/data-{writer}"}).folders["t"]
+        except PublicationConflict:
+            return None
+
+    files.write_once(spark, f"{manifests.root}/other", "")
+    with ThreadPoolExecutor(8) as pool:
+        won = [w for w in pool.map(claim, range(16)) if w]
+    assert len(won) == 1 and manifests.read(spark).folders["t"] == won[0]
+    table = VersionedTable(str(tmp_path / "t"))
+    with ThreadPoolExecutor(4) as pool:
+        assert sorted(pool.map(lambda i: table.write(spark.range(i)), range(4))) == [1, 2, 3, 4]
+
+
+def test_a_quota_run_starts_again_when_another_publishes(spark, tmp_path, monkeypatch):
+    tables, target = PublishedTables(str(tmp_path)), 4
+    tables.publish(_raw_rows(spark, 0, 6))
+    publish, calls = PublishedTables.publish, []
+
+    def overtaken(self, raw, *args, **kw):
+        calls.append(kw.get("after"))
+        if len(calls) == 1:
+            publish(self, _raw_rows(spark, 0, 9))  # another run takes three of the arrivals first
+        return publish(self, raw, *args, **kw)
+
+    monkeypatch.setattr(PublishedTables, "publish", overtaken)
+    assert run_quota(tables, _raw_rows(spark, 6, 60), target=target)
+    assert calls == [1, 2]
+    raw = tables.raw.read(spark)
+    assert raw.count() == raw.select("job_url").distinct().count()
+    sizes = tables.training.read(spark).groupBy("salary_range_label").count().collect()
+    assert max(r["count"] for r in sizes) <= 8 and tables.state(spark).number == 3
+
+
 def test_batches_fold_into_the_combined_table(spark, tmp_path):
     def batch(*urls):
         return spark.createDataFrame(

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from wageband.operators.dedup import URL, skip_known
 from wageband.operators.ranking import first_per_key, rank_within
 from wageband.schemas import BAND_LABELS, JOBS_PER_KEYWORD, TARGET_COLUMN, TARGET_PER_CLASS
-from wageband.session import shared_folder
+from wageband.session import stored_rows
 
 
 def cap_classes(df: DataFrame, order: Sequence[str], n: int = TARGET_PER_CLASS,
@@ -62,52 +62,59 @@ def quota_accept(arrivals: DataFrame, labelled: DataFrame, known: DataFrame, cou
     return pick_rows(arrivals, keys, order)
 
 
+# Keywords whose heads are settled in one task: n * 64 * 65 / 2 narrow rows at most, 208,000 for n = 100.
+KEYWORDS_TOGETHER = 64
+
+
+def _settled(n: int):
+    """Of the ranked heads of some keywords, the first n URLs per keyword that no earlier one has taken."""
+    def choose(table):
+        table = table.sort_by([("_keyword_no", "ascending"), ("_rank", "ascending")])
+        taken, counts, kept = set(), {}, []
+        for i, (number, url) in enumerate(zip(table.column("_keyword_no").to_pylist(),
+                                              table.column(URL).to_pylist())):
+            if url not in taken and counts.get(number, 0) < n:
+                taken.add(url)
+                counts[number] = counts.get(number, 0) + 1
+                kept.append(i)
+        return table.take(kept)
+
+    return choose
+
+
 def cap_keywords(arrivals: DataFrame, keywords: Mapping[str, int], order: Sequence[str],
                  n: int = JOBS_PER_KEYWORD, keyword: str = "source_keyword",
-                 known: DataFrame | None = None) -> DataFrame:
+                 known: DataFrame | None = None, together: int = KEYWORDS_TOGETHER) -> DataFrame:
     """Up to n new URLs per search keyword, keywords worked through in their given number.
 
     URLs in ``known`` are never new. A URL beyond one keyword's cap stays free for a later keyword.
-    Keyword number j meets at most n * (j - 1) URLs taken before it, so its own share lies within
-    its first n * j URLs: that bounded head decides the result exactly, whatever the size of the
-    table. All keywords choose at once, round by round, each leaving out what the earlier ones
-    chose the round before. The first r keywords are settled after r rounds, and when a round
-    changes nothing all are; that is the result of working through them one by one.
+    Among ``together`` keywords, number j meets at most n * (j - 1) URLs taken before it, so its own
+    share lies within its first n * j URLs: those bounded heads decide the result exactly, whatever
+    the size of the table, and are settled in one task. More keywords follow in further blocks, which
+    leave out what the blocks before have taken.
     """
-    spark = arrivals.sparkSession
+    if not keywords:
+        return arrivals.filter("false")
     ordinals = sorted(set(keywords.values()))
     number = F.create_map(*[F.lit(x) for pair in keywords.items() for x in pair])
-    numbered = (
-        arrivals.select(URL, *order, number[F.col(keyword)].alias("_keyword_no"))
-        .filter(F.col("_keyword_no").isNotNull() & (F.col(URL) != ""))
-    )
+    numbered = arrivals.select(URL, *order, number[F.col(keyword)].alias("_keyword_no")).filter(F.col(URL) != "")
     if known is not None:
         numbered = numbered.join(known.select(URL).filter(F.col(URL).isNotNull()).distinct(), URL, "left_anti")
-    own = first_per_key(numbered, ["_keyword_no", URL], [F.col(c) for c in order])
-    heads = rank_within(own, ["_keyword_no"], order, n * len(ordinals))
-    place = {no: i + 1 for i, no in enumerate(ordinals)}
-    place_of = F.create_map(*[F.lit(x) for pair in place.items() for x in pair])
-    heads = _written(spark, heads.filter(
-        F.col("_rank") <= place_of[F.col("_keyword_no")] * n).drop("_rank"))
-    chosen, mark = rank_within(heads, ["_keyword_no"], order, n).drop("_rank"), None
-    for _ in ordinals:
-        chosen = _written(spark, chosen)
-        state = chosen.agg(F.count(F.lit(1)), F.sum(F.xxhash64("_keyword_no", URL).cast("decimal(38,0)"))).first()
-        if tuple(state) == mark:
-            break
-        mark = tuple(state)
-        taken = chosen.groupBy(URL).agg(F.min("_keyword_no").alias("_owner"))
-        free = heads.join(taken, URL, "left").filter(
-            F.col("_owner").isNull() | (F.col("_owner") >= F.col("_keyword_no"))).drop("_owner")
-        chosen = rank_within(free, ["_keyword_no"], order, n).drop("_rank")
+    blocks = [ordinals[i:i + together] for i in range(0, len(ordinals), together)]
+    picks = None
+    for block in blocks:
+        own = first_per_key(numbered.filter(F.col("_keyword_no").between(block[0], block[-1])),
+                            ["_keyword_no", URL], [F.col(c) for c in order])
+        if picks is not None:
+            own = own.join(picks.select(URL), URL, "left_anti")
+        place_of = F.create_map(*[F.lit(x) for i, no in enumerate(block, 1) for x in (no, i)])
+        heads = rank_within(own, ["_keyword_no"], order, n * len(block)).filter(
+            F.col("_rank") <= place_of[F.col("_keyword_no")] * n).withColumn("_all", F.lit(0))
+        chosen = heads.groupBy("_all").applyInArrow(_settled(n), heads.schema).select(URL, *order)
+        if block is not blocks[-1]:
+            chosen = stored_rows(chosen, "keyword-cap")
+        picks = chosen if picks is None else picks.unionByName(chosen)
     # At most n rows per keyword, named by their key and place.
-    picks = chosen.select(F.col(URL).alias("_url"), *order)
+    picks = picks.withColumnRenamed(URL, "_url").withColumnsRenamed({c: f"_at_{c}" for c in order})
     return arrivals.join(F.broadcast(picks), [
-        arrivals[URL] == picks["_url"], *[arrivals[c] == picks[c] for c in order]], "left_semi")
-
-
-def _written(spark, df: DataFrame) -> DataFrame:
-    """Rows kept in the shared folder, so that a round starts from files and not from all rounds before."""
-    path = shared_folder(spark, "keyword-cap")
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+        arrivals[URL] == picks["_url"], *[arrivals[c] == picks[f"_at_{c}"] for c in order]], "left_semi")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wageband.functions.features import (
@@ -14,12 +14,13 @@ from wageband.functions.salary import relabel_from_salary_avg, with_salary
 from wageband.functions.text import normalize_text, null_to_empty
 from wageband.operators import merge
 from wageband.operators.balance import cap_some_classes
-from wageband.operators.dedup import keep_last
+from wageband.operators.dedup import URL, keep_last
 from wageband.operators.ranking import with_row_id
 from wageband.schemas import (
     LOW_BAND_LABELS, PROXY_COLUMNS, TARGET_COLUMN, TARGET_PER_CLASS, TRAINING_COLUMNS,
     UNKNOWN_LABEL, WAGE_BANDS, WageBand,
 )
+from wageband.session import stored_rows
 
 _PASSED_ON = ["source_keyword", "scraped_at", "job_title", "company", "location", "job_url",
               "salary_text"]
@@ -106,6 +107,35 @@ def build_training_table_with_order(raw: DataFrame) -> DataFrame:
     return existing_columns(enriched, [merge.POSITION, *TRAINING_COLUMNS])
 
 
+def augment_low_bands(raw: DataFrame, from_low: Column, order: Sequence[str] = (merge.POSITION,),
+                      n: int = TARGET_PER_CLASS, capped: Sequence[str] = LOW_BAND_LABELS) -> DataFrame:
+    """Base and low-wage raw postings in one table to the augmented training table, in one pass.
+
+    The same rows as merging the low batch, building both training tables and uniting them:
+    the newest low posting of a URL if it has pay of a low band, else the newest labelled base
+    posting, then only the low bands capped. Each text is parsed once, and per URL both candidates
+    come from one aggregation. ``order`` ranks rows within the base and within the low batch.
+    ``raw`` is read once: the rows left are stored before the capped and the other bands part.
+    """
+    enriched = proxy_columns(raw.withColumn("_low", F.coalesce(from_low, F.lit(False))))
+    labelled = (F.col("salary_available") == 1) & (F.col(TARGET_COLUMN) != UNKNOWN_LABEL)
+    rows = relabel_from_salary_avg(enriched.withColumn("_labelled", labelled)).filter(
+        (F.col(URL) != "") & (F.col("_low") | F.col("_labelled")))
+    kept = [*order, *[c for c in TRAINING_COLUMNS if c in rows.columns and c not in (*order, URL)], "_labelled"]
+    row, newest = F.struct(*kept), F.struct(*order)
+
+    def latest(which: Column) -> Column:
+        return F.max_by(F.when(which, row), F.when(which, newest))
+
+    found = rows.groupBy(URL).agg(latest(F.col("_low")).alias("_new"), latest(~F.col("_low")).alias("_old"))
+    usable = F.col("_new._labelled") & F.col(f"_new.{TARGET_COLUMN}").isin(list(capped))
+    won = found.withColumn(merge.PIECE, F.when(usable, 1).otherwise(0)).withColumn(
+        "_row", F.when(usable, F.col("_new")).otherwise(F.col("_old"))).filter("_row IS NOT NULL")
+    flat = won.select(merge.PIECE, URL, "_row.*").drop("_labelled")
+    columns = [merge.PIECE, *order, *[c for c in TRAINING_COLUMNS if c in flat.columns and c not in order]]
+    return cap_some_classes(stored_rows(flat.select(*columns), "low-bands"), [merge.PIECE, *order], capped, n)
+
+
 def add_low_bands(base: DataFrame, low: DataFrame, n: int = TARGET_PER_CLASS,
                   capped: Sequence[str] = LOW_BAND_LABELS, relabel: bool = True) -> DataFrame:
     """Base training rows plus low-wage rows: newest per URL, then only the low bands capped."""

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = "*", checkpoint_dir: str | None = None,
@@ -39,3 +39,10 @@ def shared_folder(spark: SparkSession, purpose: str) -> str:
         root = tempfile.mkdtemp(prefix="wageband-")
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
+
+
+def stored_rows(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once to the shared folder and read back: what follows starts from the files."""
+    path = shared_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

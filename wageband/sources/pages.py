@@ -13,7 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wageband.functions.text import clean_text, null_to_empty, pay_snippet
+from wageband.functions.once import with_columns_once
+from wageband.functions.text import clean_text, null_to_empty, pay_snippet, strip_blanks
 from wageband.operators.dedup import URL, first_seen
 from wageband.operators.ranking import first_per_key
 from wageband.schemas import RAW_COLUMNS
@@ -89,10 +90,10 @@ def _card_of(anchor: Element) -> Element | None:
     return card
 
 
-def _links(html: str, base: str, mark: str) -> list[tuple[str, str, Element]]:
+def _links(tree: Element, base: str, mark: str) -> list[tuple[str, str, Element]]:
     """Absolute address, title and element of every posting link, first per address."""
     links: dict[str, tuple[str, str, Element]] = {}
-    for node in parse(html).descendants():
+    for node in tree.descendants():
         href = node.attrs.get("href", "")
         if node.tag == "a" and href and mark in href and len(node.text()) >= SHORTEST_TITLE:
             try:
@@ -103,9 +104,9 @@ def _links(html: str, base: str, mark: str) -> list[tuple[str, str, Element]]:
     return list(links.values())
 
 
-def _card_rows(html: str, base: str, mark: str) -> Iterator[tuple]:
+def _card_rows(tree: Element, base: str, mark: str) -> Iterator[tuple]:
     picked: dict[int, tuple] = {}
-    for number, (url, title, anchor) in enumerate(_links(html, base, mark), 1):
+    for number, (url, title, anchor) in enumerate(_links(tree, base, mark), 1):
         card = _card_of(anchor)
         if id(card) not in picked:
             picked[id(card)] = (
@@ -115,6 +116,14 @@ def _card_rows(html: str, base: str, mark: str) -> Iterator[tuple]:
         yield (number, url, title, *picked[id(card)])
 
 
+def _page_rows(html: str, base: str, mark: str) -> Iterator[tuple]:
+    """All that one parse of a page gives: its detail sections and text, then its cards."""
+    tree = parse(html)
+    yield (None, None, None, None, None, None, None, _first_texts(tree, DETAIL_SELECTORS), tree.text())
+    for row in _card_rows(tree, base, mark):
+        yield (*row, None, None)
+
+
 def _per_page(pages: DataFrame, rows_of: Callable[[str, str], Iterator[tuple]],
               columns: dict[str, str], base_url: str | None, keep: Sequence[str]) -> DataFrame:
     """Apply a page function to every page; ``keep`` columns are repeated on its rows."""
@@ -143,7 +152,7 @@ def extract_links(pages: DataFrame, base_url: str | None = None, mark: str = LIN
                   keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Posting links of every page with title, first per address."""
     def rows_of(html: str, base: str) -> Iterator[tuple]:
-        for number, (url, title, _) in enumerate(_links(html, base, mark), 1):
+        for number, (url, title, _) in enumerate(_links(parse(html), base, mark), 1):
             yield number, url, title
 
     links = _per_page(pages, rows_of, {"link_no": "INT", URL: "STRING", "job_title": "STRING"},
@@ -154,18 +163,27 @@ def extract_links(pages: DataFrame, base_url: str | None = None, mark: str = LIN
 def extract_cards(pages: DataFrame, base_url: str | None = None, mark: str = LINK_MARK,
                   keep: Sequence[str] = ("page_id",)) -> DataFrame:
     """Posting cards: title, company, location, pay text and whole card text."""
-    cards = _per_page(
-        pages, lambda html, base: _card_rows(html, base, mark),
-        {"link_no": "INT", URL: "STRING", "job_title": "STRING", "card_text": "STRING",
-         "companies": "ARRAY<STRING>", "locations": "ARRAY<STRING>", "pays": "ARRAY<STRING>"},
-        base_url, keep)
-    named = cards.select(
-        *keep, "link_no", URL, clean_text(F.col("job_title")).alias("job_title"),
-        clean_text(F.col("card_text")).alias("card_text"),
-        first_filled(F.col("companies")).alias("company"),
-        first_filled(F.col("locations")).alias("location"),
-        first_filled(F.col("pays")).alias("salary_text"))
-    return with_pay_fallback(named)
+    cards = _per_page(pages, lambda html, base: _card_rows(parse(html), base, mark), CARD_PARTS, base_url, keep)
+    return with_pay_fallback(cards.select(*keep, "link_no", URL, *_card_columns()))
+
+
+# What Python gives for a card and for a page as a whole.
+CARD_PARTS = {"link_no": "INT", URL: "STRING", "job_title": "STRING", "card_text": "STRING",
+              "companies": "ARRAY<STRING>", "locations": "ARRAY<STRING>", "pays": "ARRAY<STRING>"}
+DETAIL_PARTS = {"sections": "ARRAY<STRING>", "page_text": "STRING"}
+
+
+def _card_columns() -> list[Column]:
+    return [clean_text(F.col("job_title")).alias("job_title"), clean_text(F.col("card_text")).alias("card_text"),
+            first_filled(F.col("companies")).alias("company"), first_filled(F.col("locations")).alias("location"),
+            first_filled(F.col("pays")).alias("salary_text")]
+
+
+def _detail_text(most_chars: int) -> Column:
+    """The first section that is long enough, else the whole page, cut to its first characters."""
+    sections = F.transform(F.col("sections"), clean_text)
+    long_enough = F.get(F.filter(sections, lambda t: F.length(t) > DETAIL_LONGER_THAN), F.lit(0))
+    return F.substring(F.coalesce(long_enough, clean_text(F.col("page_text"))), 1, most_chars)
 
 
 def with_pay_fallback(cards: DataFrame) -> DataFrame:
@@ -185,13 +203,31 @@ def extract_details(pages: DataFrame, keep: Sequence[str] = ("page_id", "url"),
         tree = parse(html)
         yield _first_texts(tree, DETAIL_SELECTORS), tree.text()
 
-    texts = _per_page(pages, rows_of, {"sections": "ARRAY<STRING>", "page_text": "STRING"},
-                      None, keep)
-    sections = F.transform(F.col("sections"), clean_text)
-    long_enough = F.get(F.filter(sections, lambda t: F.length(t) > DETAIL_LONGER_THAN), F.lit(0))
-    return texts.select(*keep, F.substring(
-        F.coalesce(long_enough, clean_text(F.col("page_text"))), 1, most_chars
-    ).alias("detail_text"))
+    texts = _per_page(pages, rows_of, DETAIL_PARTS, None, keep)
+    return texts.select(*keep, _detail_text(most_chars).alias("detail_text"))
+
+
+def postings_of_pages(pages: DataFrame, base_url: str | None = None, mark: str = LINK_MARK,
+                      most_chars: int = DETAIL_LENGTH) -> DataFrame:
+    """The result of ``page_postings`` for the cards and the details of the same pages, from one parse.
+
+    A page's cards and its detail text come out of one tree. Cards go by the address they lead to,
+    details by the page's own, and one aggregation finds the first of both per address.
+    """
+    parts = _per_page(pages, lambda html, base: _page_rows(html, base, mark), CARD_PARTS | DETAIL_PARTS,
+                      base_url, ("page_id", "url"))
+    is_card = F.col("link_no").isNotNull()
+    # A generator keeps the cleaning in one place, whatever is asked of its columns.
+    cleaned = with_columns_once(parts, {
+        "address": F.when(is_card, strip_blanks(F.col(URL))).otherwise(F.col("url")),
+        "card": F.when(is_card, F.struct("page_id", "link_no", *_card_columns())),
+        "detail": F.when(~is_card, _detail_text(most_chars))}).filter("address <> ''")
+    found = cleaned.groupBy(F.col("address").alias(URL)).agg(
+        F.min_by("card", F.when(F.col("card").isNotNull(), F.struct("page_id", "link_no"))).alias("card"),
+        F.min_by("detail", F.when(F.col("card").isNull(), F.col("page_id"))).alias("detail_text"))
+    listed = with_pay_fallback(found.filter("card IS NOT NULL").select(URL, "card.*", "detail_text"))
+    return listed.select("page_id", "link_no", URL, "job_title", "card_text", "company", "location", "salary_text",
+                         "detail_text", clean_text(F.concat_ws(" ", "card_text", "detail_text")).alias("job_description"))
 
 
 def page_postings(listing: DataFrame, details: DataFrame, order: Sequence[str]) -> DataFrame:

@@ -11,13 +11,16 @@ from pyspark.sql import types as T
 from pyspark.sql.streaming.query import StreamingQuery
 
 from wageband.operators.balance import pick_rows, quota_keys
-from wageband.operators.dedup import URL, skip_known
+from wageband.operators.dedup import URL
 from wageband.operators.merge import POSITION
 from wageband.operators.report import targets_done
 from wageband.plans.datasets import with_pay
 from wageband.schemas import TARGET_COLUMN, TARGET_PER_CLASS
+from wageband.sources import files
+from wageband.streaming.seen import SEED, SeenUrls, take_new
 
-_SEED = -1
+# How often a running stream is asked whether it has filled the quotas.
+_POLL_SECONDS = 0.2
 
 
 def read_arrivals(spark: SparkSession, path: str, schema: T.StructType,
@@ -29,10 +32,11 @@ def read_arrivals(spark: SparkSession, path: str, schema: T.StructType,
 
 @dataclass(frozen=True)
 class Ledger:
-    """Seen URLs and accepted rows below one shared folder, one subfolder per micro-batch.
+    """Seen URLs, accepted rows and rows per class below one shared folder.
 
     A micro-batch that is run again replaces its own folders and looks only at earlier ones, so
-    a restart gives the same result.
+    a restart gives the same result. A micro-batch reads the URL buckets that its arrivals may be
+    in and the counts that the one before it left, whatever the length of the history.
     """
 
     root: str
@@ -41,47 +45,53 @@ class Ledger:
     def _folder(self, kind: str, batch_id: int) -> str:
         return f"{self.root}/{kind}/batch_id={batch_id}"
 
+    @property
+    def seen(self) -> SeenUrls:
+        return SeenUrls(f"{self.root}/seen")
+
     def seed(self, known: DataFrame, counts: DataFrame) -> None:
         """Start from the URLs and class counts of the tables that exist already."""
-        known.select(URL).filter(F.col(URL).isNotNull()).write.mode("overwrite").parquet(
-            self._folder("seen", _SEED))
-        counts.select(TARGET_COLUMN, "n").write.mode("overwrite").parquet(f"{self.root}/start")
-
-    def seen(self, spark: SparkSession, before: int) -> DataFrame:
-        return spark.read.schema(f"{URL} STRING, batch_id BIGINT").parquet(
-            f"{self.root}/seen").filter(F.col("batch_id") < before)
+        self.seen.add(known.select(URL).filter(F.col(URL).isNotNull()).distinct(), SEED)
+        counts.select(TARGET_COLUMN, "n").write.mode("overwrite").parquet(self._folder("counts", SEED))
 
     def accepted(self, spark: SparkSession, schema: T.StructType) -> DataFrame:
         """Accepted rows of raw ``schema`` with their label."""
         with_batch = T.StructType(schema.fields + [
             T.StructField(TARGET_COLUMN, T.StringType()), T.StructField("batch_id", T.LongType())])
+        if not files.exists(spark, f"{self.root}/accepted"):
+            return spark.createDataFrame([], with_batch)
         return spark.read.schema(with_batch).parquet(f"{self.root}/accepted")
 
     def counts(self, spark: SparkSession, before: int) -> DataFrame:
-        """Rows per target class before a micro-batch. Accepted rows are bounded by the quotas."""
-        start = spark.read.parquet(f"{self.root}/start")
-        if before <= 0:
-            return start
-        taken = spark.read.schema(f"{TARGET_COLUMN} STRING, batch_id BIGINT").parquet(
-            f"{self.root}/accepted").filter(F.col("batch_id") < before)
-        return start.unionByName(
-            taken.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))
-        ).groupBy(TARGET_COLUMN).agg(F.sum("n").alias("n"))
+        """Rows per target class as the last micro-batch before ``before`` left them."""
+        written = [int(n.split("=")[1]) for n in files.names(spark, f"{self.root}/counts") if "=" in n]
+        latest = max(b for b in written if b < before and files.committed(spark, self._folder("counts", b)))
+        return spark.read.schema(f"{TARGET_COLUMN} STRING, n BIGINT").parquet(self._folder("counts", latest))
+
+    def full(self, spark: SparkSession, target: int, before: int = 1 << 62) -> bool:
+        """Whether every class has ``target`` rows."""
+        return bool(targets_done(self.counts(spark, before), target).first()["done"])
 
     def take(self, arrivals: DataFrame, batch_id: int, target: int) -> None:
         """One micro-batch of raw postings: note every new URL, accept what fits the quotas.
 
         Only URL, label and order are shuffled. The accepted keys, at most ``target`` per class,
-        pick the full rows from the arrivals in a broadcast join.
+        pick the full rows from the arrivals in a broadcast join. Once all classes are full, a
+        micro-batch reads nothing and leaves nothing.
         """
         spark = arrivals.sparkSession
+        if self.full(spark, target, batch_id):
+            return
+        before = self.counts(spark, batch_id)
         narrow = with_pay(arrivals).select(URL, TARGET_COLUMN, *self.order)
-        skip_known(narrow, self.seen(spark, batch_id), self.order).write.mode(
-            "overwrite").parquet(self._folder("seen", batch_id))
-        fresh = spark.read.parquet(self._folder("seen", batch_id))
-        keys = quota_keys(fresh, self.counts(spark, batch_id), self.order, target)
+        fresh = take_new(narrow, self.seen, self.order, batch_id, self.root)
+        keys = quota_keys(fresh, before, self.order, target)
         pick_rows(arrivals, keys, self.order).write.mode("overwrite").parquet(
             self._folder("accepted", batch_id))
+        taken = spark.read.schema(f"{TARGET_COLUMN} STRING").parquet(self._folder("accepted", batch_id))
+        before.unionByName(taken.groupBy(TARGET_COLUMN).agg(F.count(F.lit(1)).alias("n"))).groupBy(
+            TARGET_COLUMN).agg(F.sum("n").alias("n")).write.mode("overwrite").parquet(
+            self._folder("counts", batch_id))
 
 
 def ingest_with_quota(arrivals: DataFrame, ledger: Ledger,
@@ -96,7 +106,44 @@ def ingest_with_quota(arrivals: DataFrame, ledger: Ledger,
 
 def quotas_full(ledger: Ledger, spark: SparkSession, target: int = TARGET_PER_CLASS) -> bool:
     """Whether further runs can accept anything."""
-    return bool(targets_done(ledger.counts(spark, 1 << 62), target).first()["done"])
+    return ledger.full(spark, target)
+
+
+def fill_quotas(arrivals: DataFrame, ledger: Ledger, target: int = TARGET_PER_CLASS,
+                available_now: bool = True) -> bool:
+    """Take raw arrivals until every class is full; true if it is.
+
+    The stream is stopped once the micro-batch that fills the last class has been committed, also
+    if more arrivals wait, or keep coming without ``available_now``. A call with full quotas starts
+    no stream.
+    """
+    spark = arrivals.sparkSession
+    if ledger.full(spark, target):
+        return True
+    filled: list[int] = []
+
+    def step(rows: DataFrame, batch_id: int) -> None:
+        if not filled:
+            ledger.take(rows, batch_id, target)
+            if ledger.full(spark, target):
+                filled.append(batch_id)
+
+    trigger = {"availableNow": True} if available_now else {"processingTime": "0 seconds"}
+    query = (arrivals.writeStream.foreachBatch(step)
+             .option("checkpointLocation", f"{ledger.root}/progress").trigger(**trigger).start())
+    while not query.awaitTermination(_POLL_SECONDS):
+        if filled and (query.lastProgress or {}).get("batchId", -1) >= filled[0]:
+            query.stop()
+    return bool(filled)
+
+
+def ingest_new(arrivals: DataFrame, seen: SeenUrls, root: str, order: Sequence[str] = (POSITION,)) -> StreamingQuery:
+    """Write the first row of every URL that is new, as arrivals come in, to ``root/fresh``."""
+    return (
+        arrivals.writeStream.foreachBatch(lambda df, n: take_new(df, seen, order, n, root) and None)
+        .option("checkpointLocation", f"{root}/progress")
+        .trigger(availableNow=True).start()
+    )
 
 
 def new_urls(arrivals: DataFrame) -> DataFrame:

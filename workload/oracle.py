@@ -8,7 +8,7 @@ from wageband.schemas import (
 )
 from wageband.sources.registry import KEYWORD_BATCHES
 from workload.adapters import FILLER, KEYWORDS, PHONE, PLACES, SENTENCES, TITLES
-from workload.queries import QUOTA, SITE
+from workload.queries import QUOTA, SITE, SMALL_QUOTA
 
 WS = (r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
       r"\x{3000}]+")
@@ -322,6 +322,8 @@ SELECT max(pos) AS pos, source_keyword, job_title, location FROM postings GROUP
         "merge_latest_wins": with_(POSTINGS, kept(
             "(SELECT *, piece AS piece_no FROM postings)", "job_url", "piece DESC, pos DESC",
             where="job_url IS NOT NULL")),
+        "merge_incremental": with_(POSTINGS, kept(
+            "postings", "job_url", "piece DESC, pos DESC", where="job_url IS NOT NULL")),
         "merge_first_wins": with_(POSTINGS, kept(
             f"(SELECT *, {FILES} AS source_batch_file FROM postings)", "job_url", "piece, pos")),
         "merge_existing_wins": with_(POSTINGS, kept(
@@ -370,6 +372,10 @@ QUALIFY salary_range_label NOT IN {inlist(LOW_BAND_LABELS)}
             "pay", "SELECT salary_range_label, 0 AS n FROM pay GROUP BY 1",
             "SELECT job_url FROM postings WHERE false", QUOTA, LOW_BAND_LABELS),
             "SELECT pos, job_url, salary_range_label FROM ranked WHERE rn <= room"),
+        "stream_quota_full": with_(PAY + "," + known_accept(
+            "pay", "SELECT salary_range_label, 0 AS n FROM pay GROUP BY 1",
+            "SELECT job_url FROM postings WHERE false", SMALL_QUOTA, BAND_LABELS),
+            f"SELECT {accepted_columns} FROM ranked WHERE rn <= room"),
         "quota_run": with_(PAY + "," + known_accept(
             "(SELECT * FROM pay WHERE piece > 0)",
             "SELECT salary_range_label, count(*) AS n FROM pay WHERE piece = 0 GROUP BY 1",
@@ -430,7 +436,7 @@ SELECT pos AS page_id, {collapse(f"concat_ws(' ', job_description, {q(FILLER)})"
 found AS ({kept('details', 'url', 'page_id')})
 SELECT one.*, detail_text, {collapse("concat_ws(' ', card_text, detail_text)")} AS job_description
 FROM one LEFT JOIN found ON url = job_url"""),
-        "delimited_layouts": with_(POSTINGS, "SELECT pos, piece, " + ", ".join(
+        "delimited_layouts": with_(POSTINGS, "SELECT pos, piece, 'raw batch ' || piece || ' 50%' AS source, " + ", ".join(
             cell.format(c=c) for c in RAW.split(", ")) + " FROM postings"),
         "row_id_null_groups": with_(POSTINGS, """
 SELECT *, row_number() OVER (ORDER BY grp NULLS FIRST, pos NULLS FIRST) AS source_id FROM (
@@ -484,4 +490,10 @@ UNION ALL SELECT 'weighted avg', sum(pr * support) / sum(support), sum(re * supp
         "prediction_accuracy": with_(
             GUESSES, "SELECT avg(CAST(actual = predicted AS DOUBLE)) AS accuracy FROM guesses"),
     }
+    # Streams that must give what the batch operator gives.
+    sql["stream_seen_ledger"] = sql["seen_url_anti_join"]
+    sql["stream_quota_batches"] = sql["quota_accept"]
+    # The same table by its single steps.
+    sql["low_band_tables"] = sql["low_band_augment"]
+    sql["page_postings_joined"] = sql["page_postings"]
     return {name: text.strip() for name, text in sql.items()}

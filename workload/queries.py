@@ -17,9 +17,11 @@ from wageband.schemas import (
     WAGE_BANDS,
 )
 from wageband.session import shared_folder
-from wageband.sources import alumni, delimited, pages, registry
+from wageband.sources import alumni, delimited, files, pages, registry
+from wageband.sources.buckets import BucketedTable
 from wageband.sources.tables import PublishedTables
 from wageband.streaming import ingest
+from wageband.streaming.seen import SEED, SeenUrls
 from workload.adapters import KEYWORDS, NO_COMPANY, listing_pages, posting_columns, postings, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +29,8 @@ QUERIES: dict[str, Query] = {}
 
 # Row target of the quota queries: at the size that is compared, it fills some classes and not all.
 QUOTA = TARGET_PER_CLASS
+# One that the first part of a stream fills for all classes.
+SMALL_QUOTA = 20
 SITE = "https://jobs.example.org"
 
 
@@ -243,6 +247,15 @@ def merge_latest_wins(spark, sf):
     return merge.merge_latest_wins(combined, batches)
 
 
+@query
+def merge_incremental(spark, sf):
+    """The same batches merged one after another into a table of URL buckets."""
+    merged = BucketedTable(shared_folder(spark, "buckets"))
+    for piece in _pieces(spark, sf):
+        merged.merge(piece)
+    return merged.read(spark)
+
+
 @query
 def merge_first_wins(spark, sf):
     return merge.merge_first_wins(_with_file(postings(spark, sf)))
@@ -268,7 +281,16 @@ def merge_stats(spark, sf):
 
 @query
 def low_band_augment(spark, sf):
-    """A quarter of the postings as the low-wage batch, the others as the base table."""
+    """A quarter of the postings as the low-wage batch, a quarter as its checkpoint, the others as the base."""
+    raw = postings(spark, sf).withColumn("part", F.when(F.col("piece") < 2, F.col("piece")).otherwise(0))
+    return datasets.augment_low_bands(raw, F.col("piece") < 2, ["part", merge.POSITION], n=QUOTA).select(
+        merge.PIECE, "pos", "job_url", "salary_avg", "salary_range_id", TARGET_COLUMN,
+        "job_family", "region_group", "f_min_gpa")
+
+
+@query
+def low_band_tables(spark, sf):
+    """The same from the single steps: the low batch merged, both training tables, their union."""
     old, checkpoint, *base = _pieces(spark, sf)
     low = datasets.low_training_table(merge.merge_low_batch(
         old.drop("piece"), checkpoint.drop("piece")).drop(merge.PIECE))
@@ -448,6 +470,12 @@ def page_text(spark, sf):
 
 @query
 def page_postings(spark, sf):
+    return pages.postings_of_pages(_pages(spark, sf), mark="/")
+
+
+@query
+def page_postings_joined(spark, sf):
+    """The same with details that come from another table than the cards."""
     rows = _pages(spark, sf)
     cards = pages.extract_cards(rows, mark="/", keep=("page_id",))
     return pages.page_postings(cards, pages.extract_details(rows), ["page_id", "link_no"])
@@ -466,15 +494,21 @@ def delimited_round_trip(spark, sf):
 
 @query
 def delimited_layouts(spark, sf):
-    """Parts exported with their own column order and separator, read back with a path that is not there."""
+    """Parts exported with their own column order and separator, in files whose names need encoding, read
+    back with a path that is not there. ``source`` is the part that the file's name gives."""
     folder = shared_folder(spark, "layouts")
     rows = postings(spark, sf)
     for part, sep in enumerate(delimited.SEPARATORS):
         columns = rows.columns[part:] + rows.columns[:part]
         delimited.write_delimited(rows.filter(F.col("piece") == part).select(*columns),
                                   f"{folder}/part={part}", sep=sep)
+        for i, name in enumerate(files.names(spark, f"{folder}/part={part}")):
+            if name.endswith(".csv"):
+                files.rename(spark, f"{folder}/part={part}/{name}", f"raw batch {part} 50%-{i}.csv")
     paths = [f"{folder}/part={part}" for part in (2, 0, 3, 1)] + [f"{folder}/absent.csv"]
-    return delimited.read_delimited(spark, paths, rows.schema, sep=None).drop(delimited.PROVENANCE)
+    back = delimited.read_delimited(spark, paths, rows.schema, sep=None)
+    return back.withColumn("source", F.regexp_extract(delimited.PROVENANCE, "^(raw batch [0-9] 50%)-[0-9]+[.]csv$", 1)).drop(
+        delimited.PROVENANCE)
 
 
 # --- streaming ------------------------------------------------------------------------------
@@ -498,6 +532,55 @@ def stream_dedup_quota(spark, sf):
         "pos", "source_keyword", "job_title", "job_url", TARGET_COLUMN)
 
 
+def _in_parts(arrivals: DataFrame, parts: int) -> list[DataFrame]:
+    """The arrivals cut at places of their order, as they would come in one after another."""
+    first, last = arrivals.agg(F.min("pos"), F.max("pos")).first()
+    if first is None:
+        return [arrivals]
+    part = F.least(F.floor((F.col("pos") - first) * parts / (last - first + 1)), F.lit(parts - 1))
+    return [arrivals.filter(part == i) for i in range(parts)]
+
+
+@query
+def stream_seen_ledger(spark, sf):
+    """Three micro-batches, the stream started anew for each, against known URLs."""
+    root = shared_folder(spark, "seen")
+    seen = SeenUrls(f"{root}/urls", fan_in=2)
+    seen.add(_known(spark, sf).filter("job_url IS NOT NULL").distinct(), SEED)
+    arrivals = postings(spark, sf).filter("piece >= 2")
+    for part, rows in enumerate(_in_parts(arrivals, 3)):
+        rows.write.parquet(f"{root}/in/{part}")
+        stream = ingest.read_arrivals(spark, f"{root}/in/*", arrivals.schema, 10_000)
+        ingest.ingest_new(stream, seen, root).awaitTermination()
+    return spark.read.schema(arrivals.schema).parquet(f"{root}/fresh")
+
+
+def _quota_stream(spark, known: DataFrame, arrivals: DataFrame, target: int) -> DataFrame:
+    """Quotas partly filled by known postings; the others come in three parts, with a restart for each."""
+    ledger = ingest.Ledger(shared_folder(spark, "quotas"))
+    ledger.seed(known, report.class_counts(datasets.with_pay(known), cap=target))
+    for part, rows in enumerate(_in_parts(arrivals, 3)):
+        rows.write.parquet(f"{ledger.root}/in/{part}")
+        stream = ingest.read_arrivals(spark, f"{ledger.root}/in/*", arrivals.schema, 10_000)
+        ingest.fill_quotas(stream, ledger, target)
+    return ledger.accepted(spark, arrivals.schema).select(
+        "pos", "source_keyword", "job_title", "job_url", TARGET_COLUMN)
+
+
+@query
+def stream_quota_batches(spark, sf):
+    """The first quarter is known and counted; the others arrive."""
+    raw = postings(spark, sf, with_company=False)
+    return _quota_stream(spark, raw.filter("piece = 0"), raw.filter("piece > 0"), QUOTA)
+
+
+@query
+def stream_quota_full(spark, sf):
+    """Quotas that the stream fills: it stops there, and later starts take nothing."""
+    raw = postings(spark, sf, with_company=False)
+    return _quota_stream(spark, raw.filter("false"), raw, SMALL_QUOTA)
+
+
 @query
 def stream_new_urls(spark, sf):
     root = shared_folder(spark, "urls")
