@@ -5,7 +5,7 @@ import time
 from wageband.operators import balance, report
 from wageband.operators.dedup import URL, skip_known
 from wageband.plans.datasets import with_pay
-from wageband.schemas import BAND_LABELS, LOW_BAND_LABELS, TARGET_COLUMN
+from wageband.schemas import BAND_LABELS, TARGET_COLUMN
 from wageband.sources import files
 from wageband.streaming import ingest
 from wageband.streaming.seen import BUCKET, SEED, SeenUrls
@@ -108,7 +108,8 @@ def test_seen_urls_against_a_set(spark, tmp_path):
         assert seen.compact(spark, batch + 1) <= 5
     # 11 runs became 9 + 1 + 1, and every URL is in one run only.
     assert seen.runs(spark, 99) == [(0, 8), (9, 9), (10, 10)]
-    stored = spark.read.parquet(*[f"{seen._run(*r)}/urls" for r in seen.runs(spark, 99)])
+    stored = spark.read.option("recursiveFileLookup", "true").parquet(
+        *[f"{seen._run(*r)}/urls" for r in seen.runs(spark, 99)])
     assert _found(stored) == sorted(f"u{i}" for i in known)
 
 
@@ -144,7 +145,7 @@ def test_stream_stops_in_the_micro_batch_that_fills_the_quotas(spark, tmp_path):
     ledger = ingest.Ledger(str(tmp_path / "ledger"))
     rows = _raw(spark, 0, 1)
     nothing = rows.filter("false")
-    ledger.seed(nothing, report.class_counts(with_pay(nothing), LOW_BAND_LABELS + [BAND_LABELS[2]]))
+    ledger.seed(nothing, report.class_counts(with_pay(nothing), BAND_LABELS[1:4]))
     for part in range(4):
         _arrive(_raw(spark, part * 60, part * 60 + 60), source, str(part))
 
@@ -155,7 +156,7 @@ def test_stream_stops_in_the_micro_batch_that_fills_the_quotas(spark, tmp_path):
     # Without availableNow the stream would never end by itself.
     assert run(available_now=False)
     everything = _raw(spark, 0, 240)
-    counts = report.class_counts(with_pay(nothing), LOW_BAND_LABELS + [BAND_LABELS[2]])
+    counts = report.class_counts(with_pay(nothing), BAND_LABELS[1:4])
     expected = balance.quota_accept(everything, with_pay(everything), nothing, counts, ["pos"], target)
     accepted = ledger.accepted(spark, rows.schema)
     assert sorted(r.pos for r in accepted.collect()) == sorted(r.pos for r in expected.collect())

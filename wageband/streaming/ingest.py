@@ -75,17 +75,17 @@ class Ledger:
     def take(self, arrivals: DataFrame, batch_id: int, target: int) -> None:
         """One micro-batch of raw postings: note every new URL, accept what fits the quotas.
 
-        Only URL, label and order are shuffled. The accepted keys, at most ``target`` per class,
-        pick the full rows from the arrivals in a broadcast join. Once all classes are full, a
-        micro-batch reads nothing and leaves nothing.
+        URL and order alone tell which rows are new; only these are parsed for their label. The
+        accepted keys, at most ``target`` per class, pick the full rows from the arrivals in a
+        broadcast join. Once all classes are full, a micro-batch reads nothing and leaves nothing.
         """
         spark = arrivals.sparkSession
         if self.full(spark, target, batch_id):
             return
         before = self.counts(spark, batch_id)
-        narrow = with_pay(arrivals).select(URL, TARGET_COLUMN, *self.order)
-        fresh = take_new(narrow, self.seen, self.order, batch_id, self.root)
-        keys = quota_keys(fresh, before, self.order, target)
+        fresh = take_new(arrivals.select(URL, *self.order), self.seen, self.order, batch_id, self.root)
+        labelled = with_pay(arrivals.drop(URL).join(fresh, list(self.order)))
+        keys = quota_keys(labelled, before, self.order, target)
         pick_rows(arrivals, keys, self.order).write.mode("overwrite").parquet(
             self._folder("accepted", batch_id))
         taken = spark.read.schema(f"{TARGET_COLUMN} STRING").parquet(self._folder("accepted", batch_id))

@@ -68,12 +68,13 @@ class SeenUrls:
     another they become one: a URL is rewritten once per factor of ``fan_in`` micro-batches, and
     the number of runs stays small.
 
-    A run counts once its filters are written. A micro-batch that is run again replaces its run and
+    ``buckets`` should grow with the history, to some million URLs a bucket. A run counts once its
+    filters are written. A micro-batch that is run again replaces its run and
     looks only at earlier ones. There is one writer at a time, as a stream has.
     """
 
     root: str
-    buckets: int = 64
+    buckets: int = 16
     fan_in: int = 8
 
     @property
@@ -113,7 +114,7 @@ class SeenUrls:
         hashes = spark.read.schema(f"{URL} STRING, {BUCKET} INT").parquet(f"{run}/urls").select(
             BUCKET, F.xxhash64(URL, F.lit(1)).alias("hash"))
         hashes.groupBy(BUCKET).applyInArrow(_filter_of, f"{BUCKET} INT, bits BINARY").write.mode(
-            "overwrite").partitionBy(BUCKET).parquet(f"{run}/filters")
+            "overwrite").parquet(f"{run}/filters")
 
     def _folders_hit(self, urls: DataFrame, runs: Sequence[tuple[int, int]]) -> list[str]:
         """Bucket folders of the runs that may hold one of the URLs."""
@@ -121,7 +122,7 @@ class SeenUrls:
         arrived = urls.select(self.bucket_of(F.col(URL)).alias(BUCKET), F.xxhash64(URL, F.lit(1)).alias("hash"))
         touched = [r[0] for r in arrived.select(BUCKET).distinct().collect()]
         filters = reduce(DataFrame.unionByName, [
-            spark.read.schema(f"bits BINARY, {BUCKET} INT").parquet(f"{self._run(*r)}/filters").select(
+            spark.read.schema(f"{BUCKET} INT, bits BINARY").parquet(f"{self._run(*r)}/filters").select(
                 F.lit(self._run(*r)).alias("run"), "bits", BUCKET) for r in runs])
         hits = arrived.groupBy(BUCKET).cogroup(
             filters.where(F.col(BUCKET).isin(touched)).groupBy(BUCKET)).applyInArrow(
@@ -146,7 +147,8 @@ class SeenUrls:
         runs = self.runs(spark, before)
         while len(runs) >= self.fan_in and len({b - a for a, b in runs[-self.fan_in:]}) == 1:
             merged = runs[-self.fan_in:]
-            urls = spark.read.schema(f"{URL} STRING").parquet(*[f"{self._run(*r)}/urls" for r in merged])
+            urls = spark.read.schema(f"{URL} STRING").option("recursiveFileLookup", "true").parquet(
+                *[f"{self._run(*r)}/urls" for r in merged])
             self._write(urls, merged[0][0], merged[-1][1])
             for run in merged:
                 files.remove(spark, self._run(*run))

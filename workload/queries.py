@@ -517,7 +517,9 @@ def _posting_stream(spark, sf):
     """The orders as a file stream; the folder or file of that name is the source."""
     schema = table(spark, sf, "orders").schema
     source = ingest.read_arrivals(spark, f"{sf}/orders.parque[t]", schema)
-    return posting_columns(source, NO_COMPANY).drop("company")
+    # Dealt like the table of postings, so that a file of one block keeps all cores at work.
+    dealt = source.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "o_custkey")
+    return posting_columns(dealt, NO_COMPANY).drop("company")
 
 
 @query
@@ -552,7 +554,7 @@ def stream_seen_ledger(spark, sf):
         rows.write.parquet(f"{root}/in/{part}")
         stream = ingest.read_arrivals(spark, f"{root}/in/*", arrivals.schema, 10_000)
         ingest.ingest_new(stream, seen, root).awaitTermination()
-    return spark.read.schema(arrivals.schema).parquet(f"{root}/fresh")
+    return spark.read.schema(arrivals.schema).parquet(f"{root}/fresh").drop("batch_id")
 
 
 def _quota_stream(spark, known: DataFrame, arrivals: DataFrame, target: int) -> DataFrame:
