@@ -233,6 +233,32 @@ def test_vectors_against_brute_force(spark):
     assert embeddings.embedding_groups(frame.limit(0)).count() == 0
 
 
+def test_vectors_of_extreme_length_and_shared_keys(spark):
+    rows = [(1, [1e-200, 0.0], 1), (2, [1e200, 0.0], 1), (3, [3.0, 0.0], 1), (4, [0.0, 5e-324], 1),
+            (5, [0.0, 1.0], 1), (6, [0.0, 0.0], 1),
+            # One key with two vectors: each has its own links, the key one component.
+            (20, [1.0, 0.0, 0.0], 2), (20, [0.0, 1.0, 0.0], 2), (21, [1.0, 0.1, 0.0], 2), (22, [1.0, 0.0, 0.1], 2),
+            (23, [0.0, 1.0, 0.1], 2)]
+    frame = spark.createDataFrame(rows, "vec_id BIGINT, embedding ARRAY<DOUBLE>, label INT")
+    found = Counter(tuple(r)[:3] for r in embeddings.embedding_groups(frame).collect())
+    assert found == Counter([(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6),
+                             (20, 2, 20), (20, 1, 20), (21, 2, 20), (22, 2, 20), (23, 1, 20)])
+
+
+def test_dense_groups_need_no_wide_beam():
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=32)
+    points = np.concatenate([base + 0.05 * rng.normal(size=(500, 32)), rng.normal(size=(500, 32))])
+    unit = _unit_rows(points)
+    pair = embeddings.PairLinks(embeddings.SmallWorld(unit), unit, unit, True)
+    copies = np.arange(1, 1001)
+    links, docs, label = pair.summed(copies, copies)
+    truth = unit @ unit.T >= 0.93
+    np.fill_diagonal(truth, False)
+    assert (links[0] == truth.sum(1)).all() and (docs[0] == truth @ copies).all()
+    assert pair.beam < 500 and (label[:500] == 0).all()
+
+
 def test_graph_recall():
     rng = np.random.default_rng(5)
     points = rng.normal(size=(1500, 24))

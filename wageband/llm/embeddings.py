@@ -6,7 +6,7 @@ above; on each level it is tied to near vectors that are not nearer to each othe
 Every vector then searches every shard of its label with a beam, so vectors of two shards search for
 each other both ways. Searches are audited against brute force on some of the queries, by their true
 nearest vectors, which every query has, and by their links; the beam is widened until both audits
-pass, or the shard is compared as a whole. Found links
+pass, or the shard is compared as a whole. A vector as near as a true nearest one counts as it. Found links
 are verified by cosine in double precision; inside a group that the found links tie together, all
 pairs of the two shards are verified, so a dense group keeps all its links. Links are summed per
 vector, and the components of the link graph are built without gathering any of them.
@@ -23,15 +23,21 @@ from wageband.llm.common import stored
 from wageband.llm.components import components
 
 COSINE = 0.93
-SHARD_ROWS = 4096
+SHARD_ROWS = 16_384
+# Tasks that shards, or pairs of them, are dealt over at most.
+MOST_TASKS = 20_000
+# Pairs of rows compared at once inside a task.
+BLOCK_CELLS = 4_000_000
 NEIGHBOURS = 16
 BUILD_BEAM = 48
 SEARCH_BEAM = 64
-WIDER = 3  # unexpanded beam entries that are expanded at once
+ENTRIES = 16  # places from which the level below is searched: some lie outside any one dense group
+WIDER = 16  # one in so many beam entries is expanded at once, 3 at least
 BATCH = 256
 AUDITED = 96
 AUDIT_RECALL = 1.0  # of the audited queries' links
 AUDIT_NEAREST = 4
+AS_NEAR = 1e-6  # similarities that differ by less are equal
 NEAREST_RECALL = 0.99  # of the audited queries' true nearest vectors
 
 
@@ -76,13 +82,13 @@ class SmallWorld:
             self.entry = int(fresh[0])
             return
         top = int(self.level[self.entry])
-        at = np.full(len(fresh), self.entry)
+        at = np.full((len(fresh), 1), self.entry)
         inside = self.unit[fresh] @ self.unit[fresh].T
         np.fill_diagonal(inside, -2.0)
         for lv in range(top, -1, -1):
             joins = self.level[fresh] >= lv
-            ids, sims = self._search(self.unit[fresh], at[:, None], lv, BUILD_BEAM if joins.any() else 1)
-            at = ids[:, 0]
+            ids, sims = self._search(self.unit[fresh], at, lv, BUILD_BEAM if joins.any() else ENTRIES)
+            at = ids[:, :ENTRIES]
             if joins.any():
                 # Members of the batch do not see each other in the graph, but in this matrix.
                 mates = np.where(joins[None, :], inside, -2.0)
@@ -154,23 +160,26 @@ class SmallWorld:
 
         count, ties = len(queries), self.ties[lv]
         beam = max(beam, start.shape[1])
+        wider = max(3, beam // WIDER)
         ids = np.full((count, beam), -1, np.int64)
         sims = np.full((count, beam), -2.0, np.float32)
         ids[:, :start.shape[1]] = start
-        sims[:, :start.shape[1]] = np.einsum("qd,qsd->qs", queries, self.unit[start])
+        sims[:, :start.shape[1]] = np.where(
+            start >= 0, np.einsum("qd,qsd->qs", queries, self.unit[np.maximum(start, 0)]), -2.0)
         seen = np.zeros((count, len(self.unit)), bool)
-        np.put_along_axis(seen, start, True, 1)
+        r, c = np.nonzero(start >= 0)
+        seen[r, start[r, c]] = True
         order = np.argsort(-sims, 1, kind="stable")
         ids, sims = np.take_along_axis(ids, order, 1), np.take_along_axis(sims, order, 1)
         waiting = ids >= 0
         active = np.arange(count)
         while len(active):
             open_ = waiting[active]
-            first = open_ & (np.cumsum(open_, 1) <= WIDER)
+            first = open_ & (np.cumsum(open_, 1) <= wider)
             waiting[active] &= ~first
             r, c = np.nonzero(first)
             place = np.cumsum(first, 1)[r, c] - 1
-            current = np.full((len(active), WIDER), -1, np.int64)
+            current = np.full((len(active), wider), -1, np.int64)
             current[r, place] = ids[active[r], c]
             around = np.where(current[:, :, None] >= 0, ties[np.maximum(current, 0)], -1)
             around = np.sort(around.reshape(len(active), -1), 1)
@@ -200,7 +209,7 @@ class SmallWorld:
             part = np.ascontiguousarray(queries[a:a + BATCH], np.float32)
             at = np.full((len(part), 1), self.entry)
             for lv in range(int(self.level[self.entry]), 0, -1):
-                at = self._search(part, at, lv, 1)[0][:, :1]
+                at = self._search(part, at, lv, ENTRIES)[0][:, :ENTRIES]
             ids, sims = self._search(part, at, 0, beam)
             found.append(ids)
             near.append(sims)
@@ -208,103 +217,171 @@ class SmallWorld:
 
 
 def _unit(vectors):
+    """Rows of length one. Each is divided by its largest component first, so no square over- or underflows."""
     import numpy as np
 
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    scaled = vectors / np.abs(vectors).max(axis=1, keepdims=True)
+    return scaled / np.linalg.norm(scaled, axis=1, keepdims=True)
 
 
-def _groups(links):
-    """Group number of every row and column tied together by a boolean link matrix."""
+def _joined(count: int, u, v, label=None):
+    """The least member of its component for each of ``count`` nodes under the edges u - v.
+
+    ``label`` is such a result for earlier edges, which stay.
+    """
     import numpy as np
 
-    rows, cols = np.nonzero(links)
-    label_r, label_c = np.arange(links.shape[0]), np.full(links.shape[1], links.shape[0])
-    while True:
-        before = label_r.copy(), label_c.copy()
-        np.minimum.at(label_c, cols, label_r[rows])
-        np.minimum.at(label_r, rows, label_c[cols])
-        if (before[0] == label_r).all() and (before[1] == label_c).all():
-            return label_r, label_c
+    label = np.arange(count) if label is None else label.copy()
+    while (label[u] != label[v]).any():
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, label[u], low)
+        np.minimum.at(label, label[v], low)
+        while (label[label] != label).any():
+            label = label[label]
+    return label
 
 
-def _search_links(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float):
-    """Boolean matrix of links that the rows of ``unit_b`` find in a graph over ``unit_a``, and the beam.
+def _candidates(graph: SmallWorld, unit_b, beam: int, cosine: float):
+    """Rows of the graph and searching rows that a beam search finds to be links, with a hair of room,
+    as searches are in single precision."""
+    import numpy as np
+
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for first in range(0, len(unit_b), BATCH):
+        ids, sims = graph.nearest(unit_b[first:first + BATCH], beam)
+        col, k = np.nonzero((ids >= 0) & (sims >= cosine - 1e-4))
+        rows.append(ids[col, k])
+        cols.append(col + first)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _all_ties(unit_a, unit_b, same: bool, cosine: float):
+    """Links that tie the same rows together as all links do, by comparing all rows in blocks."""
+    import numpy as np
 
-    The audit takes evenly spaced queries. The beam doubles until it finds nearly all of their true
-    nearest vectors and all of their links; a beam as wide as the shard is a comparison with all of it.
+    shift = 0 if same else len(unit_a)
+    label, rows, cols = np.arange(shift + len(unit_b)), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    step = max(1, BLOCK_CELLS // max(1, len(unit_b)))
+    for first in range(0, len(unit_a), step):
+        near = unit_a[first:first + step] @ unit_b.T >= cosine
+        near &= label[first:first + len(near)][:, None] != label[shift:][None, :]
+        r, c = np.nonzero(near)
+        rows.append(r + first)
+        cols.append(c)
+        label = _joined(len(label), r + first, c + shift, label)
+    return np.concatenate(rows), np.concatenate(cols)
+
+
+def _searched(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float):
+    """Links that the rows of ``unit_b`` find in a graph over ``unit_a``, and the beam.
+
+    The audit takes evenly spaced queries and compares them with all rows. The beam doubles until it
+    finds rows as near as nearly all of their true nearest ones that are no links, and until the links
+    found tie each query to every row it truly links with, as all pairs of a group are verified later.
+    In a group of near copies a beam finds only some of a row's links; that is enough to tie the group
+    together. A beam as wide as the shard is a comparison with all of it.
     """
     import numpy as np
 
-    beam = SEARCH_BEAM
     audited = np.unique(np.linspace(0, len(unit_b) - 1, min(AUDITED, len(unit_b))).astype(int))
     near = unit_a @ unit_b[audited].T
     if same:
         near[audited, np.arange(len(audited))] = -2.0
-    truth = near >= cosine
-    nearest = np.argsort(-near, 0, kind="stable")[:AUDIT_NEAREST].T
+    best = -np.sort(-near, 0)[:AUDIT_NEAREST]
+    linked, query = np.nonzero(near >= cosine)
+    shift = 0 if same else len(unit_a)
+    beam = SEARCH_BEAM
     while beam < len(unit_a):
-        ids, _ = graph.nearest(unit_b[audited], beam)
-        found = np.zeros(truth.shape, bool)
-        col, k = np.nonzero(ids >= 0)
-        found[ids[col, k], col] = True
-        met = np.take_along_axis(found, nearest.T, 0).mean()
-        if met >= NEAREST_RECALL and (truth & found).sum() >= AUDIT_RECALL * truth.sum():
-            break
+        ids, sims = graph.nearest(unit_b[audited], beam)
+        if same:
+            sims = np.where(ids == audited[:, None], -2.0, sims)
+        top = -np.sort(-sims, 1)[:, :len(best)].T
+        if ((top >= best - AS_NEAR) | (best >= cosine)).mean() >= NEAREST_RECALL:
+            rows, cols = _candidates(graph, unit_b, beam, cosine)
+            label = _joined(shift + len(unit_b), rows, cols + shift)
+            if (label[linked] == label[audited[query] + shift]).sum() >= AUDIT_RECALL * len(linked):
+                return rows, cols, beam
         beam *= 2
-    else:
-        return unit_a @ unit_b.T >= cosine, len(unit_a)
-    ids, sims = graph.nearest(unit_b, beam)
-    links = np.zeros((len(unit_a), len(unit_b)), bool)
-    # A hair of room, as searches are in single precision.
-    col, k = np.nonzero((ids >= 0) & (sims >= cosine - 1e-4))
-    links[ids[col, k], col] = True
-    return links, beam
+    return *_all_ties(unit_a, unit_b, same, cosine), len(unit_a)
 
 
-def linked_pairs(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float = COSINE,
-                 other: SmallWorld | None = None):
-    """Boolean matrix of links between the rows of a graph and other rows, with the widest beam used.
+class PairLinks:
+    """The links between the rows of a shard, or of two shards, as groups whose pairs are verified.
 
-    ``same``: both are one shard, and a row does not link with itself. ``other`` is the graph of the
-    other rows, where the rows of the first search in turn.
+    ``same``: both sides are one shard, and a row does not link with itself. ``other`` is the graph of
+    the other rows, where the rows of the first search in turn.
     """
-    import numpy as np
 
-    links, beam = _search_links(graph, unit_a, unit_b, same, cosine)
-    if other is not None:
-        back, wide = _search_links(other, unit_b, unit_a, False, cosine)
-        links, beam = links | back.T, max(beam, wide)
-    # Single precision searches; double precision decides, on all pairs of a group.
-    group_a, group_b = _groups(links)
-    links = np.zeros(links.shape, bool)
-    for g in np.intersect1d(group_a, group_b).tolist():
-        a, b = np.flatnonzero(group_a == g), np.flatnonzero(group_b == g)
-        if len(a) and len(b):
-            links[np.ix_(a, b)] = unit_a[a] @ unit_b[b].T >= cosine
-    if same:
-        np.fill_diagonal(links, False)
-        links |= links.T
-    return links, beam
+    def __init__(self, graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float = COSINE,
+                 other: SmallWorld | None = None):
+        import numpy as np
 
+        self.unit_a, self.unit_b, self.same, self.cosine = unit_a, unit_b, same, cosine
+        self.shift = 0 if same else len(unit_a)
+        rows, cols, self.beam = _searched(graph, unit_a, unit_b, same, cosine)
+        if other is not None:
+            back, from_, wide = _searched(other, unit_b, unit_a, False, cosine)
+            rows, cols = np.concatenate([rows, from_]), np.concatenate([cols, back])
+            self.beam = max(self.beam, wide)
+        self.rows, self.cols = rows, cols
+        self.group = _joined(self.shift + len(unit_b), rows, cols + self.shift)
+
+    def blocks(self):
+        """(rows, other rows, links among them) that cover every pair of every group, in double precision."""
+        import numpy as np
+
+        left, right = self.group[:len(self.unit_a)], self.group[self.shift:]
+        by_left, by_right = np.argsort(left, kind="stable"), np.argsort(right, kind="stable")
+        names, first_a, size_a = np.unique(left[by_left], return_index=True, return_counts=True)
+        names_b, first_b, size_b = np.unique(right[by_right], return_index=True, return_counts=True)
+        _, in_a, in_b = np.intersect1d(names, names_b, assume_unique=True, return_indices=True)
+        if self.same:
+            in_a = in_b = in_a[size_a[in_a] > 1]
+        for i, j in zip(in_a, in_b):
+            a, b = by_left[first_a[i]:first_a[i] + size_a[i]], by_right[first_b[j]:first_b[j] + size_b[j]]
+            step = max(1, BLOCK_CELLS // len(b))
+            for first in range(0, len(a), step):
+                part = a[first:first + step]
+                links = self.unit_a[part] @ self.unit_b[b].T >= self.cosine
+                if self.same:
+                    links[np.arange(len(part)), first + np.arange(len(part))] = False
+                yield part, b, links
+
+    def summed(self, copies_a, copies_b):
+        """Per row of each side: links, links with copies; and the component of every row of both."""
+        import numpy as np
 
-def _least_around(links, ids_a, ids_b, same: bool):
-    """Least id reachable inside the two shards, for both sides."""
+        links = [np.zeros(len(copies_a), np.int64), np.zeros(len(copies_b), np.int64)]
+        docs = [np.zeros(len(copies_a), np.int64), np.zeros(len(copies_b), np.int64)]
+        rows, cols = self.rows, self.cols
+        sound = np.einsum("pd,pd->p", self.unit_a[rows], self.unit_b[cols]) >= self.cosine
+        label = _joined(len(self.group), rows[sound], cols[sound] + self.shift)
+        for a, b, found in self.blocks():
+            links[0][a] += found.sum(1)
+            docs[0][a] += (found @ copies_b[b].astype(float)).astype(np.int64)
+            links[1][b] += found.sum(0)
+            docs[1][b] += (copies_a[a].astype(float) @ found).astype(np.int64)
+            apart = found & (label[a][:, None] != label[b + self.shift][None, :])
+            if apart.any():
+                r, c = np.nonzero(apart)
+                label = _joined(len(label), a[r], b[c] + self.shift, label)
+        return links, docs, label
+
+
+def linked_pairs(graph: SmallWorld, unit_a, unit_b, same: bool, cosine: float = COSINE,
+                 other: SmallWorld | None = None):
+    """Boolean matrix of the links of ``PairLinks``, with the widest beam used; for small shards."""
     import numpy as np
 
-    least_a, least_b = ids_a.copy(), ids_b.copy()
-    rows, cols = np.nonzero(links)
-    while True:
-        before = least_a.sum(dtype=object), least_b.sum(dtype=object)
-        np.minimum.at(least_b, cols, least_a[rows])
-        np.minimum.at(least_a, rows, least_b[cols])
-        if same:
-            least_a = least_b = np.minimum(least_a, least_b)
-        if before == (least_a.sum(dtype=object), least_b.sum(dtype=object)):
-            return least_a, least_b
+    pair = PairLinks(graph, unit_a, unit_b, same, cosine, other)
+    links = np.zeros((len(unit_a), len(unit_b)), bool)
+    for a, b, found in pair.blocks():
+        links[np.ix_(a, b)] = found
+    return links, pair.beam
 
 
-def _build(rows: DataFrame) -> DataFrame:
-    """One row per (label, width, shard): ids, copies, vectors and the graph, as bytes."""
+def _build(rows: DataFrame, shards: int) -> DataFrame:
+    """One row per (label, width, shard): classes, ids, copies, vectors and the graph, as bytes."""
     def build(batches):
         import numpy as np
         import pyarrow as pa
@@ -313,71 +390,71 @@ def _build(rows: DataFrame) -> DataFrame:
 
         def close(key):
             parts = held.pop(key)
-            ids = np.concatenate([p[0] for p in parts])
-            copies = np.concatenate([p[1] for p in parts])
-            vectors = np.concatenate([p[2] for p in parts])
-            order = np.argsort(ids, kind="stable")
-            ids, copies, vectors = ids[order], copies[order], vectors[order]
+            classes, ids, copies, vectors = (np.concatenate([p[i] for p in parts]) for i in range(4))
+            order = np.argsort(classes, kind="stable")
+            classes, ids, copies, vectors = classes[order], ids[order], copies[order], vectors[order]
             return pa.RecordBatch.from_arrays([
                 pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int32()),
                 pa.array([key[2]], pa.int32()), pa.array([key[3]], pa.int32()),
-                pa.array([pickle.dumps((ids, copies, vectors))], pa.binary()),
+                pa.array([pickle.dumps((classes, ids, copies, vectors))], pa.binary()),
                 pa.array([SmallWorld(_unit(vectors)).state()], pa.binary()),
             ], names=["lab", "dim", "shard", "shards", "block", "graph"])
 
         for batch in batches:
             keys = list(zip(*(batch.column(i).to_pylist() for i in range(4))))
-            ids = batch.column(4).to_numpy(zero_copy_only=False)
-            copies = batch.column(5).to_numpy(zero_copy_only=False)
-            offsets = batch.column(6).offsets.to_numpy()
-            flat = batch.column(6).values.to_numpy(zero_copy_only=False)
+            classes, ids, copies = (batch.column(c).to_numpy(zero_copy_only=False) for c in (4, 5, 6))
+            offsets = batch.column(7).offsets.to_numpy()
+            flat = batch.column(7).values.to_numpy(zero_copy_only=False)
             first = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[first]:
                     part = flat[offsets[first]:offsets[i]].reshape(i - first, -1)
                     for other in [k for k in held if k != keys[first]]:
                         yield close(other)
-                    held.setdefault(keys[first], []).append((ids[first:i], copies[first:i], part))
+                    held.setdefault(keys[first], []).append(
+                        (classes[first:i], ids[first:i], copies[first:i], part))
                     first = i
         for key in list(held):
             yield close(key)
 
-    ordered = rows.repartition("lab", "dim", "shard").sortWithinPartitions("lab", "dim", "shard")
+    ordered = rows.repartition(shards, "lab", "dim", "shard").sortWithinPartitions("lab", "dim", "shard")
     return ordered.mapInArrow(
         build, "lab STRING, dim INT, shard INT, shards INT, block BINARY, graph BINARY")
 
 
 def _linked(pairs: DataFrame, cosine: float) -> DataFrame:
-    """Per vector and pair of shards: links, links with copies, least id reached."""
+    """Per class and pair of shards: its id, links with copies, least id reached."""
     def link(batches):
         import numpy as np
         import pyarrow as pa
 
-        names = ["id", "links", "doc_links", "least"]
+        names = ["cid", "id", "doc_links", "least"]
         for batch in batches:
             for r in range(batch.num_rows):
                 block, other, graph, other_graph = (batch.column(i)[r].as_py() for i in range(4))
-                ids_a, copies_a, vec_a = pickle.loads(block)
+                classes_a, ids_a, copies_a, vec_a = pickle.loads(block)
                 same = other is None
-                ids_b, copies_b, vec_b = (ids_a, copies_a, vec_a) if same else pickle.loads(other)
+                classes_b, ids_b, copies_b, vec_b = (
+                    (classes_a, ids_a, copies_a, vec_a) if same else pickle.loads(other))
                 unit_a = _unit(vec_a)
                 unit_b = unit_a if same else _unit(vec_b)
-                links, _ = linked_pairs(
-                    SmallWorld.of_state(graph, unit_a), unit_a, unit_b, same, cosine,
-                    None if same else SmallWorld.of_state(other_graph, unit_b))
-                least_a, least_b = _least_around(links, ids_a, ids_b, same)
-                sides = [(ids_a, links, copies_b, least_a)]
+                pair = PairLinks(SmallWorld.of_state(graph, unit_a), unit_a, unit_b, same, cosine,
+                                 None if same else SmallWorld.of_state(other_graph, unit_b))
+                links, docs, label = pair.summed(copies_a, copies_b)
+                ids = ids_a if same else np.concatenate([ids_a, ids_b])
+                least = np.full(len(ids), np.iinfo(np.int64).max)
+                np.minimum.at(least, label, ids)
+                least = least[label]
+                sides = [(classes_a, ids_a, links[0], docs[0], least[:len(ids_a)])]
                 if not same:
-                    sides.append((ids_b, links.T, copies_a, least_b))
-                for ids, mine, copies, least in sides:
-                    keep = np.flatnonzero(mine.any(1))
+                    sides.append((classes_b, ids_b, links[1], docs[1], least[len(ids_a):]))
+                for classes, own, n, n_docs, reached in sides:
+                    keep = np.flatnonzero(n)
                     if len(keep):
                         yield pa.RecordBatch.from_arrays([
-                            pa.array(ids[keep], pa.int64()), pa.array(mine[keep].sum(1), pa.int64()),
-                            pa.array((mine[keep] @ copies.astype(np.int64)), pa.int64()),
-                            pa.array(least[keep], pa.int64())], names=names)
+                            pa.array(x[keep], pa.int64()) for x in (classes, own, n_docs, reached)], names=names)
 
-    return pairs.mapInArrow(link, "id BIGINT, links BIGINT, doc_links BIGINT, least BIGINT")
+    return pairs.mapInArrow(link, "cid BIGINT, id BIGINT, doc_links BIGINT, least BIGINT")
 
 
 def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "embedding",
@@ -390,27 +467,32 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     copies included; ``component_id``: least key reachable by links; ``kept``: it is the vector's
     own. Vectors that are null, empty, zero or hold null or non-finite components link with
     nothing, and so do rows with a null key, which are kept. Repeated rows are copies of each
-    other. Every row is returned; recall is audited for every pair of shards, both ways, by the
-    true nearest vectors of some queries, so also where they have no links.
+    other. Rows that share a key but not the vector have links of their own, and one component, as
+    it is named by keys. Every row is returned; recall is audited for every pair of shards, both
+    ways, by the true nearest vectors of some queries, so also where they have no links.
 
     A shard holds about ``shard_rows`` vectors, so a hot label has more shards, not larger ones.
+    Each shard is built, and each pair of shards searched, by a task of its own.
     """
     values = F.col("v")
-    norm = F.aggregate(values, F.lit(0.0), lambda a, x: a + x * x)
     sound = F.size("v") > 0
     sound = sound & ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     rows = vectors.select(F.col(key).cast("bigint").alias("id"), F.col(label).cast("string").alias("lab"),
                           F.col(vector).cast("array<double>").alias("v"))
     usable = rows.where("id IS NOT NULL AND lab IS NOT NULL AND v IS NOT NULL").where(sound).where(
-        norm > 0)
+        F.exists(values, lambda x: x != 0))
     classes = stored(usable.groupBy("lab", "v").agg(
-        F.min("id").alias("first"), F.count("*").alias("copies")), "vector-classes")
+        F.min("id").alias("first"), F.count("*").alias("copies")).withColumn(
+        "cid", F.monotonically_increasing_id()), "vector-classes")
     sizes = classes.groupBy("lab", F.size("v").alias("dim")).agg(
         F.ceil(F.count("*") / shard_rows).cast("int").alias("shards"))
+    n_shards, n_pairs = sizes.agg(
+        F.coalesce(F.sum("shards"), F.lit(0)),
+        F.coalesce(F.sum(F.expr("shards * (shards + 1L) div 2")), F.lit(0))).first()
     placed = classes.withColumn("dim", F.size("v")).join(sizes, ["lab", "dim"]).select(
-        "lab", "dim", F.pmod(F.xxhash64("first"), F.col("shards")).cast("int").alias("shard"),
-        "shards", F.col("first").alias("id"), "copies", "v")
-    shards = stored(_build(placed), "vector-shards")
+        "lab", "dim", F.pmod(F.xxhash64("cid"), F.col("shards")).cast("int").alias("shard"),
+        "shards", "cid", F.col("first").alias("id"), "copies", "v")
+    shards = stored(_build(placed, min(max(n_shards, 1), MOST_TASKS)), "vector-shards")
     # Each shard meets itself and every later shard of its label once; its row is rebuilt per pair.
     none = F.lit(None).cast("binary")
     own = shards.select("block", none.alias("other"), "graph", none.alias("other_graph"))
@@ -420,12 +502,12 @@ def embedding_groups(vectors: DataFrame, key: str = "vec_id", vector: str = "emb
     others = shards.select("lab", "dim", "shard", F.col("block").alias("other"),
                            F.col("graph").alias("other_graph"))
     across = later.join(others, ["lab", "dim", "shard"]).select("block", "other", "graph", "other_graph")
-    pairs = own.union(across)
+    pairs = own.union(across).repartition(min(max(n_pairs, 1), MOST_TASKS))
     links = stored(_linked(pairs, cosine), "vector-links")
-    totals = links.groupBy("id").agg(F.sum("doc_links").alias("doc_links"))
+    totals = links.groupBy("cid").agg(F.sum("doc_links").alias("doc_links"))
     groups = components(links.select(F.col("id").alias("u"), F.col("least").alias("v")),
                         "vector-components")
-    found = classes.join(totals.withColumnRenamed("id", "first"), "first", "left").join(
+    found = classes.join(totals, "cid", "left").join(
         groups.withColumnRenamed("id", "first"), "first", "left")
     joined = rows.join(found.select("lab", "v", "first", "copies", "doc_links", "component"),
                        ["lab", "v"], "left")
