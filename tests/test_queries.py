@@ -32,3 +32,22 @@ def test_pages_cover_every_page(spark):
     assert cards.select("page_id", "job_url", "job_title").exceptAll(
         links.select("page_id", "job_url", "job_title")).count() == 0
     assert cards.count() == links.count()
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_low_bands_read_the_postings_once(spark, monkeypatch):
+    from wageband.plans import datasets
+
+    passed = []
+    monkeypatch.setattr(datasets, "stored_rows", lambda df, purpose: passed.append(df) or df)
+    entry.queries()["low_band_augment"](spark, SF)
+    plan = _plan(passed[0])
+    assert plan.count("FileScan") == 2 and plan.count("orders.parquet") == 1
+
+
+def test_pages_are_parsed_once(spark):
+    assert _plan(entry.queries()["page_postings"](spark, SF)).count("MapInPandas") == 1
+    assert _plan(entry.queries()["page_postings_joined"](spark, SF)).count("MapInPandas") == 2

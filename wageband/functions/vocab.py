@@ -129,11 +129,10 @@ GPA_PATTERNS = [
     r"minimum\s+gpa\s*([0-4](?:[\.,][0-9]{1,2})?)",
 ]
 
-# Years of experience: every hit of both, group 1 is the number. Words before the number in the
-# first form do not change it, so none are asked for.
+# Years of experience: every hit of both, group 1 is the number.
 EXPERIENCE_PATTERNS = [
-    r"(\d+)\s*(?:tahun|thn|years?)\s*(?:pengalaman|experience)",
-    r"(?:pengalaman|experience)\s*(?:minimal|min|minimum)?\s*(\d+)\s*(?:tahun|thn|year)",
+    r"(?:minimal|min|minimum|at least)?\s*(\d+)\s*(?:tahun|thn|year|years)\s*(?:pengalaman|experience)",
+    r"(?:pengalaman|experience)\s*(?:minimal|min|minimum)?\s*(\d+)\s*(?:tahun|thn|year|years)",
 ]
 
 CURRENCY_MARKERS = ["rp", "idr"]

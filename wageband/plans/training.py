@@ -19,6 +19,7 @@ from wageband.plans.metrics import (
     ACTUAL, PREDICTED, classification_report, confusion_matrix,
 )
 from wageband.schemas import CATEGORY_COLUMNS, FLAG_COLUMNS, TARGET_COLUMN
+from wageband.session import stored_rows
 
 # Forest size, leaf size, seed, hold-out share and smallest table to train on.
 TREES, LEAF, SEED, TEST_SHARE, SMALLEST = 300, 2, 42, 0.2, 20
@@ -114,9 +115,9 @@ def with_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = S
                                                       F.lit(str(seed)))))
     narrow = hashed.select(key, TARGET_COLUMN, "_hash", F.conv(
         F.substring("_hash", 1, BUCKET_DIGITS), 16, 10).cast("int").alias("_bucket"))
-    # Three steps read the counts, one row per class and range: keep them.
-    sizes = narrow.groupBy(TARGET_COLUMN, "_bucket").agg(
-        F.count(F.lit(1)).alias("_size")).persist()
+    # Three steps read the counts, one row per class and range: write them once.
+    sizes = stored_rows(narrow.groupBy(TARGET_COLUMN, "_bucket").agg(
+        F.count(F.lit(1)).alias("_size")), "split-sizes")
     wanted = _shared_out(sizes.groupBy(TARGET_COLUMN).agg(F.sum("_size").alias("n")), share)
     # Without stratification all classes form one group.
     group = F.when(F.col("stratified"), F.col(TARGET_COLUMN)).otherwise("").alias("_group")
@@ -271,7 +272,7 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     # Every step below reads the rows again: keep the narrow ones instead of parsing texts anew.
     rows = labelled_rows(df).select(key, *numeric, *text, TARGET_COLUMN).persist()
     check_rows(rows)
-    split = with_split(rows, key, share, seed).persist()
+    split = stored_rows(with_split(rows, key, share, seed), "split")
     n_rows = split.count()
     rows.unpersist()
     fitting = split.filter(~F.col("is_test"))

@@ -24,6 +24,8 @@ PROVENANCE = "source_batch_file"
 FILE_ORDER = [PROVENANCE, POSITION]
 LOG = logging.getLogger(__name__)
 _OPENED_AT_ONCE = 16
+# A quote that is open for so many lines of a header was never meant to be closed.
+_MOST_HEADER_LINES = 1_000
 
 
 def _options(sep: str, multi_line: bool) -> dict[str, str]:
@@ -89,6 +91,9 @@ def _first_record(spark: SparkSession, codecs, path: str) -> str | None:
                 quotes += line.count('"')
                 if quotes % 2 == 0:
                     return "\n".join(lines).removeprefix("\ufeff")
+                if len(lines) == _MOST_HEADER_LINES:
+                    LOG.warning("a quote is never closed in the header of %s", path)
+                    return None
         return None
     except Exception as problem:
         LOG.warning("cannot be read: %s (%s)", path, str(problem).split("\n")[0])

@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wageband.functions.text import strip_blanks
+from wageband.functions.once import with_columns_once
+from wageband.functions.text import normalize_text, strip_blanks
 from wageband.schemas import PAGES_PER_KEYWORD
 
 # The keyword batches, in order.
@@ -98,6 +99,10 @@ LOW_WAGE_KEYWORDS = [
     "uang saku 500", "uang saku 700", "uang saku 1000000", "honor 1 juta",
 ]
 
+LOW_WAGE_BATCH = "low_wage"
+# Fixed value: search pages per keyword of the low-wage search.
+LOW_WAGE_PAGES = 40
+
 
 def keyword_registry(spark: SparkSession,
                      batches: Mapping[str, Sequence[str]] = KEYWORD_BATCHES) -> DataFrame:
@@ -122,6 +127,22 @@ def batch_listing(registry: DataFrame, postings: DataFrame) -> DataFrame:
     )
 
 
+def low_wage_frontier(postings: DataFrame, base_url: str, pages: int = LOW_WAGE_PAGES,
+                      keywords: Sequence[str] = tuple(LOW_WAGE_KEYWORDS)) -> DataFrame:
+    """Search pages of the low-wage search, with the stored postings whose title or text names the keyword.
+
+    Each posting is looked through once for all keywords.
+    """
+    named = normalize_text(F.col("job_title"), F.col("job_description"))
+    words = F.array(*[F.lit(k) for k in keywords])
+    mentioned = with_columns_once(postings.select("job_title", "job_description"), {"_text": named}).select(
+        F.explode(F.filter(words, lambda k: F.col("_text").contains(k))).alias("keyword"))
+    found = mentioned.groupBy("keyword").agg(F.count(F.lit(1)).alias("mentioned"))
+    listed = keyword_registry(postings.sparkSession, {LOW_WAGE_BATCH: list(keywords)}).join(
+        found, "keyword", "left").select("keyword_no", "keyword", F.coalesce("mentioned", F.lit(0)).alias("mentioned"))
+    return crawl_frontier(listed, base_url, pages)
+
+
 def select_batch(argument: Column, names: Sequence[str] = tuple(KEYWORD_BATCHES)) -> Column:
     """Batch meant by a number, a full name or a unique part of a name.
 

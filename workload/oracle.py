@@ -6,7 +6,7 @@ from wageband.functions import vocab
 from wageband.schemas import (
     BAND_LABELS, FIVE_BANDS, FLAG_COLUMNS, LOW_BAND_LABELS, NA_TOKENS, TARGET_PER_CLASS, WAGE_BANDS,
 )
-from wageband.sources.registry import KEYWORD_BATCHES
+from wageband.sources.registry import KEYWORD_BATCHES, LOW_WAGE_KEYWORDS
 from workload.adapters import FILLER, KEYWORDS, PHONE, PLACES, SENTENCES, TITLES
 from workload.queries import QUOTA, SITE, SMALL_QUOTA
 
@@ -417,6 +417,14 @@ words AS (SELECT DISTINCT source_keyword AS keyword FROM postings
 paged AS (SELECT keyword, CAST(unnest(range(1, 11)) AS INTEGER) AS page FROM words)""", f"""
 SELECT keyword, page, '{SITE}/jobs?keywords=' || replace(url_encode(keyword), '%20', '+')
   || '&page=' || page AS search_url FROM paged"""),
+        "low_wage_frontier": with_(POSTINGS + f""",
+words AS (SELECT unnest({qlist(LOW_WAGE_KEYWORDS)}) AS keyword,
+  CAST(unnest(range(1, {len(LOW_WAGE_KEYWORDS)} + 1)) AS INTEGER) AS keyword_no),
+texts AS (SELECT {collapse("lower(concat_ws(' ', job_title, job_description))")} AS t FROM postings),
+found AS (SELECT keyword, count(*) AS c FROM words JOIN texts ON contains(t, keyword) GROUP BY 1),
+paged AS (SELECT *, CAST(unnest(range(1, 41)) AS INTEGER) AS page FROM words LEFT JOIN found USING (keyword))""", f"""
+SELECT keyword_no, keyword, coalesce(c, 0) AS mentioned, page,
+  '{SITE}/jobs?keywords=' || replace(url_encode(keyword), '%20', '+') || '&page=' || page AS search_url FROM paged"""),
         "alumni_bands": f"""
 WITH s AS (SELECT CAST(c_custkey AS INTEGER) AS respondent_id, c_mktsegment AS employment_industry,
   CASE WHEN c_custkey % 10 <> 0 THEN CAST(floor(c_acctbal * 1000) AS BIGINT) END AS starting_salary FROM customer)
@@ -465,6 +473,21 @@ SELECT salary_range_label, n, n_train, n - n_train AS n_test, stratified FROM si
 SELECT pos, salary_range_label, row_number() OVER (PARTITION BY salary_range_label
   ORDER BY md5(CAST(pos AS VARCHAR) || ':42'), pos) <= n - n_train AS is_test
 FROM pay JOIN sizes USING (salary_range_label)"""),
+        "rf_shape": with_(PROXY + "," + SPLIT.format(src="proxy") + """,
+marked AS (SELECT p.*, row_number() OVER (PARTITION BY salary_range_label
+  ORDER BY md5(CAST(pos + 1 AS VARCHAR) || ':42'), pos) <= n - n_train AS is_test
+  FROM proxy p JOIN sizes USING (salary_range_label)),
+named AS (SELECT 'cat__job_family_' || job_family AS f FROM marked WHERE NOT is_test
+  UNION SELECT 'cat__region_group_' || region_group FROM marked WHERE NOT is_test
+  UNION SELECT 'num__' || unnest(""" + qlist(FLAG_COLUMNS) + """))""", """
+SELECT 'n_rows' AS item, count(*)::DOUBLE AS value FROM marked
+UNION ALL SELECT 'n_train', count(*) FILTER (NOT is_test)::DOUBLE FROM marked
+UNION ALL SELECT 'n_test', count(*) FILTER (is_test)::DOUBLE FROM marked
+UNION ALL SELECT 'n_classes', count(DISTINCT salary_range_label)::DOUBLE FROM marked
+UNION ALL SELECT 'importance', 1::DOUBLE
+UNION ALL SELECT 'feature ' || f, 1::DOUBLE FROM named
+UNION ALL SELECT 'support ' || salary_range_label, count(*)::DOUBLE FROM marked WHERE is_test GROUP BY ALL
+UNION ALL SELECT 'target ' || salary_range_label, count(*)::DOUBLE FROM marked GROUP BY ALL"""),
         "impute_median_mode": with_(PROXY, """
 , holes AS (SELECT CASE WHEN pos % 5 <> 0 THEN f_min_gpa END AS g,
   CASE WHEN pos % 3 <> 0 THEN f_experience_years_min END AS y,

@@ -424,6 +424,11 @@ def crawl_frontier(spark, sf):
     return registry.crawl_frontier(stored.unionByName(names), SITE)
 
 
+@query
+def low_wage_frontier(spark, sf):
+    return registry.low_wage_frontier(postings(spark, sf, with_company=False), SITE)
+
+
 @query
 def alumni_bands(spark, sf):
     k = F.col("c_custkey")
@@ -677,6 +682,23 @@ def rf_importance(spark, sf):
     return training.train(_training_rows(spark, sf), fit_rows=FIT_ROWS).importance
 
 
+@query
+def rf_shape(spark, sf):
+    """What a forest is fitted and judged on, and its feature names: all that does not depend on its trees."""
+    made = training.train(_training_rows(spark, sf), trees=5, depth=3)
+    sizes = made.metrics.select(F.inline(F.array(*[
+        F.struct(F.lit(c).alias("item"), F.col(c).cast("double").alias("value"))
+        for c in ("n_rows", "n_train", "n_test", "n_classes")])))
+    features = made.importance.select(F.concat(F.lit("feature "), "feature").alias("item"), F.lit(1.0).alias("value"))
+    total = made.importance.select(F.lit("importance").alias("item"), "importance").groupBy("item").agg(
+        F.round(F.sum("importance"), 6).alias("value"))
+    support = made.report.filter(F.col("label").isin(BAND_LABELS) & (F.col("support") > 0)).select(
+        F.concat(F.lit("support "), "label").alias("item"), F.col("support").cast("double").alias("value"))
+    targets = made.targets.select(F.concat(F.lit("target "), TARGET_COLUMN).alias("item"),
+                                  F.col("n").cast("double").alias("value"))
+    return sizes.unionByName(features).unionByName(total).unionByName(support).unionByName(targets)
+
+
 @query
 def rf_embeddings_report(spark, sf):
     """The same report for a forest on the embedding components."""
