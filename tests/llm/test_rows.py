@@ -1,5 +1,6 @@
 """Operators that judge rows one by one: encoding, toxicity, rules, quality, pages."""
 
+import time
 import hashlib
 import math
 import random
@@ -71,6 +72,37 @@ def test_folding_and_exceptions():
     assert toxicity.Lexicon({}).build().score(0.0) < 0.5
 
 
+def test_numbers_are_no_letters():
+    fold = toxicity.Folder().fold
+    assert fold("room 455 in 2019, 3.14") == " room 455 in 2019 3 14 "
+    assert fold("h3ll0 1diot as5 4ss") == " hello idiot ass ass "
+
+
+def test_matches_against_brute_force():
+    rng = random.Random(6)
+    words = ["trash", "can", "tra", "bad", "ash", "the", "bin"]
+    lexicon = toxicity.Lexicon({" tra": 1.0, " trash ": 2.0, " bad": 3.0, " can ": 1.5},
+                               exceptions=("trash can", "the bad", "can the bad bin")).build()
+    for _ in range(300):
+        folded = " " + " ".join(rng.choices(words, k=rng.randrange(1, 25))) + " "
+        spans = [(i, i + len(e) + 2) for e in lexicon.exceptions for i in range(len(folded))
+                 if folded.startswith(f" {e} ", i)]
+        best = {}
+        for pattern, weight in lexicon.weights.items():
+            for i in range(len(folded)):
+                if folded.startswith(pattern, i) and i + len(pattern) > best.get(i, (0, 0, 0))[1]:
+                    best[i] = (i, i + len(pattern), weight)
+        expected = sorted(m for m in best.values() if not any(a <= m[0] and m[1] <= b for a, b in spans))
+        assert lexicon.matches(folded) == expected
+
+
+def test_many_exceptions_take_linear_time():
+    lexicon = toxicity.Lexicon({" trash": 1.0, " can": 1.0}, exceptions=("trash can",)).build()
+    start = time.process_time()
+    assert lexicon.matches(" " + "trash can " * 100_000) == []
+    assert time.process_time() - start < 5
+
+
 def test_toxicity_learns_and_keeps_rows(spark):
     rng = random.Random(3)
     words = ["alpha", "beta", "gamma", "delta", "omega", "kappa"]

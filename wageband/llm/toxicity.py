@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Sequence
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -54,6 +56,7 @@ class Folder:
         table |= {ord(c): None for c in INVISIBLE}
         self.letters = table
         self.digits = str.maketrans(DIGITS)
+        self.digit = re.compile(r"(?<=[^\W\d_])[0-9]+|[0-9]+(?=[^\W\d_])")
         self.sign = re.compile(r"(?<=[^\W\d_])[@$!|+]+(?=[^\W\d_])")
         self.other = re.compile(r"[\W_]+")
         self.signs = str.maketrans(SIGNS)
@@ -62,7 +65,8 @@ class Folder:
         """Words between single blanks, with a blank at both ends."""
         if not text.isascii():
             text = text.translate(self.letters)
-        text = text.lower().translate(self.digits)
+        # Digits beside letters stand for letters; a number of its own stays one.
+        text = self.digit.sub(lambda m: m.group().translate(self.digits), text.lower())
         text = self.sign.sub(lambda m: m.group().translate(self.signs), text)
         return " " + self.other.sub(" ", text).strip() + " "
 
@@ -99,8 +103,11 @@ class Lexicon:
                 free.append((start, last + 1))
             elif start not in best or best[start][1] < last + 1:
                 best[start] = (start, last + 1, weight)
-        kept = [m for m in best.values() if not any(a <= m[0] and m[1] <= b for a, b in free)]
-        return sorted(kept)
+        free.sort()
+        starts = [a for a, _ in free]
+        reach = list(accumulate((b for _, b in free), max))  # how far the exceptions up to each one go
+        return sorted(m for m in best.values()
+                      if not (k := bisect_right(starts, m[0])) or reach[k - 1] < m[1])
 
     def evidence(self, folded: str) -> tuple[float, int]:
         """Summed weight by the root of the length in words, and the number of matches."""
