@@ -149,6 +149,19 @@ def test_cutting_repeats(spark):
     assert suffix_dedup.without_late_spans(frame).columns == frame.columns
 
 
+@pytest.mark.parametrize("run_rows", [20_000, 3])
+def test_a_row_given_twice_is_no_repeat(spark, monkeypatch, run_rows):
+    monkeypatch.setattr(suffix_dedup, "RUN_ROWS", run_rows)
+    passage, other = (" ".join(f"{c}{i}" for i in range(70)) for c in "pq")
+    rows = [(1, passage), (1, passage), (1, passage), (2, f"a {other}"), (2, f"b {other}"), (3, "short")]
+    assert suffix_dedup.repeated_spans(_frame(spark, rows)).count() == 0
+    assert Counter(r["text"] for r in suffix_dedup.without_late_spans(_frame(spark, rows)).collect()) == Counter(
+        t for _, t in rows)
+    # Another document with the passage is a repeat of the one document.
+    found = suffix_dedup.without_late_spans(_frame(spark, [*rows, (4, f"x {passage} y")])).collect()
+    assert Counter(r["text"] for r in found) == Counter([*[t for _, t in rows], "x y"])
+
+
 def test_language_model(spark):
     rng = random.Random(6)
     vocabulary = ["".join(rng.choice("abcdeé") for _ in range(rng.randint(1, 7))) for _ in range(150)]

@@ -196,10 +196,13 @@ def _neighbours(gram, ids, pos, left, right, side: int):
         rows = np.flatnonzero((has_left >= j) & (has_right >= side - j))
         text = _mix(before[j][rows] ^ (after[side - j][rows] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(j)))
         order = np.lexsort((pos[rows], ids[rows], text))
-        text = text[order]
+        text, placed = text[order], rows[order]
         start = np.ones(len(order), bool)
         start[1:] = text[1:] != text[:-1]
-        yield j, rows[order], start, text
+        # A row that is given twice, or whose key is, has the same text at the same place once.
+        again = np.zeros(len(order), bool)
+        again[1:] = ~start[1:] & (ids[placed[1:]] == ids[placed[:-1]]) & (pos[placed[1:]] == pos[placed[:-1]])
+        yield j, placed[~again], start[~again], text[~again]
 
 
 def _repeats(sorted_rows: DataFrame, side: int) -> DataFrame:
@@ -287,7 +290,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text",
     copy of every repeat. Words are counted from 0, the end is not included.
 
     Documents that are null, blank or shorter than ``least`` words, and rows with a null key, have no
-    spans. Rows that share a key count as one document. All words of all texts are compared, and
+    spans. Rows that share a key count as one document, whose words at a place may differ: the same
+    passage at the same place of them is one occurrence, so a row given twice is no repeat. All words of all texts are compared, and
     words by 32 bits of their hash beyond a shared run of ``gram`` words.
     """
     side = least - gram
