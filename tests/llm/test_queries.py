@@ -2,14 +2,20 @@
 
 import bisect
 import hashlib
+import math
 import os
 import re
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+import regex
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from wageband.llm import toxicity
+from wageband.llm import quality, toxicity
 from wageband.llm.oracle import ORACLE_SQL
 from wageband.llm.queries import QUERIES, tokenizer_path
 from wageband.llm.common import table
@@ -129,3 +135,118 @@ def test_encoded_places_keep_the_shares(spark):
     for source, share in shares.items():
         for t in range(taken[source][-1] + 1):
             assert abs(bisect.bisect_left(taken[source], t) - t * share) < 1
+
+
+def _naive_fold(folder, text):
+    """Folding letter by letter."""
+    chars = [folder.letters.get(ord(c), c) or "" for c in text] if not text.isascii() else list(text)
+    text = "".join(chars).lower()
+
+    def letter(i):
+        return 0 <= i < len(text) and bool(re.fullmatch(r"[^\W\d_]", text[i]))
+
+    out = list(text)
+    i = 0
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in "0123456789":
+            j += 1
+        if j > i and (letter(i - 1) or letter(j)):
+            out[i:j] = [toxicity.DIGITS.get(c, c) for c in text[i:j]]
+        i = max(j, i + 1)
+    text, i = "".join(out), 0
+    out = list(text)
+    while i < len(text):
+        j = i
+        while j < len(text) and text[j] in "@$!|+":
+            j += 1
+        if j > i and letter(i - 1) and letter(j):
+            out[i:j] = [toxicity.SIGNS[c] for c in text[i:j]]
+        i = max(j, i + 1)
+    return " " + " ".join(re.findall(r"[^\W_]+", "".join(out))) + " "
+
+
+def test_toxicity_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, SF, "documents").collect()}
+    labels = {r["doc_id"]: r["toxic"] for r in table(spark, SF, "labels").collect() if r["toxic"] is not None}
+    folder = toxicity.Folder()
+    folded = {i: _naive_fold(folder, t) for i, t in docs.items()}
+    learn = [i for i in docs if i in labels and zlib.crc32(str(i).encode()) % 5]
+    counts = {0: Counter(), 1: Counter()}
+    for i in learn:
+        forms = set()
+        for word in folded[i].split():
+            forms |= {f" {word} "} | {f" {word[:n]}" for n in range(3, min(len(word), 12) + 1)}
+        counts[labels[i]].update(forms)
+    toxic, clean = (sum(labels[i] == y for i in learn) for y in (1, 0))
+    found = {}
+    for form, t in counts[1].items():
+        w = math.log((t + 0.5) / (toxic + 1)) - math.log((counts[0][form] + 0.5) / (clean + 1))
+        if t >= toxicity.LEAST_TEXTS and w >= toxicity.LEAST_WEIGHT:
+            found[form] = (t, w)
+    weights = toxicity._longest_equal(found)
+    learned = toxicity.learn_lexicon(toxicity.training_rows(
+        table(spark, SF, "documents"), table(spark, SF, "labels"), "toxic"))
+    assert set(learned.weights) == set(weights) and len(found) < toxicity.MOST_ENTRIES
+    assert all(abs(learned.weights[f] - w) < 1e-9 for f, w in weights.items())
+    rows = QUERIES["op2_toxicity"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        text = folded[r["doc_id"]]
+        spans = [(k, k + len(e) + 2) for e in learned.exceptions for k in range(len(text)) if text.startswith(f" {e} ", k)]
+        best = {}
+        for f, w in weights.items():
+            for m in re.finditer(f"(?={re.escape(f)})", text):
+                if len(f) > best.get(m.start(), (0, 0))[0]:
+                    best[m.start()] = (len(f), w)
+        kept = [w for k, (n, w) in best.items() if not any(a <= k and k + n <= b for a, b in spans)]
+        evidence = sum(kept) / math.sqrt(max(toxicity.FEW_WORDS, len(text.split())))
+        a, b = learned.curve
+        score = 1 / (1 + math.exp(-max(-30.0, min(30.0, a + b * math.log1p(evidence)))))
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert abs(r["score"] - score) < 1e-9 and r["predicted"] == int(r["score"] >= 0.5)
+
+
+def test_quality_query_against_brute_force(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in table(spark, SF, "documents").collect()}
+    model = quality.learn_quality(table(spark, SF, "documents"), table(spark, SF, "labels"))
+
+    def shape(text):
+        return regex.sub(r"\p{N}+", "0", regex.sub(r"\p{Ll}+", "a", regex.sub(r"\p{Lu}+", "A", text)))
+
+    def words_of(text):
+        return re.findall(r"[^\x20\x09-\x0D]+", text)
+
+    words = {i: words_of(t) for i, t in docs.items()}
+    shapes = {i: words_of(shape(t)) for i, t in docs.items()}
+    every = sorted({w for ws in [*words.values(), *shapes.values()] for w in ws})
+    hashed = dict(spark.createDataFrame([(w,) for w in every], "w STRING").select("w", F.xxhash64("w")).collect())
+    index, s_index = quality._dense(quality.SLOTS, 1), quality._dense(quality.SHAPES, 2)
+    sums = np.zeros((quality.SLOTS, quality.WIDTH))
+    slots = {i: [hashed[w] % quality.SLOTS for w in ws] for i, ws in words.items()}
+    kinds = {i: [hashed[w] % quality.SHAPES for w in ws] for i, ws in shapes.items()}
+    for i, ws in slots.items():
+        for k, w in enumerate(ws):
+            sums[w] += s_index[kinds[i][k]]
+            for step in range(1, quality.REACH + 1):
+                if k + step < len(ws):
+                    sums[w] += index[ws[k + step]]
+                    sums[ws[k + step]] += index[w]
+    vectors = sums / np.maximum(np.linalg.norm(sums, axis=1, keepdims=True), 1e-9)
+    assert np.allclose(model.vectors, vectors, atol=1e-6)
+    rows = QUERIES["op5_quality_classifier"](spark, SF).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ws, ks = slots[r["doc_id"]], kinds[r["doc_id"]]
+        x = np.zeros(2 * quality.WIDTH + 4)
+        if ws:
+            pairs = list(zip(ws, ws[1:]))
+            x[:quality.WIDTH] = np.mean([vectors[w] for w in ws], 0)
+            x[quality.WIDTH:-4] = np.mean([s_index[k] for k in ks], 0)
+            x[-4:] = (math.log1p(len(ws)) / 10, sum(a == b for a, b in pairs) / len(ws),
+                      (len(ws) - len(set(ws))) / len(ws), (len(pairs) - len(set(pairs))) / len(ws))
+        hidden = np.maximum((x - model.network.mean) / model.network.spread @ model.network.w1 + model.network.b1, 0)
+        logit = float(hidden @ model.network.w2 + model.network.b2) / model.network.temperature
+        assert abs(r["score"] - 1 / (1 + math.exp(-max(-30.0, min(30.0, logit))))) < 1e-3
+        assert r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0)
+        assert r["predicted"] == int(r["score"] >= 0.3)
