@@ -143,14 +143,15 @@ h AS (SELECT doc_id, ws, len(ws) AS n, xor(4294967295::UBIGINT, list_reduce(list
 g AS (SELECT *, h // 10 % greatest(n, 1) AS a, 1 + (n - h // 10 % greatest(n, 1)) // (3 + h // 10 % 8) AS p FROM h),
 d AS (SELECT doc_id, n, CASE WHEN h % 10 = 0 AND n > 0 THEN list_transform(range(n), lambda i:
     CASE WHEN i < a THEN ws[i + 1] ELSE ws[a + (i - a) % p + 1] END) ELSE ws END AS ws FROM g),
-grams AS (SELECT doc_id, i, hash(ws[i + 1:i + 6]) AS g FROM (SELECT doc_id, ws, unnest(range(n - 5)) AS i FROM d)),
+words AS (SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM d),
+grams AS (SELECT doc_id, i, x || ' ' || lead(x, 1) OVER o || ' ' || lead(x, 2) OVER o || ' ' || lead(x, 3) OVER o
+  || ' ' || lead(x, 4) OVER o || ' ' || lead(x, 5) OVER o AS g FROM words WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
 pairs AS (SELECT a.doc_id, a.i, b.i - a.i AS q FROM grams a JOIN grams b ON a.doc_id = b.doc_id AND a.g = b.g AND a.i < b.i),
 islands AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM pairs),
 spans AS (SELECT doc_id, q, min(i) AS s, max(i) + 6 + q - min(i) AS len FROM islands GROUP BY doc_id, q, k),
 runs AS (SELECT doc_id, s, len, min(q) AS q FROM spans WHERE len >= greatest(12, 2 * q) GROUP BY doc_id, s, len),
 gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, s + len)) AS i FROM runs),
-kept AS (SELECT doc_id, array_to_string(list(x ORDER BY i), ' ') AS t FROM (
-  SELECT doc_id, unnest(ws) AS x, unnest(range(n)) AS i FROM d) ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
+kept AS (SELECT doc_id, array_to_string(list(x ORDER BY i), ' ') AS t FROM words ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id),
 best AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
   first(struct_pack(s := s, len := len, q := q) ORDER BY len DESC, s, q) AS r FROM runs GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(r.s AS BIGINT) AS start, CAST(r.len AS BIGINT) AS length,
