@@ -95,7 +95,7 @@ def test_pay_fallback_only_without_pay(spark):
 def test_task_functions_need_no_installed_package(tmp_path):
     job = tmp_path / "job.pickle"
     job.write_bytes(cloudpickle.dumps(lambda: [
-        r[1] for r in pages._card_rows(LISTING, "https://h", pages.LINK_MARK)]))
+        r[1] for r in pages._card_rows(pages.parse(LISTING), "https://h", pages.LINK_MARK)]))
     run = subprocess.run(
         [sys.executable, "-c", "import pickle, sys; print(len(pickle.load(open(sys.argv[1], 'rb'))()))",
          str(job)], cwd=tmp_path, capture_output=True, text=True, env={"PATH": os.environ["PATH"]})
