@@ -1,3 +1,4 @@
+import gc
 import os
 import subprocess
 import sys
@@ -5,7 +6,7 @@ import sys
 from pyspark import cloudpickle
 
 from wageband.schemas import RAW_COLUMNS
-from wageband.sources import pages
+from wageband.sources import html_tree, pages
 from wageband.sources.html_tree import parse
 
 LONG = "Lowongan kerja penuh waktu untuk lulusan baru dengan jenjang karir yang jelas dan " \
@@ -100,3 +101,46 @@ def test_task_functions_need_no_installed_package(tmp_path):
         [sys.executable, "-c", "import pickle, sys; print(len(pickle.load(open(sys.argv[1], 'rb'))()))",
          str(job)], cwd=tmp_path, capture_output=True, text=True, env={"PATH": os.environ["PATH"]})
     assert run.stdout.strip() == "3", run.stderr
+
+
+def _by_library(html):
+    tree = html_tree.Tree()
+    builder = html_tree._Builder(tree)
+    builder.feed(html)
+    builder.close()
+    tree.done()
+    return tree
+
+
+def _shown(tree):
+    return [(n.tag, n.attrs, n.parent and n.parent.number, tree.text(n), len(tree.descendants(n)))
+            for n in tree.descendants()] + [tree.text()]
+
+
+def test_well_formed_pages_take_the_short_way(monkeypatch):
+    well_formed = [
+        LISTING, "", "nur Text &amp; mehr", "<p>a<p>b<br/>c<hr>", "<A HREF='/job/1?a=1&amp;b' id=x/y disabled>T</a >",
+        "<template><div>in <a href=x>link</a></div></template>after<script>a</p></script >z",
+        "a<!-- x -->b<!doctype html>c</q>d", "<ul><li>1<li>2<ul><li>3</ul></ul><table><tr><td>4<td>5</table>"]
+    expected = [_shown(_by_library(html)) for html in well_formed]
+    monkeypatch.setattr(html_tree, "_Builder", None)
+    assert [_shown(parse(html)) for html in well_formed] == expected
+
+
+def test_other_markup_is_left_to_the_library():
+    for html in ("z < 3", "<a href='x'y>t</a>", "<script>var a = 1", "<!-- a -- b -->c", "<?php x ?>d", "<b", "</>e",
+                 "<script><!-- </script>f", "<i a==b>g", "</ b>h", "<a\x0bhref=x>i</a>"):
+        assert not html_tree._read(html_tree.Tree(), html)
+        assert _shown(parse(html)) == _shown(_by_library(html))
+
+
+def test_pages_are_freed_without_a_collector():
+    gc.disable()
+    try:
+        tree = parse(LISTING)
+        before = len(gc.get_objects())
+        for _ in range(50):
+            tree = parse(LISTING)
+        assert len(gc.get_objects()) < before + 50 and tree.text()
+    finally:
+        gc.enable()
