@@ -19,6 +19,13 @@ def test_every_blank_collapses(evaluate):
     assert evaluate(lambda t: X.strip_blanks(t), ["　 a b\t"]) == ["a b"]
 
 
+def test_blank_tests_are_plain_patterns(spark):
+    plan = spark.createDataFrame([("a",)], "t STRING").select(
+        X.clean_text(F.col("t")))._jdf.queryExecution().executedPlan().toString()
+    # Alternatives and look aheads are tried at every character.
+    assert "(?=" not in plan and "|" not in plan
+
+
 def test_parts_join(spark):
     row = spark.createDataFrame([("Data\xa0 Analyst", None, "A\tB")], "a STRING, b STRING, c STRING")
     joined = X.normalize_text(F.col("a"), F.coalesce("b", F.lit("nan")), F.col("c"))
