@@ -62,6 +62,20 @@ def test_impute(spark):
     assert training.impute_values(rows.limit(2), ["x"], []).first().x == 1.5
 
 
+def test_impute_works_rows_out_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(len(batch))
+            yield batch
+
+    rows = spark.range(10).selectExpr("cast(id AS DOUBLE) AS x", "cast(id % 2 AS STRING) AS c").mapInPandas(
+        count, "x DOUBLE, c STRING")
+    assert tuple(training.impute_values(rows, ["x"], ["c"]).first()) == (4.5, "0")
+    assert seen.value == 10
+
+
 def _training_rows(spark, n):
     bands = [F.when(F.col("id") % 2 == 0, BAND_LABELS[2]).otherwise(BAND_LABELS[4])]
     columns = []

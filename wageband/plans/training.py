@@ -148,7 +148,14 @@ def with_split(df: DataFrame, key: str, share: float = TEST_SHARE, seed: int = S
 
 
 def impute_values(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
-    """One row: exact median per numeric column, most frequent value (then smallest) per text."""
+    """One row: exact median per numeric column, most frequent value (then smallest) per text.
+
+    The steps read the rows four times: these columns are written once, so that ``df`` is worked out once.
+    """
+    return _stored_values(stored_rows(df.select(*numeric, *text), "impute"), numeric, text)
+
+
+def _stored_values(df: DataFrame, numeric: Sequence[str], text: Sequence[str]) -> DataFrame:
     parts = []
     if numeric:
         parts.append(_medians(df.select(*[F.col(c).cast("double").alias(c) for c in numeric])))
@@ -276,7 +283,7 @@ def train(df: DataFrame, key: str = "source_id", trees: int = TREES, depth: int
     n_rows = split.count()
     rows.unpersist()
     fitting = split.filter(~F.col("is_test"))
-    stats = impute_values(fitting, numeric, text).first().asDict()
+    stats = _stored_values(fitting, numeric, text).first().asDict()
     # A column without any value has no median; it is filled with zeros, which no tree can split.
     fills = {**{c: 0.0 for c in numeric}, **{c: v for c, v in stats.items() if v is not None}}
     if fit_rows is not None:
