@@ -3,6 +3,7 @@ import os
 import subprocess
 import sys
 
+import pandas as pd
 from pyspark import cloudpickle
 
 from wageband.schemas import RAW_COLUMNS
@@ -144,3 +145,22 @@ def test_pages_are_freed_without_a_collector():
         assert len(gc.get_objects()) < before + 50 and tree.text()
     finally:
         gc.enable()
+
+
+def test_rows_are_handed_over_in_slices(spark, monkeypatch):
+    monkeypatch.setattr(pages, "SLICE_CHARS", 3 * len(LISTING))
+
+    class Rows:
+        def select(self, *names):
+            return self
+
+        schema = _frame(spark, "").select("page_id").schema
+
+        def mapInPandas(self, extract, schema):
+            batch = pd.DataFrame({"page_id": range(60), "url": [""] * 60, "html": [LISTING] * 60})
+            return list(extract(iter([batch])))
+
+    made = pages._per_page(Rows(), lambda html, base: pages._page_rows(html, base, "/job/"),
+                           pages.CARD_PARTS | pages.DETAIL_PARTS, None, ("page_id",))
+    assert max(len(part) for part in made) < 30
+    assert [i for part in made for i in part["page_id"]] == [i for i in range(60) for _ in range(4)]
