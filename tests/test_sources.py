@@ -242,6 +242,26 @@ def test_batches_fold_into_the_combined_table(spark, tmp_path):
         "01_first": 2, "02_second": 2}
 
 
+def test_training_rows_of_a_batch_come_from_its_written_proxy(spark, tmp_path, monkeypatch):
+    from wageband.sources import tables as published
+
+    plans, build = [], published.build_training_table
+
+    def noted(proxy):
+        plans.append((proxy._jdf.queryExecution().executedPlan().toString(), proxy.inputFiles()))
+        return build(proxy)
+
+    monkeypatch.setattr(published, "build_training_table", noted)
+    raw = spark.createDataFrame([(1, "k", "t", "c", "Bandung", "Rp 5.000.000", "d", "a", "2024")],
+                                "pos BIGINT, " + ", ".join(f"{c} STRING" for c in RAW_COLUMNS))
+    tables = PublishedTables(str(tmp_path))
+    tables.publish_batch("01", raw)
+    (plan, read), = plans
+    assert "regexp_extract" not in plan and all("/batches/proxy/" in f for f in read)
+    stored = spark.read.parquet(str(tmp_path / "batches" / "training"))
+    assert stored.drop("batch_name").columns == TRAINING_COLUMNS and stored.first().salary_avg == 5_000_000
+
+
 def test_missing_columns_are_tolerated(spark):
     a = spark.createDataFrame([("u",)], "job_url STRING")
     b = spark.createDataFrame([("t", "v")], "job_title STRING, job_url STRING")

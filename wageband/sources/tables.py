@@ -179,7 +179,10 @@ class PublishedTables:
         return f"{self.root}/batches/{stage}"
 
     def publish_batch(self, name: str, raw: DataFrame, position: str = merge.POSITION) -> None:
-        """Write one batch's raw, proxy and training rows; its former rows are replaced."""
+        """Write one batch's raw, proxy and training rows; its former rows are replaced.
+
+        Training rows are taken from the proxy rows as written, so that texts are parsed once.
+        """
         def tagged(df: DataFrame) -> DataFrame:
             return df.withColumn("batch_name", slug(F.lit(name)))
 
@@ -187,9 +190,11 @@ class PublishedTables:
         write_batch(tagged(raw), self._batches("raw"))
         stored = spark.read.parquet(self._batches("raw")).filter(
             F.col("batch_name") == slug(F.lit(name)))
-        proxy = build_proxy(stored, position)
-        write_batch(tagged(proxy), self._batches("proxy"))
-        write_batch(tagged(build_training_table(proxy)), self._batches("training"))
+        proxy = tagged(build_proxy(stored, position))
+        write_batch(proxy, self._batches("proxy"))
+        written = spark.read.schema(proxy.schema).parquet(self._batches("proxy")).filter(
+            F.col("batch_name") == slug(F.lit(name)))
+        write_batch(tagged(build_training_table(written)), self._batches("training"))
 
     def publish_combined(self, spark: SparkSession) -> None:
         """Fold all batches into the combined table, the latest batch winning, and publish it.
