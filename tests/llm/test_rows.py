@@ -63,6 +63,38 @@ def test_bpe_columns(spark, library):
     assert bpe.with_bpe(rows.limit(0), tokenizer_path()).count() == 0
 
 
+def test_common_words_are_encoded_once(library, monkeypatch):
+    monkeypatch.setattr(bpe, "CACHED_CHUNKS", 400)
+    monkeypatch.setattr(bpe, "CACHED_WORDS", 400, raising=False)
+    tables, asked = bpe.BpeTables(tokenizer_path()), []
+    encode = tables.encode_word
+    tables.encode_word = lambda word: asked.append(word) or encode(word)
+    coder, rng = bpe.TextCoder(tables), random.Random(3)
+    for _ in range(40):
+        rare = ["".join(rng.choices("abcdefgh", k=9)) for _ in range(100)]
+        text = " ".join(f"the {w} of, Of {w}!" for w in rare) + " the <|endoftext|> of"
+        ids = [int(x) for chunk in coder.encode_chunks(text) for x in chunk.split()]
+        assert ids == library.encode(text, add_special_tokens=False).ids
+    assert asked.count("the") == asked.count("of") == 1
+    assert len(asked) < 40 * 102  # "of," and "Of" ask for no word again, nor does a rare one within its text
+
+
+def test_texts_of_many_chunks_are_coded_in_pieces(coder, library, monkeypatch):
+    texts = [t for t in _texts() if "\x00" not in t][:1500] + [None, "", "   ", "a b, C\nd <|endoftext|> é"]
+    whole = coder.code(texts)
+    monkeypatch.setattr(bpe, "LEARNT_CHUNKS", 3)
+    assert coder.code(texts) == whole
+    for text, (ids, decoded) in zip(texts, whole):
+        expected = library.encode(text or "", add_special_tokens=False).ids
+        assert ids == " ".join(map(str, expected))
+        assert decoded == library.decode(expected, skip_special_tokens=False)
+
+
+def test_letters_need_no_pattern(coder):
+    settled = [chr(c) for c in range(bpe.SETTLED) if chr(c).isalpha()]
+    assert [x for x in settled if coder.pieces.findall(x) != [x]] == []
+
+
 def test_folding_and_exceptions():
     folder = toxicity.Folder()
     assert folder.fold("Y0u 1D1OT, mаd s$ap!") == " you idiot mad ssap "

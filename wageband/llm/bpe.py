@@ -44,7 +44,11 @@ LATER_CAPITALS = [
 ]
 # Below this code point every version of the letter tables agrees.
 SETTLED = 0x530
-CACHED_CHUNKS = 150_000
+CACHED_CHUNKS = 200_000
+CACHED_WORDS = 200_000
+# Characters of text, and chunks of them, whose new words are worked out together.
+LEARNT_CHARS = 2_000_000
+LEARNT_CHUNKS = 500_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -84,7 +88,9 @@ class BpeTables:
             self.pair_rank[one, two] = rank
             self.rank[whole], self.left[whole], self.right[whole] = rank, one, two
         self.never = never
-        self.fits: dict[int, bool] = {}
+        # Pair table: a row per first token; the last row stands for the start of a word.
+        self.fits: list[dict[int, bool]] = [{} for _ in range(size + 1)]
+        self.known_pairs = 0
         self._build_automaton()
 
     def symbols(self, name: str) -> str:
@@ -136,13 +142,15 @@ class BpeTables:
                 j -= 1
 
     def pair_fits(self, one: int, two: int) -> bool:
-        """The pair table, filled as pairs turn up."""
-        key = one * len(self.rank) + two
-        known = self.fits.get(key)
+        """The pair table, filled as pairs turn up; any token fits at the start of a word, -1."""
+        known = self.fits[one].get(two)
         if known is None:
-            if len(self.fits) >= CACHED_PAIRS:
-                self.fits.clear()
-            known = self.fits[key] = self._border(one, two, None)
+            if self.known_pairs >= CACHED_PAIRS:
+                for row in self.fits:
+                    row.clear()
+                self.known_pairs = 0
+            self.known_pairs += 1
+            known = self.fits[one][two] = one < 0 or self._border(one, two, None)
         return known
 
     def _build_automaton(self) -> None:
@@ -169,34 +177,39 @@ class BpeTables:
             letters = self.letters
             text = "".join([letters[b] for b in word.encode("utf-8", "surrogatepass")])
         text = text[:-1] + chr(ord(text[-1]) + 0x1000)
-        lengths, shorter, fits = self.lengths, self.shorter, self.fits
-        size = len(lengths)
-        longest = [-1] * len(text)
-        for end, token in self.automaton.iter(text):
-            start = end + 1 - lengths[token]
-            if longest[start] < 0 or lengths[longest[start]] < lengths[token]:
-                longest[start] = token
+        lengths, shorter, fits, pair_fits = self.lengths, self.shorter, self.fits, self.pair_fits
         path: list[int] = []
-        dead = [False] * (len(text) + 1)
-        pos, token = 0, longest[0]
-        while pos < len(text):
-            last = path[-1] if path else -1
+        pos, last, token, size = 0, -1, -1, len(text)
+        # Most words are their longest tokens, left to right, as these fit.
+        for end, token in self.automaton.iter_long(text):
+            fit = fits[last].get(token)
+            if end + 1 - lengths[token] != pos or not (pair_fits(last, token) if fit is None else fit):
+                break
+            path.append(token)
+            pos, last = end + 1, token
+        if pos == size:
+            return path
+        # Matches come by their ends, so that of each start the longest is the last one written.
+        longest = {end + 1 - lengths[token]: token for end, token in self.automaton.iter(text)}
+        dead: set[int] = set()
+        token = longest.get(pos, -1)
+        while pos < size:
+            row = fits[last]
             while token >= 0:
-                if not dead[pos + lengths[token]]:
-                    if last < 0:
-                        break
-                    fit = fits.get(last * size + token)
-                    if self.pair_fits(last, token) if fit is None else fit:
+                end = pos + lengths[token]
+                if end not in dead:
+                    fit = row.get(token)
+                    if pair_fits(last, token) if fit is None else fit:
                         break
                 token = shorter[token]
             if token >= 0:
                 path.append(token)
-                pos += lengths[token]
-                token = longest[pos] if pos < len(text) else -1
+                pos, last, token = end, token, longest.get(end, -1)
             else:  # nothing fits here: go back, and try a shorter token there
-                dead[pos] = True
+                dead.add(pos)
                 token = path.pop()
                 pos -= lengths[token]
+                last = path[-1] if path else -1
                 token = shorter[token]
         return path
 
@@ -207,53 +220,75 @@ class BpeTables:
 
 
 class TextCoder:
-    """Encodes and decodes whole texts, remembering the words it has met, up to a bound."""
+    """Encodes and decodes whole texts, remembering the words and chunks it has met, up to a bound.
+
+    Both are kept with their ids, as decimal texts, and, if ``decoding``, with the text that these ids
+    decode to. The new ones of many texts are worked out together, each once.
+    """
 
-    def __init__(self, tables: BpeTables):
+    def __init__(self, tables: BpeTables, decoding: bool = True):
         import unicodedata
 
         import regex
 
-        self.tables = tables
+        self.tables, self.decoding = tables, decoding
         self.pieces = regex.compile(PIECES)
         self.spaces = regex.compile(r"\s+")
         self.marks = regex.compile("|".join(map(regex.escape, tables.special))) if tables.special else None
         self.normalize = unicodedata.normalize
         self.kinds: dict[str, str] = {}
         self.small = {c: c + step for a, b, step in LATER_CAPITALS for c in range(a, b + 1)}
-        coder = self
-
-        class Words(dict):
-            def __missing__(self, word: str) -> str:
-                if len(self) >= CACHED_CHUNKS:
-                    self.clear()
-                made = self[word] = " ".join(map(str, coder.tables.encode_word(word)))
-                return made
-
-        class Ids(dict):
-            def __missing__(self, chunk: str) -> str:
-                if len(self) >= CACHED_CHUNKS:
-                    self.clear()
-                made = self[chunk] = " ".join(map(coder.word_ids.__getitem__, coder.chunk_words(chunk)))
-                return made
-
-        class Texts(dict):
-            def __missing__(self, ids: str) -> str:
-                if len(self) >= CACHED_CHUNKS:
-                    self.clear()
-                made = self[ids] = coder.tables.decode(list(map(int, ids.split())))
-                return made
-
-        self.word_ids, self.ids_of, self.text_of = Words(), Ids(), Texts()
+        self.word_ids: dict[str, str] = {}
+        self.word_text: dict[str, str] = {}
+        self.chunk_ids: dict[str, str] = {}
+        self.chunk_text: dict[str, str] = {}
+
+    def learn(self, chunks: set[str]) -> None:
+        """Work out the chunks that are not known, each word once; past the bound, forget others."""
+        fresh = chunks.difference(self.chunk_ids)
+        if not fresh:
+            return
+        self._make_room(chunks, len(fresh), CACHED_CHUNKS, self.chunk_ids, self.chunk_text)
+        single: dict[str, str] = {}
+        several: dict[str, list[str]] = {}
+        for chunk in fresh:
+            parts = [chunk] if chunk[0] == " " else self.chunk_words(chunk)
+            if len(parts) == 1:
+                single[chunk] = parts[0]
+            else:
+                several[chunk] = parts
+        words = set(single.values()).union(*several.values())
+        new = words.difference(self.word_ids)
+        self._make_room(words, len(new), CACHED_WORDS, self.word_ids, self.word_text)
+        encode, decode = self.tables.encode_word, self.tables.decode
+        for word in new:
+            ids = [self.tables.special[word[1:]]] if word[0] == " " else encode(word)
+            self.word_ids[word] = " ".join(map(str, ids))
+            if self.decoding:
+                self.word_text[word] = decode(ids)
+        sides = [(self.chunk_ids, self.word_ids), (self.chunk_text, self.word_text)]
+        for of_chunk, of_word in sides[:1 + self.decoding]:
+            for chunk, word in single.items():
+                of_chunk[chunk] = of_word[word]
+            for chunk, parts in several.items():
+                of_chunk[chunk] = " ".join([of_word[w] for w in parts])
+
+    @staticmethod
+    def _make_room(wanted: set[str], more: int, most: int, *memories: dict[str, str]) -> None:
+        if len(memories[0]) + more > most:
+            for memory in memories:
+                kept = {key: memory[key] for key in wanted if key in memory}
+                memory.clear()
+                memory.update(kept)
 
     def chunk_words(self, chunk: str) -> list[str]:
         """Pre-tokens of a text without white space and special tokens."""
         if chunk.isascii():
-            return self.pieces.findall(chunk.lower())
+            return [chunk.lower()] if chunk.isalpha() else self.pieces.findall(chunk.lower())
         # Lower case letter by letter: str.lower() alone would treat a final sigma apart.
         low = self.normalize("NFC", chunk).replace("Σ", "σ").lower()
-        if max(map(ord, low)) < SETTLED:
-            return self.pieces.findall(low)
+        if ord(max(low)) < SETTLED:
+            return [low] if low.isalpha() else self.pieces.findall(low)
         low = low.translate(self.small)
         shape = "".join([c if ord(c) < SETTLED else self._kind(c) for c in low])
         return [low[m.start():m.end()] for m in self.pieces.finditer(shape)]
@@ -274,20 +309,46 @@ class TextCoder:
             self.kinds[letter] = known
         return known
 
-    def encode_chunks(self, text: str) -> list[str]:
-        """Ids of every chunk between white space, as decimal texts; none is empty."""
+    def split(self, text: str) -> list[str]:
+        """Chunks between white space; a special token is a chunk of its own, marked by a blank."""
         if self.marks is not None and "<|" in text and self.marks.search(text):
             out, last = [], 0
             for mark in self.marks.finditer(text):
-                out += self.encode_chunks(text[last:mark.start()])
-                out.append(str(self.tables.special[mark.group()]))
+                out += self.split(text[last:mark.start()])
+                out.append(" " + mark.group())
                 last = mark.end()
-            return out + self.encode_chunks(text[last:])
+            return out + self.split(text[last:])
+        if text.isascii():
+            text = text.lower()  # fewer different chunks
         if any(c in text for c in NOT_SPACE):
-            chunks = [c for c in self.spaces.split(text) if c]
-        else:
-            chunks = text.split()
-        return [x for x in map(self.ids_of.__getitem__, chunks) if x]
+            return [c for c in self.spaces.split(text) if c]
+        return text.split()
+
+    def encode_chunks(self, text: str) -> list[str]:
+        """Ids of every chunk between white space, as decimal texts; none is empty."""
+        chunks = self.split(text)
+        self.learn(set(chunks))
+        return [x for x in map(self.chunk_ids.__getitem__, chunks) if x]
+
+    def code(self, texts: list[str | None]) -> list[tuple[str, str]]:
+        """The ids of each text, as one decimal text, and what they decode to."""
+        lists = [self.split(text) if text else [] for text in texts]
+        if sum(map(len, lists)) <= LEARNT_CHUNKS:
+            self.learn(set().union(*lists))
+            return [self._joined(chunks) for chunks in lists]
+        out = []
+        for chunks in lists:
+            parts = []
+            for first in range(0, len(chunks), LEARNT_CHUNKS):
+                part = chunks[first:first + LEARNT_CHUNKS]
+                self.learn(set(part))
+                parts.append(self._joined(part))
+            out.append(tuple(" ".join(filter(None, side)) for side in zip(*parts)) if parts else ("", ""))
+        return out
+
+    def _joined(self, chunks: list[str]) -> tuple[str, str]:
+        return (" ".join(filter(None, map(self.chunk_ids.__getitem__, chunks))),
+                " ".join(filter(None, map(self.chunk_text.__getitem__, chunks))) if self.decoding else "")
 
 
 def with_bpe(df: DataFrame, path: str, text: str = "text",
@@ -306,22 +367,18 @@ def with_bpe(df: DataFrame, path: str, text: str = "text",
     tables = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(BpeTables(path)))
 
     def start():
-        coder = TextCoder(pickle.loads(tables.value))
+        coder = TextCoder(pickle.loads(tables.value), "decoded" in outputs)
 
         def code(texts):
-            rows = []
-            for value in texts:
-                chunks = coder.encode_chunks(value) if value else []
-                joined = " ".join(chunks)
-                rows.append((joined.count(" ") + 1 if joined else 0, joined, chunks))
+            rows = coder.code(texts)
             made = {
-                "n_tokens": lambda: [n for n, _, _ in rows],
-                "ids": lambda: [list(map(int, joined.split())) for _, joined, _ in rows],
-                "ids_text": lambda: [joined for _, joined, _ in rows],
-                "decoded": lambda: [" ".join(map(coder.text_of.__getitem__, c)) for _, _, c in rows],
+                "n_tokens": lambda: [ids.count(" ") + 1 if ids else 0 for ids, _ in rows],
+                "ids": lambda: [list(map(int, ids.split())) for ids, _ in rows],
+                "ids_text": lambda: [ids for ids, _ in rows],
+                "decoded": lambda: [decoded for _, decoded in rows],
             }
             return [made[name]() for name in outputs]
 
         return code
 
-    return with_arrow_columns(df, text, {name: types[name] for name in outputs}, start)
+    return with_arrow_columns(df, text, {name: types[name] for name in outputs}, start, LEARNT_CHARS)
