@@ -1,10 +1,12 @@
 import math
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from wageband.plans import metrics, training
 from wageband.schemas import BAND_LABELS, TARGET_COLUMN, TRAINING_SCHEMA
+from workload.queries import QUERIES
 
 
 def _labels(spark, counts):
@@ -128,3 +130,39 @@ def test_one_class_and_no_features(spark):
         training.train(rows.withColumn(TARGET_COLUMN, F.lit("x")))
     with pytest.raises(training.NotTrainable, match="no feature"):
         training.train(rows.select("source_id", TARGET_COLUMN))
+
+
+def _orders(spark, folder, n):
+    """Orders and customers from which the queries derive ``n`` postings."""
+    spark.range(1, n + 1).selectExpr(
+        "id AS o_orderkey", "id % 7 AS o_custkey", "cast(pmod(hash(id), 400000) AS DOUBLE) AS o_totalprice",
+        "timestamp'2020-01-01 00:00:00' AS o_orderdate").write.parquet(f"{folder}/orders.parquet")
+    spark.range(7).selectExpr("id AS c_custkey", "concat('c', id) AS c_name").write.parquet(
+        f"{folder}/customer.parquet")
+
+
+def test_metrics_query_fits_every_training_row(spark, tmp_path, monkeypatch):
+    _orders(spark, tmp_path, 4_000)
+    fitted, fit, train = [], training.Pipeline.fit, training.train
+    monkeypatch.setattr(training.Pipeline, "fit", lambda self, rows: fitted.append(rows.count()) or fit(self, rows))
+    monkeypatch.setattr(training, "train", lambda *args, **given: train(*args, **{**given, "trees": 2, "depth": 2}))
+    one = QUERIES["rf_train_metrics"](spark, str(tmp_path)).first()
+    assert one.n_train > 2_000 and fitted == [one.n_train]
+
+
+def test_split_points_come_from_all_rows(spark):
+    """A dozen values of few rows among many others; their class changes from one to the next."""
+    x = F.when(F.col("id") < 96, F.col("id") % 12 + 1).otherwise(0).cast("double")
+    rows = spark.range(150_000).select(F.col("id").alias("source_id"), x.alias("x"), F.when(
+        x % 2 == 1, "b").otherwise("a").alias(TARGET_COLUMN))
+    fitted = training.train(rows, trees=10, numeric=["x"], text=[])
+    assert fitted.metrics.first().accuracy == 1
+    splits = {float(v) for t in fitted.model.stages[-2].trees for v in re.findall(
+        r"feature 0 <= ([0-9.]+)", t.toDebugString)}
+    assert len(splits) >= 11
+
+
+@pytest.mark.parametrize("rows", [10_001, 88_576, 90_000, 90_001, 5_400_000])
+def test_bins_cover_the_rows(rows):
+    assert training.bins(rows) ** 2 >= rows > (training.bins(rows) - 1) ** 2
+    assert training.bins(10_000) == 32 and training.bins(10**12) ** 2 < 2**31
