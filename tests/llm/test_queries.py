@@ -137,6 +137,22 @@ def test_encoded_places_keep_the_shares(spark):
             assert abs(bisect.bisect_left(taken[source], t) - t * share) < 1
 
 
+def test_pipeline_decodes_the_ids(spark):
+    from tokenizers import Tokenizer
+
+    library = Tokenizer.from_file(tokenizer_path())
+    library.no_truncation()
+    texts = ["Hello, World's 3 ends!", "été Σας 中 <|endoftext|> abc", "", "  ", None, "again again", "again again"]
+    docs = spark.createDataFrame([(i, t, "en", "x", 3) for i, t in enumerate(texts)],
+                                 "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
+    rows = {r["doc_id"]: r for r in corpus_pipeline.encode(spark, docs, SF).collect()}
+    assert len(rows) == len(texts)
+    for i, text in enumerate(texts):
+        ids = library.encode(text or "", add_special_tokens=False).ids
+        assert rows[i]["ids"] == ids and rows[i]["n_tokens"] == len(ids)
+        assert rows[i]["decoded"] == library.decode(ids, skip_special_tokens=False)
+
+
 def _naive_fold(folder, text):
     """Folding letter by letter."""
     chars = [folder.letters.get(ord(c), c) or "" for c in text] if not text.isascii() else list(text)

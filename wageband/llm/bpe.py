@@ -49,6 +49,8 @@ CACHED_WORDS = 200_000
 # Characters of text, and chunks of them, whose new words are worked out together.
 LEARNT_CHARS = 2_000_000
 LEARNT_CHUNKS = 500_000
+# The same for a result of ids, which as numbers are ten times their decimal text.
+NUMBERED_CHARS = 500_000
 CACHED_PAIRS = 2_000_000
 
 
@@ -366,19 +368,24 @@ def with_bpe(df: DataFrame, path: str, text: str = "text",
     # Pickled with its class, and unpickled for each task, so that nothing is held after it.
     tables = df.sparkSession.sparkContext.broadcast(cloudpickle.dumps(BpeTables(path)))
 
+    # Where the ids are at hand as numbers, they are decoded text by text: no decoded words are kept in memory.
+    numbered = "ids" in outputs
+
     def start():
-        coder = TextCoder(pickle.loads(tables.value), "decoded" in outputs)
+        coder = TextCoder(pickle.loads(tables.value), "decoded" in outputs and not numbered)
 
         def code(texts):
             rows = coder.code(texts)
+            numbers = [list(map(int, ids.split())) for ids, _ in rows] if numbered else []
             made = {
                 "n_tokens": lambda: [ids.count(" ") + 1 if ids else 0 for ids, _ in rows],
-                "ids": lambda: [list(map(int, ids.split())) for ids, _ in rows],
+                "ids": lambda: numbers,
                 "ids_text": lambda: [ids for ids, _ in rows],
-                "decoded": lambda: [decoded for _, decoded in rows],
+                "decoded": lambda: [*map(coder.tables.decode, numbers)] if numbered else [d for _, d in rows],
             }
             return [made[name]() for name in outputs]
 
         return code
 
-    return with_arrow_columns(df, text, {name: types[name] for name in outputs}, start, LEARNT_CHARS)
+    return with_arrow_columns(df, text, {name: types[name] for name in outputs}, start,
+                              NUMBERED_CHARS if numbered else LEARNT_CHARS)
